@@ -7,8 +7,8 @@ on average, seeded by the node itself) and every chosen coordinate sends a class
 child named by the minwise token found there. Classes of similarity s survive a level
 with probability s or more each, unrelated ones part at once. Nodes of at most `limit`
 classes are compared exhaustively. A larger node compares all of its classes with one of
-them and branches on; after the links found are confirmed and contracted to components,
-large nodes whose classes are all in one component are dropped and the others branch
+them, another in every node, and branches on; after the links found are confirmed and contracted to components,
+nodes whose classes are all in one component are dropped and the others branch
 until they are small, the last ones comparing every class outside the node's largest
 component with all others. Every candidate is confirmed on the full shingle sets.
 
@@ -36,7 +36,7 @@ from .common import components, discard, settle, words
 WIDTH, THRESHOLD = 5, 0.8
 #: Coordinates of the minwise signature; trees; largest node compared exhaustively;
 #: levels before contraction and in all.
-COORDINATES, TREES, LIMIT, LEVELS, MAX_LEVELS = 64, 12, 16, 5, 24
+COORDINATES, TREES, LIMIT, LEVELS, MAX_LEVELS = 64, 12, 16, 5, 14
 _SLACK = 5  # standard deviations by which an estimate may fall short of the threshold
 
 _rng = np.random.default_rng(20240607)
@@ -126,17 +126,19 @@ def _children(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.select(F.explode(F.filter(F.array(first, second), lambda x: x.isNotNull())).alias("node"), "rep", "sig")
 
 
-def _split(rows: DataFrame, comp: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Rows of small nodes, rows of large nodes. Nodes with a single class, or (given
-    comp) of a single component, are done. Sizes are pre-aggregated by map tasks."""
+def _split(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """The rows of nodes that are not done, with the node's size `n` and its `leader`, one
+    class picked by a hash. A node is done with a single class, or (given comp) a single
+    component. Sizes and leaders are pre-aggregated by map tasks."""
     keep = ["node", "rep"]
     if comp is not None:
         rows = rows.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         keep.append("component")
-    size = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("least"), *([F.min("component").alias("c0"), F.max("component").alias("c1")] if comp is not None else []))
-    size = size.where("n > 1" if comp is None else "n > 1 and c0 <> c1").select("node", "n", "least")
-    both = settle(rows.select(*keep).join(size, "node"))
-    return both.where(F.col("n") <= LIMIT), both.where(F.col("n") > LIMIT), both
+    lead = F.min(F.struct(F.xxhash64("node", "rep").alias("h"), *keep[1:])).alias("leader")
+    mixed = [F.min("component").alias("c0"), F.max("component").alias("c1")] if comp is not None else []
+    size = rows.groupBy("node").agg(F.count("*").alias("n"), lead, *mixed)
+    size = size.where("n > 1" if comp is None else "n > 1 and c0 <> c1").select("node", "n", "leader")
+    return settle(rows.select(*keep).join(size, "node"))
 
 
 def _within(small: DataFrame, comp: bool) -> DataFrame:
@@ -185,7 +187,7 @@ def _confirm(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, thr
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links of at least
-    the threshold), n_links (distinct other sets linked with the document's), kept."""
+    the threshold), kept."""
     id_type = docs.schema["doc_id"].dataType
     kind = T.StructType([T.StructField("doc_id", id_type), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("sig", T.BinaryType())])
     prof = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_profiles(width), kind)
@@ -199,11 +201,15 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
 
     def branch(rows: DataFrame, levels: int, comp: DataFrame | None) -> tuple[list[DataFrame], DataFrame | None]:
         found: list[DataFrame] = []
+        both = None
         for _ in range(levels):
-            small, large, both = _split(_children(rows, threshold), comp)
-            found.append(settle(_within(small, comp is not None).union(large.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b"))).distinct()))
+            last, both = both, _split(_children(rows, threshold), comp)
+            discard(last)
+            small, large = both.where(F.col("n") <= LIMIT), both.where(F.col("n") > LIMIT)
+            star = large.where("rep <> leader.rep" if comp is None else "component <> leader.component")
+            star = star.select(F.least("leader.rep", "rep").alias("a"), F.greatest("leader.rep", "rep").alias("b"))
+            found.append(settle(_within(small, comp is not None).union(star).distinct()))
             if large.isEmpty():
-                discard(both)
                 return found, None
             rows = large.select("node", "rep").join(sig, "rep")
         return found, both.where(F.col("n") > LIMIT)
@@ -226,11 +232,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
             again.append(odd.join(last, "node").where("cx <> component").select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")))
         links = links.union(_confirm(docs, real, union(again), width, threshold)).distinct()
         comp = components(links, "a", "b")
-    degree = links.select("a").union(links.select("b")).toDF("rep").groupBy("rep").agg(F.count("*").alias("n_links"))
-    classes = reps.select("digest", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    no = F.lit(0).cast("long")
-    joined = prof.where("digest is not null").select("doc_id", "n_shingles", "digest").join(classes, "digest").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "n_links")
-    empty = prof.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), no.alias("n_links"))
+    classes = reps.select("digest", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    joined = prof.where("digest is not null").select("doc_id", "n_shingles", "digest").join(classes, "digest").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    empty = prof.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return joined.union(empty).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
