@@ -1,7 +1,9 @@
 """Toxicity by subword-bag embeddings under a linear softmax.
 
 A word is the bag of its byte n-grams (3 to 6, with its borders), hashed into buckets; a
-document is the mean over its words of the mean embedding of their n-grams; a linear
+document is the mean over its words of the mean embedding of their n-grams, each n-gram
+weighing by its rarity in the training sample (those of fewer than LEAST documents are
+left out); a linear
 softmax on it gives the two classes. Embeddings and softmax are trained jointly in numpy
 by Adam on a bounded sample of labelled documents; misspellings and inflections that were
 never seen share the vectors of their n-grams. For scoring the product of embeddings and
@@ -18,6 +20,8 @@ largest counts; without training rows of both classes every score is the share o
 
 from __future__ import annotations
 
+from zlib import crc32
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,8 +30,8 @@ from pyspark.sql import types as T
 
 from .common import remainder
 
-GRAMS, BUCKETS, WIDTH, TRAIN = (3, 4, 5, 6), 1 << 17, 8, 4000
-EPOCHS, RATE, DECAY, SCALE = 160, 0.05, 1e-6, 100.0
+GRAMS, BUCKETS, WIDTH, TRAIN = (3, 4, 5, 6), 1 << 17, 8, 3000
+EPOCHS, RATE, DECAY, SCALE, LEAST = 80, 0.02, 1e-4, 100.0, 3
 THRESHOLD = 0.3
 _BLOCK = 1 << 20  # bytes of text worked on at once
 
@@ -89,12 +93,15 @@ def fit(idx: list[bytes], val: list[bytes], y: np.ndarray, prior: float) -> tupl
     """Per bucket the embedding's product with the softmax difference, and the intercept."""
     flat = np.concatenate([np.frombuffer(x, np.int32) for x in idx])
     x = np.concatenate([np.frombuffer(v, np.float32) for v in val]) * np.float32(SCALE)
-    row = np.repeat(np.arange(len(y)), [len(i) // 4 for i in idx])
+    row = np.repeat(np.arange(len(y), dtype=np.int32), [len(i) // 4 for i in idx])
     share = y.mean()
     if not len(flat) or share in (0.0, 1.0):
         return np.zeros(BUCKETS), float(np.log((prior + 1e-9) / (1 - prior + 1e-9)))
+    held = np.bincount(flat, minlength=BUCKETS)  # documents that hold a bucket
+    rarity = np.where(held >= LEAST, np.log((len(y) + 1) / (held + 1)), 0).astype(np.float32)
+    x *= rarity[flat]
     rng = np.random.default_rng(7)
-    e = rng.normal(0, 0.05, (BUCKETS, WIDTH)).astype(np.float32)
+    e = rng.normal(0, 0.001, (BUCKETS, WIDTH)).astype(np.float32)
     w = rng.normal(0, 0.3, (WIDTH, 2)).astype(np.float32)
     b = np.array([np.log(1 - share), np.log(share)], np.float32)
     params, moment = [e, w, b], [[np.zeros_like(p), np.zeros_like(p)] for p in (e, w, b)]
@@ -110,7 +117,7 @@ def fit(idx: list[bytes], val: list[bytes], y: np.ndarray, prior: float) -> tupl
             v += 0.01 * (g * g - v)
             p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     shift = np.log(prior / (1 - prior)) - np.log(share / (1 - share))
-    return (e @ (w[:, 1] - w[:, 0])).astype(np.float64), float(b[1] - b[0] + shift)
+    return ((e @ (w[:, 1] - w[:, 0])) * rarity).astype(np.float64), float(b[1] - b[0] + shift)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
@@ -126,17 +133,11 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(pick, "doc_id").select("text", "toxic").mapInArrow(_features, "idx binary, val binary, toxic int").toArrow()
     if not rows.num_rows:
         return np.zeros(BUCKETS), float(np.log((prior + 1e-9) / (1 - prior + 1e-9)))
-    order = np.argsort([hash_of(v) for v in rows["idx"].to_pylist()], kind="stable")  # the order of arrival is not fixed
+    order = np.argsort([crc32(v) for v in rows["idx"].to_pylist()], kind="stable")  # the order of arrival is not fixed
     rows = rows.take(pa.array(order))
     return fit(rows["idx"].to_pylist(), rows["val"].to_pylist(), rows["toxic"].to_numpy().astype(np.float64), prior)
 
 
-def hash_of(x: bytes) -> int:
-    import zlib
-
-    return zlib.crc32(x)
-
-
 def _scores(column: pa.Array, weight: np.ndarray, bias: float) -> np.ndarray:
     out, block, size, done = np.full(len(column), bias), [], 0, 0
 
