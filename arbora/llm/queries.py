@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, neardup, pii, resharding, simhash, suffix_tree, toxicity, url_filter
+from . import decontamination, html_text, mixing, neardup, pii, resharding, simhash, suffix_tree, toxicity, url_filter
 from .common import table
 
 
@@ -44,5 +44,9 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_sharding, op4_decontamination, op5_minhash_near_dedup, op6_url_filter, op7_suffix_tree, op8_simhash, op9_pii)}
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_sharding, op4_decontamination, op5_minhash_near_dedup, op6_url_filter, op7_suffix_tree, op8_simhash, op9_pii, op10_html_text)}
 ORACLE: dict[str, str] = {}
