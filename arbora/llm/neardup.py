@@ -36,7 +36,7 @@ from .common import components, discard, settle, words
 WIDTH, THRESHOLD = 5, 0.8
 #: Coordinates of the minwise signature; trees; largest node compared exhaustively;
 #: levels before contraction and in all.
-COORDINATES, TREES, LIMIT, LEVELS, MAX_LEVELS = 64, 12, 16, 5, 14
+COORDINATES, TREES, LIMIT, LEVELS, MAX_LEVELS = 64, 12, 16, 3, 14
 _SLACK = 5  # standard deviations by which an estimate may fall short of the threshold
 
 _rng = np.random.default_rng(20240607)
