@@ -5,12 +5,13 @@ exact copies cost one row each and no pairs. The classes are joined by T indepen
 trees: a node of a tree chooses coordinates of the minwise signature (1/threshold of them
 on average, seeded by the node itself) and every chosen coordinate sends a class to the
 child named by the minwise token found there. Classes of similarity s survive a level
-with probability s or more each, unrelated ones part at once. Nodes of at most `limit`
+with probability s or more each, unrelated ones part at once. Nodes of at most LIMIT
 classes are compared exhaustively. A larger node compares all of its classes with one of
-them, another in every node, and branches on; after the links found are confirmed and contracted to components,
-nodes whose classes are all in one component are dropped and the others branch
-until they are small, the last ones comparing every class outside the node's largest
-component with all others. Every candidate is confirmed on the full shingle sets.
+them, another in every node, and branches on. After every few levels the links found are
+confirmed and contracted to components, and nodes whose classes are all in one component
+are dropped. Nodes that stay large and mixed compare every class outside the node's
+largest component with all others, slice against slice. Every link is confirmed on the
+full shingle sets.
 
 Defined results: null or empty texts have an empty set, are linked with nothing and are
 kept; a text with fewer than w words has its whole word sequence as single shingle; rows
@@ -31,12 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import components, discard, settle, words
+from .common import components, discard, settle, small_batches, words
 
 WIDTH, THRESHOLD = 5, 0.8
-#: Coordinates of the minwise signature; trees; largest node compared exhaustively;
-#: levels before contraction and in all.
-COORDINATES, TREES, LIMIT, LEVELS, MAX_LEVELS = 64, 12, 16, 3, 14
+#: Coordinates of the minwise signature; trees; largest node compared pair by pair; levels
+#: between contractions; classes in a slice of a large node.
+COORDINATES, TREES, LIMIT, LEVELS, SLICE = 64, 12, 16, (3, 3, 2), 64
 _SLACK = 5  # standard deviations by which an estimate may fall short of the threshold
 
 _rng = np.random.default_rng(20240607)
@@ -157,14 +158,8 @@ def _agreement(x, y):
     return same / F.lit(float(COORDINATES))
 
 
-def _confirm(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, threshold: float) -> DataFrame:
-    """The candidate pairs of at least the threshold, decided on full sets."""
-    sig = reps.select("rep", "sig", "n_shingles")
-    p = pairs.distinct().join(sig.toDF("a", "sa", "na"), "a").join(sig.toDF("b", "sb", "nb"), "b")
-    least = threshold - _SLACK * math.sqrt(threshold * (1 - threshold) / COORDINATES)
-    p = p.where((F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & (_agreement(F.col("sa"), F.col("sb")) >= least)).select("a", "b")
-    p = settle(p)
-    ids = settle(p.select("a").union(p.select("b")).distinct().toDF("rep"))
+def _full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(rep, shingles) of the documents in `ids` (column rep), settled."""
     n = max(1, ids.count())
     size = 1 << min(27, max(12, (16 * n).bit_length()))
     hashed = F.xxhash64("rep").bitwiseAND(F.lit(size - 1))
@@ -175,7 +170,18 @@ def _confirm(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, thr
     text = docs.where("doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("doc_id").alias("h"))
     kind = T.StructType([T.StructField("rep", docs.schema["doc_id"].dataType), T.StructField("shingles", T.ArrayType(T.LongType()))])
     sets = text.mapInArrow(_sets(width, bitmap), kind)
-    sets = settle(sets.join(ids, "rep", "left_semi").dropDuplicates(["rep", "shingles"]))
+    return settle(sets.join(ids, "rep", "left_semi").dropDuplicates(["rep", "shingles"]))
+
+
+def _confirm(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, threshold: float) -> DataFrame:
+    """The candidate pairs of at least the threshold, decided on full sets."""
+    sig = reps.select("rep", "sig", "n_shingles")
+    p = pairs.distinct().join(sig.toDF("a", "sa", "na"), "a").join(sig.toDF("b", "sb", "nb"), "b")
+    least = threshold - _SLACK * math.sqrt(threshold * (1 - threshold) / COORDINATES)
+    p = p.where((F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & (_agreement(F.col("sa"), F.col("sb")) >= least)).select("a", "b")
+    p = settle(p)
+    ids = settle(p.select("a").union(p.select("b")).distinct().toDF("rep"))
+    sets = _full_sets(docs, ids, width)
     j = p.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     both = F.size(F.array_intersect("x", "y"))
     per = round(threshold * 100)
@@ -185,6 +191,54 @@ def _confirm(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, thr
     return links
 
 
+def _compare(per: int):
+    """Two slices of a node, on full sets: the pairs of different components that link."""
+
+    def run(batches):
+        for b in batches:
+            left, right = [], []
+            for i in range(b.num_rows):
+                mine, other = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+                sets = [np.array(m["shingles"], np.int64) for m in other]
+                flat = np.concatenate(sets)
+                owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+                size = np.array([len(s) for s in sets])
+                reps, comps = [m["rep"] for m in other], np.array([m["component"] for m in other], object)
+                for m in mine:
+                    x = np.array(m["shingles"], np.int64)
+                    both = np.bincount(owner[np.isin(flat, x)], minlength=len(sets))
+                    for k in np.nonzero((100 * both >= per * (size + len(x) - both)) & (comps != m["component"]))[0].tolist():
+                        left.append(min(m["rep"], reps[k]))
+                        right.append(max(m["rep"], reps[k]))
+            kind = b.column(0).type.value_type.field("rep").type
+            yield pa.RecordBatch.from_arrays([pa.array(left, kind), pa.array(right, kind)], ["a", "b"])
+
+    return run
+
+
+def _exhaust(docs: DataFrame, rows: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Links of nodes that stay large with several components: every class outside of a
+    node's largest component against all others, slice against slice, on full sets. Only
+    links come out, so a large node of unlinked classes costs time but makes no rows."""
+    ids = settle(rows.select("rep").distinct())
+    sets = _full_sets(docs, ids, width)
+    per = rows.groupBy("node", "component").agg(F.count("*").alias("k"))
+    most = per.groupBy("node").agg(F.max_by("component", F.struct("k", "component")).alias("most"), F.sum("k").alias("n"))
+    tied = rows.select("node", "rep", "component").join(most, "node").withColumn("slice", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / SLICE)))
+    full = tied.join(sets, "rep")
+    packed = F.collect_list(F.struct("rep", "component", "shingles"))
+    every = full.groupBy("node", "slice").agg(packed.alias("all"))
+    odd = full.where("component <> most").groupBy("node", "slice").agg(packed.alias("odd"))
+    id_type = docs.schema["doc_id"].dataType
+    kind = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)])
+    dealt = odd.drop("slice").join(every.drop("slice"), "node").select("odd", "all").repartition(max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    with small_batches(docs.sparkSession, 16):
+        links = settle(dealt.mapInArrow(_compare(round(threshold * 100)), kind).distinct())
+    for t in (ids, sets):
+        discard(t)
+    return links
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links of at least
     the threshold), kept."""
@@ -220,18 +274,26 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
             out = out.union(x)
         return out
 
-    found, rest = branch(rows, LEVELS, None)
-    links = _confirm(docs, real, union(found), width, threshold)
-    comp = components(links, "a", "b")
-    if rest is not None:
-        again, last = branch(rest.select("node", "rep").join(sig, "rep"), MAX_LEVELS - LEVELS, comp)
-        if last is not None:
-            per = last.groupBy("node", "component").agg(F.count("*").alias("k"))
-            most = per.groupBy("node").agg(F.max_by("component", F.struct("k", "component")).alias("most"))
-            odd = last.join(most, "node").where("component <> most").select("node", F.col("rep").alias("x"), F.col("component").alias("cx"))
-            again.append(odd.join(last, "node").where("cx <> component").select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")))
-        links = links.union(_confirm(docs, real, union(again), width, threshold)).distinct()
+    links = comp = None
+    rest = rows
+    for levels in LEVELS:
+        found, rest = branch(rest, levels, comp)
+        new = _confirm(docs, real, union(found), width, threshold)
+        for t in found:
+            discard(t)
+        links = new if links is None else links.union(new).distinct()
         comp = components(links, "a", "b")
+        if rest is None:
+            break
+        rest = rest.select("node", "rep").join(sig, "rep")
+    else:
+        # nodes that are mixed still, by the components found last
+        mixed = rest.select("node", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        several = mixed.groupBy("node").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("node")
+        mixed = settle(mixed.join(several, "node", "left_semi"))
+        if not mixed.isEmpty():
+            links = links.union(_exhaust(docs, mixed, width, threshold)).distinct()
+            comp = components(links, "a", "b")
     classes = reps.select("digest", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     joined = prof.where("digest is not null").select("doc_id", "n_shingles", "digest").join(classes, "digest").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     empty = prof.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
