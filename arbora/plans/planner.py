@@ -44,6 +44,7 @@ class Value:
     pos: int = 0
     tag: Tag | None = None
     owner: "Value | None" = None
+    present: C | None = None  # tells presence at less cost than the column
 
 
 @dataclass
@@ -220,7 +221,7 @@ class Planner:
         if tag.stored == "inverse":
             child = self.model.get(col.cls)
             c = self.attach_class(ctx, child, "left", base.col, tag.source)
-            return Value(_col(f"{c}.{child.key}"), "object", child.name, f"{c}.{child.key}", c, tag=tag)
+            return Value(_col(f"{c}.{child.key}"), "object", child.name, f"{c}.{child.key}", c, tag=tag, present=_col(f"{c}.{tag.source}").isNotNull())
         line = f"l{next(_ids)}"
         ctx.df = ctx.df.select("*", F.explode_outer(_col(f"{p}.{tag.source}")["rows"]).alias(line))
         return self._field(line, tag, at)
@@ -484,6 +485,8 @@ class Planner:
         v = self.value(ctx, e)
         if v.kind == "boolean":
             return v.col
+        if v.present is not None:
+            return v.present
         if v.kind == "number" and isinstance(e, (Num, Bin, Un, Agg)):
             return F.coalesce(v.col.isNotNull() & ~F.isnan(v.col.cast("double")), F.lit(False))
         return v.col.isNotNull() & (~F.isnan(v.col.cast("double")) if v.kind == "number" else F.lit(True))

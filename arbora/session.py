@@ -159,7 +159,7 @@ class Session:
         stand for anything, and three characters are needed."""
         if len(re.sub(r"[*?\s]", "", pattern)) < 3:
             raise SyntaxProblem("three characters are needed")
-        like = F.lit("(?is)" + ".*".join(re.escape(w) for w in re.split(r"[*\s]+", pattern) if w))
+        like = "(?is)" + ".*".join(re.escape(w) for w in re.split(r"[*\s]+", pattern) if w)
         out = None
         for c in self.model.classes.values():
             if c.parent or c.parts:
