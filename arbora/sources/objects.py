@@ -248,11 +248,15 @@ def dump(model: Model, cls: str) -> DataFrame:
             parts.append(F.when(v.isNotNull(), F.concat(F.lit(f"{t.name} "), quote(v))))
             continue
         col = F.col(f"`{t.source}`")
-        texts = F.transform(col["rows"], lambda r, t=t: F.concat_ws(" ", F.lit(t.name), *[quote(r[f"c{k + 1}"].cast("string")) for k in range(len(t.columns))]))
+        texts = F.transform(col["rows"], _line_of(t, quote))
         parts.append(F.when(col["present"], F.when(F.size(col["rows"]) > 0, F.array_join(texts, "\n")).otherwise(F.lit(t.name))))
     return df.select(F.concat_ws("\n", *parts).alias("value"))
 
 
+def _line_of(t: Tag, quote):
+    return lambda r: F.concat_ws(" ", F.lit(t.name), *[quote(r[f"c{k + 1}"].cast("string")) for k in range(len(t.columns))])
+
+
 def check(df: DataFrame, condition) -> tuple[DataFrame, DataFrame]:
     """Rows that meet a constraint, and those put aside."""
     ok = F.coalesce(condition, F.lit(False))
