@@ -4,8 +4,9 @@ Every document is the set of its distinct w-word shingles. Equal sets are one cl
 exact copies cost one row each and no pairs. The classes are joined by T independent
 trees: a node of a tree chooses coordinates of the minwise signature (1/threshold of them
 on average, seeded by the node itself) and every chosen coordinate sends a class to the
-child named by the minwise token found there. Classes of similarity s survive a level
-with probability s or more each, unrelated ones part at once. Nodes of at most LIMIT
+child named by the minwise token found there. Roots divide the sets by size, with borders
+of each tree's own, since sets that link have like sizes. Classes of similarity s survive
+a level with probability s or more each, unrelated ones part at once. Nodes of at most LIMIT
 classes are compared exhaustively. A larger node compares all of its classes with one of
 them, another in every node, and branches on. After every few levels the links found are
 confirmed and contracted to components, and nodes whose classes are all in one component
@@ -36,8 +37,9 @@ from .common import components, discard, settle, small_batches, words
 
 WIDTH, THRESHOLD = 5, 0.8
 #: Coordinates of the minwise signature; trees; largest node compared pair by pair; levels
-#: between contractions; classes in a slice of a large node.
-COORDINATES, TREES, LIMIT, LEVELS, SLICE = 64, 12, 16, (3, 3, 2), 64
+#: between contractions; classes in a slice of a large node; powers of 1/threshold that the
+#: sizes of one root span.
+COORDINATES, TREES, LIMIT, LEVELS, SLICE, SIZES = 64, 12, 16, (3, 3, 2), 64, 4
 _SLACK = 5  # standard deviations by which an estimate may fall short of the threshold
 
 _rng = np.random.default_rng(20240607)
@@ -249,8 +251,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
     full = prof.where("digest is not null")
     reps = settle(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")))
     real = reps.where("rep is not null").dropDuplicates(["rep"])
-    # all trees at once: a tree is the seed of its root
-    rows = real.select(F.explode(F.sequence(F.lit(1).cast("long"), F.lit(TREES).cast("long"))).alias("node"), "rep", "sig")
+    # all trees at once. A tree has a root for each range of set sizes: sets that link differ
+    # in size by less than the threshold, and the borders of a range differ from tree to tree
+    tree = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(TREES).cast("long"))).alias("tree")
+    steps = F.log("n_shingles") / math.log(1 / threshold) / SIZES
+    rows = real.select(tree, "rep", "sig", steps.alias("steps")).select(F.xxhash64("tree", F.floor(F.col("steps") + F.col("tree") * 0.6180339887 % 1)).alias("node"), "rep", "sig")
     sig = real.select("rep", "sig")
 
     def branch(rows: DataFrame, levels: int, comp: DataFrame | None) -> tuple[list[DataFrame], DataFrame | None]:
