@@ -226,11 +226,12 @@ def _exhaust(docs: DataFrame, rows: DataFrame, width: int, threshold: float) ->
     sets = _full_sets(docs, ids, width)
     per = rows.groupBy("node", "component").agg(F.count("*").alias("k"))
     most = per.groupBy("node").agg(F.max_by("component", F.struct("k", "component")).alias("most"), F.sum("k").alias("n"))
-    tied = rows.select("node", "rep", "component").join(most, "node").withColumn("slice", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / SLICE)))
-    full = tied.join(sets, "rep")
+    odds = rows.join(most, "node").where("component <> most").groupBy("node").agg(F.count("*").alias("n_odd"))
+    tied = rows.select("node", "rep", "component").join(most.join(odds, "node"), "node")
+    full = tied.join(sets, "rep").withColumn("h", F.xxhash64("rep"))
     packed = F.collect_list(F.struct("rep", "component", "shingles"))
-    every = full.groupBy("node", "slice").agg(packed.alias("all"))
-    odd = full.where("component <> most").groupBy("node", "slice").agg(packed.alias("odd"))
+    every = full.groupBy("node", F.pmod("h", F.ceil(F.col("n") / SLICE)).alias("slice")).agg(packed.alias("all"))
+    odd = full.where("component <> most").groupBy("node", F.pmod("h", F.ceil(F.col("n_odd") / SLICE)).alias("slice")).agg(packed.alias("odd"))
     id_type = docs.schema["doc_id"].dataType
     kind = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)])
     dealt = odd.drop("slice").join(every.drop("slice"), "node").select("odd", "all").repartition(max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
