@@ -34,6 +34,7 @@ GRAMS, BUCKETS, WIDTH, TRAIN = (3, 4, 5, 6), 1 << 17, 8, 3000
 EPOCHS, RATE, DECAY, SCALE, LEAST = 80, 0.02, 1e-4, 100.0, 3
 THRESHOLD = 0.3
 _BLOCK = 1 << 20  # bytes of text worked on at once
+_PART = 100  # documents of the sample worked on at once
 
 _letters = np.ones(256, bool)
 _letters[list(range(0, 48)) + list(range(58, 65)) + list(range(91, 97)) + list(range(123, 128))] = False
@@ -90,16 +91,23 @@ def _features(batches):
 
 
 def fit(idx: list[bytes], val: list[bytes], y: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
-    """Per bucket the embedding's product with the softmax difference, and the intercept."""
-    flat = np.concatenate([np.frombuffer(x, np.int32) for x in idx])
-    x = np.concatenate([np.frombuffer(v, np.float32) for v in val]) * np.float32(SCALE)
-    row = np.repeat(np.arange(len(y), dtype=np.int32), [len(i) // 4 for i in idx])
+    """Per bucket the embedding's product with the softmax difference, and the intercept.
+    The sample is held once, in parts, and every pass makes temporaries of one part only."""
     share = y.mean()
-    if not len(flat) or share in (0.0, 1.0):
+    parts = []
+    held = np.zeros(BUCKETS, np.int64)  # documents that hold a bucket
+    for lo in range(0, len(y), _PART):
+        flat = np.concatenate([np.frombuffer(v, np.int32) for v in idx[lo : lo + _PART]])
+        x = np.concatenate([np.frombuffer(v, np.float32) for v in val[lo : lo + _PART]])
+        n = np.array([len(v) // 4 for v in idx[lo : lo + _PART]])
+        idx[lo : lo + _PART] = val[lo : lo + _PART] = [None] * len(n)
+        held += np.bincount(flat, minlength=BUCKETS)
+        parts.append([lo, n, flat, x])
+    if not held.any() or share in (0.0, 1.0):
         return np.zeros(BUCKETS), float(np.log((prior + 1e-9) / (1 - prior + 1e-9)))
-    held = np.bincount(flat, minlength=BUCKETS)  # documents that hold a bucket
     rarity = np.where(held >= LEAST, np.log((len(y) + 1) / (held + 1)), 0).astype(np.float32)
-    x *= rarity[flat]
+    for p in parts:
+        p[3] = p[3] * (rarity[p[2]] * np.float32(SCALE))
     rng = np.random.default_rng(7)
     e = rng.normal(0, 0.001, (BUCKETS, WIDTH)).astype(np.float32)
     w = rng.normal(0, 0.3, (WIDTH, 2)).astype(np.float32)
@@ -107,11 +115,17 @@ def fit(idx: list[bytes], val: list[bytes], y: np.ndarray, prior: float) -> tupl
     params, moment = [e, w, b], [[np.zeros_like(p), np.zeros_like(p)] for p in (e, w, b)]
     for step in range(1, EPOCHS + 1):
         d = w[:, 1] - w[:, 0]
-        z = np.bincount(row, x * (e @ d)[flat], len(y)) + b[1] - b[0]
-        r = (1 / (1 + np.exp(-z)) - y) / len(y)
-        back = np.bincount(flat, x * r[row].astype(np.float32), BUCKETS).astype(np.float32)
+        s = e @ d
+        back, miss = np.zeros(BUCKETS), 0.0
+        for lo, n, flat, x in parts:
+            row = np.repeat(np.arange(len(n)), n)
+            z = np.bincount(row, x * s[flat], len(n)) + b[1] - b[0]
+            r = (1 / (1 + np.exp(-z)) - y[lo : lo + len(n)]) / len(y)
+            back += np.bincount(flat, x * r[row].astype(np.float32), BUCKETS)
+            miss += r.sum()
+        back = back.astype(np.float32)
         pull = (e.T @ back).astype(np.float32)
-        grads = [back[:, None] * d[None, :] + DECAY * e, np.stack([-pull, pull], 1) + DECAY * w, np.array([-r.sum(), r.sum()], np.float32)]
+        grads = [back[:, None] * d[None, :] + DECAY * e, np.stack([-pull, pull], 1) + DECAY * w, np.array([-miss, miss], np.float32)]
         for p, g, (m, v) in zip(params, grads, moment):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
@@ -134,8 +148,10 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     if not rows.num_rows:
         return np.zeros(BUCKETS), float(np.log((prior + 1e-9) / (1 - prior + 1e-9)))
     order = np.argsort([crc32(v) for v in rows["idx"].to_pylist()], kind="stable")  # the order of arrival is not fixed
-    rows = rows.take(pa.array(order))
-    return fit(rows["idx"].to_pylist(), rows["val"].to_pylist(), rows["toxic"].to_numpy().astype(np.float64), prior)
+    y = rows["toxic"].to_numpy().astype(np.float64)[order]
+    idx, val = rows["idx"].to_pylist(), rows["val"].to_pylist()
+    del rows
+    return fit([idx[i] for i in order], [val[i] for i in order], y, prior)
 
 
 def _scores(column: pa.Array, weight: np.ndarray, bias: float) -> np.ndarray:
