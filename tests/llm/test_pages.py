@@ -86,3 +86,21 @@ def test_repeated_windows():
     a, b = [f"t{i}" for i in range(30)], [f"u{i}" for i in range(5)] + [f"t{i}" for i in range(4, 4 + run + 2)] + ["v"]
     hit = html_text.repeated([a, b, a], ["p", "q", "p"])
     assert hit[0].tolist() == [4, 5, 6] == hit[2].tolist() and hit[1].tolist() == [5, 6, 7]
+
+
+def test_filter_equals_its_sql(spark):
+    import duckdb
+
+    from arbora.llm.queries import ORACLE
+
+    link = '<link href="{}" rel="canonical">'
+    rows = [
+        (1, "http://S.com/en/1", ""), (2, "http://mirror.xyz/a?b=1", link.format("http://s.com/en/1")), (3, "http://alias.xyz/b#f", '<meta http-equiv="refresh" content="0; url=http://mirror.xyz/a?b=1">'),
+        (4, "http://other.xyz/d/e", link.format("f")), (5, "http://other.xyz/d/f", link.format("//t.com/en/2")), (6, "http://t.com/en/2", None), (7, None, "x"), (8, "nohost/en/", ""),
+        (9, "http://example.com/en/7", link.format("/home")), (10, "http://example.com/home", link.format("http://q.net/de/")), (11, "http://q.net/de/", ""),
+    ]
+    con = duckdb.connect()
+    con.execute("create table pages (page_id bigint, url varchar, html varchar)")
+    con.executemany("insert into pages values (?, ?, ?)", rows)
+    want = sorted(map(str, con.execute(ORACLE["op6_url_filter"]).fetchall()))
+    assert sorted(str(tuple(r)) for r in url_filter.judge(pages(spark, rows)).collect()) == want
