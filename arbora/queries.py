@@ -514,3 +514,112 @@ def usage_share(spark, sf):
 def embedding_norms(spark, sf):
     e = _t(spark, sf, "embeddings").select("label", F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).alias("norm"))
     return e.groupBy("label").agg(F.round(F.avg("norm"), 6).alias("norm"), F.count("*").alias("n"))
+
+
+# -- edits ----------------------------------------------------------------------------
+@_op("select c_custkey, case when c_nationkey in (select n_nationkey from nation where n_regionkey = 1) then null else c_nationkey end c_nationkey from customer where c_acctbal >= 0")
+def kill_objects(spark, sf):
+    from .operators.edits import kill
+
+    c = _t(spark, sf, "customer")
+    out = kill(c.select("c_custkey", "c_nationkey"), "c_custkey", c.where("c_acctbal < 0").select("c_custkey"))
+    return kill(out.withColumn("k", F.lit(-1)), "k", _t(spark, sf, "nation").where("n_regionkey = 1").select("n_nationkey"), {"c_nationkey": "nation"}).drop("k")
+
+
+@_op("select n_nationkey, case when n_regionkey = 1 then 11 else n_regionkey end n_regionkey from nation")
+def rename_objects(spark, sf):
+    from .operators.edits import rename
+
+    return rename(_t(spark, sf, "nation").select("n_nationkey", "n_regionkey"), "n_regionkey", spark.createDataFrame([(1, 11)], "a int, b int"))
+
+
+@_op("select s_suppkey, 'ya' || (row_number() over (order by s_suppkey) + 5) || 'x.y' as fresh from supplier")
+def fresh_names(spark, sf):
+    from .operators.edits import new_names
+
+    taken = spark.createDataFrame([("ya5x.y",), ("ya3x.y",), ("yb9x.y",)], "n string")
+    return new_names(_t(spark, sf, "supplier").select("s_suppkey"), "ya%dx.y", taken, "fresh", ["s_suppkey"])
+
+
+# -- reads ----------------------------------------------------------------------------
+def _reads(spark, sf):
+    """Part names as short reads over four letters."""
+    return _t(spark, sf, "part").select("p_partkey", F.translate(F.lower("p_name"), "bdefhijklmnopqrsuvwxyz ", "acgtacgtacgtacgtacgtacg").alias("s"))
+
+
+_READS = "(select p_partkey, translate(lower(p_name), 'bdefhijklmnopqrsuvwxyz ', 'acgtacgtacgtacgtacgtacg') s from part)"
+
+
+@_op(f"select p_partkey, len(regexp_extract_all(s, 'ac'))::int ac, len(regexp_extract_all(s, 'g[at]'))::int gw from {_READS}")
+def motif_counts(spark, sf):
+    from .operators.sequences import motif_counts as count
+
+    return count(_reads(spark, sf), "p_partkey", "s", {"ac": "ac", "gw": "g[at]"})
+
+
+@_op(f"select i::int pos, substring(s, i, 1) base, count(*) n from {_READS}, unnest(range(1, 30)) t(i) where i <= length(s) group by 1, 2")
+def position_profile(spark, sf):
+    from .operators.sequences import position_profile as profile
+
+    return profile(_reads(spark, sf), "s")
+
+
+@_op(f"""with w as (select p_partkey id, i::int pos, substring(s, i, 8) seed from {_READS}, unnest(range(1, 30)) t(i) where i + 7 <= length(s) and p_partkey < 60), f as (select seed from w group by 1 having count(*) <= 81)
+    select a.id, b.id target_id, b.pos - a.pos diagonal, count(*) seeds from w a join f using (seed) join w b on b.seed = a.seed group by 1, 2, 3""")
+def seed_join(spark, sf):
+    from .operators.sequences import seed_join as join
+    from .operators.sequences import seeds
+
+    w = seeds(_reads(spark, sf).where("p_partkey < 60"), "p_partkey", "s", 8)
+    return join(w, w)
+
+
+@_op(f"""with w as (select p_partkey id, i::int pos, substring(s, i, 5) t from {_READS}, unnest(range(1, 30)) x(i) where i + 4 <= length(s))
+    select id, pos, ((substring(t, 1, 1) <> 'a')::int + (substring(t, 2, 1) <> 'c')::int + (substring(t, 3, 1) not in ('a', 'g'))::int + (substring(t, 4, 1) <> 't')::int + (substring(t, 5, 1) <> 'a')::int)::int errors from w
+    where (substring(t, 1, 1) <> 'a')::int + (substring(t, 2, 1) <> 'c')::int + (substring(t, 3, 1) not in ('a', 'g'))::int + (substring(t, 4, 1) <> 't')::int + (substring(t, 5, 1) <> 'a')::int <= 1""")
+def fuzzy_match(spark, sf):
+    from .operators.sequences import fuzzy_match as match
+
+    return match(_reads(spark, sf), "p_partkey", "s", "acrta", 1, 0)
+
+
+@_op("""with g as (select l_returnflag sample, l_linestatus target, l_linenumber pos, l_suppkey % 4 variant, count(*) cover, sum((l_quantity > 25)::int)::bigint support from lineitem group by 1, 2, 3, 4)
+    select *, round(100.0 * support / cover, 6) percent from g where cover >= 10 and 100.0 * support / cover >= 48""")
+def variant_support(spark, sf):
+    from .operators.sequences import variant_support as support
+
+    calls = _t(spark, sf, "lineitem").selectExpr("l_returnflag as sample", "l_linestatus as target", "l_linenumber as pos", "l_suppkey % 4 as variant", "l_quantity > 25 as is_variant")
+    return support(calls, 10, 48.0).withColumn("percent", F.round("percent", 6))
+
+
+@_op("""with a as (select distinct l_orderkey from lineitem where l_quantity > 25), b as (select distinct l_orderkey from lineitem where l_discount > 0.05), n as (select count(*) filter (a.l_orderkey is not null and b.l_orderkey is not null) tp,
+    count(*) filter (b.l_orderkey is null) fp, count(*) filter (a.l_orderkey is null) fn from a full join b on a.l_orderkey = b.l_orderkey) select tp, fp, fn, round(tp / (tp + fp), 8) "precision", round(tp / (tp + fn), 8) recall, round(2 * tp / (2 * tp + fp + fn), 8) f from n""")
+def against_truth(spark, sf):
+    from .operators.sequences import against_truth as compare
+
+    li = _t(spark, sf, "lineitem")
+    out = compare(li.where("l_quantity > 25"), li.where("l_discount > 0.05"), ["l_orderkey"])
+    return out.select("tp", "fp", "fn", *[F.round(c, 8).alias(c) for c in ("precision", "recall", "f")])
+
+
+@_op(f"select target, floor(a / 50)::bigint ka, count(*) support from (select key target, lo a, hi b from {_SPANS}) group by target, floor(a / 50), floor(b / 50) having count(*) >= 2")
+def break_points(spark, sf):
+    from .operators.sequences import break_points as points
+
+    s = _spans(spark, sf).select(F.col("key").alias("target"), F.col("lo").alias("a"), F.col("hi").alias("b"))
+    return points(s, 50).select("target", F.floor(F.col("donor") / 50).cast("long").alias("ka"), "support")
+
+
+@_op(None)
+def principal_directions(spark, sf):
+    from .operators.linear import principal, project
+
+    e = _t(spark, sf, "embeddings").select("vec_id", "embedding")
+    mean, dirs, _ = principal(e, "embedding", 2)
+    return project(e, "embedding", mean, dirs).select("vec_id", "projection")
+
+
+@_op("select x target, x + 7 x1, y from (select user_id x, count(*)::double * 2 y from events group by 1) where y >= 100")
+def reshape_track(spark, sf):
+    t = _t(spark, sf, "events").groupBy(F.col("user_id").alias("target")).agg(F.count("*").cast("double").alias("y")).withColumn("x", F.col("target"))
+    return tracks.reshape(t, 2.0, 7, 100.0).select("target", F.col("x").alias("x1"), "y")
