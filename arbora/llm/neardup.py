@@ -39,7 +39,7 @@ WIDTH, THRESHOLD = 5, 0.8
 #: Coordinates of the minwise signature; trees; largest node compared pair by pair; levels
 #: between contractions; classes in a slice of a large node; powers of 1/threshold that the
 #: sizes of one root span.
-COORDINATES, TREES, LIMIT, LEVELS, SLICE, SIZES = 64, 12, 16, (3, 3, 2), 64, 4
+COORDINATES, TREES, LIMIT, LEVELS, SLICE, SIZES = 64, 12, 16, (3, 2), 64, 4
 _SLACK = 5  # standard deviations by which an estimate may fall short of the threshold
 
 _rng = np.random.default_rng(20240607)
@@ -218,6 +218,18 @@ def _compare(per: int):
     return run
 
 
+def _labels(links: DataFrame) -> DataFrame:
+    """(node, component): the smallest class within three links. Classes of one label are
+    connected; that is all that contraction needs, and costs fewer rounds than components."""
+    both = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    both = both.union(both.select("v", "u"))
+    label = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("c"))
+    for _ in range(2):
+        near = both.join(label.toDF("v", "c"), "v").select("u", "c").union(label)
+        label = near.groupBy("u").agg(F.min("c").alias("c"))
+    return settle(label.toDF("node", "component"))
+
+
 def _exhaust(docs: DataFrame, rows: DataFrame, width: int, threshold: float) -> DataFrame:
     """Links of nodes that stay large with several components: every class outside of a
     node's largest component against all others, slice against slice, on full sets. Only
@@ -259,20 +271,20 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
     rows = real.select(tree, "rep", "sig", steps.alias("steps")).select(F.xxhash64("tree", F.floor(F.col("steps") + F.col("tree") * 0.6180339887 % 1)).alias("node"), "rep", "sig")
     sig = real.select("rep", "sig")
 
-    def branch(rows: DataFrame, levels: int, comp: DataFrame | None) -> tuple[list[DataFrame], DataFrame | None]:
+    def branch(rows: DataFrame, levels: int, comp: DataFrame | None) -> tuple[list[DataFrame], DataFrame | None, list[DataFrame]]:
         found: list[DataFrame] = []
-        both = None
+        held: list[DataFrame] = []
         for _ in range(levels):
-            last, both = both, _split(_children(rows, threshold), comp)
-            discard(last)
+            both = _split(_children(rows, threshold), comp)
+            held.append(both)
             small, large = both.where(F.col("n") <= LIMIT), both.where(F.col("n") > LIMIT)
             star = large.where("rep <> leader.rep" if comp is None else "component <> leader.component")
             star = star.select(F.least("leader.rep", "rep").alias("a"), F.greatest("leader.rep", "rep").alias("b"))
-            found.append(settle(_within(small, comp is not None).union(star).distinct()))
+            found.append(_within(small, comp is not None).union(star))
             if large.isEmpty():
-                return found, None
+                return found, None, held
             rows = large.select("node", "rep").join(sig, "rep")
-        return found, both.where(F.col("n") > LIMIT)
+        return found, large, held
 
     def union(parts: list[DataFrame]) -> DataFrame:
         out = parts[0]
@@ -283,23 +295,23 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
     links = comp = None
     rest = rows
     for levels in LEVELS:
-        found, rest = branch(rest, levels, comp)
+        found, rest, held = branch(rest, levels, comp)
         new = _confirm(docs, real, union(found), width, threshold)
-        for t in found:
+        links = new if links is None else settle(links.union(new).distinct())
+        comp = _labels(links)
+        for t in held[:-1]:
             discard(t)
-        links = new if links is None else links.union(new).distinct()
-        comp = components(links, "a", "b")
         if rest is None:
             break
         rest = rest.select("node", "rep").join(sig, "rep")
     else:
-        # nodes that are mixed still, by the components found last
+        # nodes that are mixed still, by the links found last
         mixed = rest.select("node", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         several = mixed.groupBy("node").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("node")
         mixed = settle(mixed.join(several, "node", "left_semi"))
         if not mixed.isEmpty():
-            links = links.union(_exhaust(docs, mixed, width, threshold)).distinct()
-            comp = components(links, "a", "b")
+            links = links.union(_exhaust(docs, mixed, width, threshold))
+    comp = components(links, "a", "b")
     classes = reps.select("digest", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     joined = prof.where("digest is not null").select("doc_id", "n_shingles", "digest").join(classes, "digest").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     empty = prof.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
