@@ -116,7 +116,8 @@ def neighbours_in_order(docs: DataFrame) -> tuple[DataFrame, int]:
     extra = F.when(is_first, F.struct(F.col("before").alias("at"), F.lit(True).alias("tail"))).otherwise(none)
     spread = tied.select("doc_id", "text", *order, F.explode(F.filter(F.array(own, extra), lambda x: x.isNotNull())).alias("p"))
     flat = spread.select("doc_id", "text", F.col("p.at").alias("at"), F.col("p.tail").alias("tail"), *order)
-    dealt = flat.repartition(ranges, "at").sortWithinPartitions("at", "tail", *order)
+    dealt = flat.repartition(3 * ranges, "at")  # few ranges meet in one task
+    dealt = dealt.sortWithinPartitions("at", "tail", *order)
     return dealt.select("doc_id", "text", "at", "tail"), ranges
 
 
