@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from .common import remainder
 
-GRAMS, BUCKETS, WIDTH, TRAIN = (3, 4, 5, 6), 1 << 17, 8, 3000
+GRAMS, BUCKETS, WIDTH, TRAIN = (3, 4, 5, 6), 1 << 17, 8, 2000
 EPOCHS, RATE, DECAY, SCALE, LEAST = 80, 0.02, 1e-4, 100.0, 3
 THRESHOLD = 0.3
 _BLOCK = 1 << 20  # bytes of text worked on at once
@@ -90,19 +90,35 @@ def _features(batches):
         yield pa.RecordBatch.from_arrays([pa.array(idx, pa.binary()), pa.array(val, pa.binary()), b.column(1)], ["idx", "val", "toxic"])
 
 
-def fit(idx: list[bytes], val: list[bytes], y: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
+def _views(column: pa.ChunkedArray, kind) -> list[np.ndarray]:
+    """The values of a binary column as arrays over its own memory."""
+    out = []
+    for chunk in column.chunks:
+        _, ends, data = chunk.buffers()
+        if data is None:
+            out += [np.empty(0, kind)] * len(chunk)
+            continue
+        at = np.frombuffer(ends, np.int32)[chunk.offset : chunk.offset + len(chunk) + 1] // np.dtype(kind).itemsize
+        flat = np.frombuffer(data, kind, data.size // np.dtype(kind).itemsize)
+        out += [flat[a:b] for a, b in zip(at, at[1:])]
+    return out
+
+
+def fit(rows: pa.Table, prior: float) -> tuple[np.ndarray, float]:
     """Per bucket the embedding's product with the softmax difference, and the intercept.
-    The sample is held once, in parts, and every pass makes temporaries of one part only."""
-    share = y.mean()
+    The sample (idx, val, toxic) is held once, in parts, and every pass makes temporaries
+    of one part only."""
+    idx, val, y = _views(rows["idx"], np.int32), _views(rows["val"], np.float32), rows["toxic"].to_numpy().astype(np.float64)
+    order = np.argsort([crc32(v.tobytes()) for v in idx], kind="stable")  # the order of arrival is not fixed
+    y, share = y[order], y.mean()
     parts = []
     held = np.zeros(BUCKETS, np.int64)  # documents that hold a bucket
     for lo in range(0, len(y), _PART):
-        flat = np.concatenate([np.frombuffer(v, np.int32) for v in idx[lo : lo + _PART]])
-        x = np.concatenate([np.frombuffer(v, np.float32) for v in val[lo : lo + _PART]])
-        n = np.array([len(v) // 4 for v in idx[lo : lo + _PART]])
-        idx[lo : lo + _PART] = val[lo : lo + _PART] = [None] * len(n)
+        own = order[lo : lo + _PART]
+        flat = np.concatenate([idx[i] for i in own])
         held += np.bincount(flat, minlength=BUCKETS)
-        parts.append([lo, n, flat, x])
+        parts.append([lo, np.array([len(idx[i]) for i in own]), flat, np.concatenate([val[i] for i in own])])
+    del idx, val, rows
     if not held.any() or share in (0.0, 1.0):
         return np.zeros(BUCKETS), float(np.log((prior + 1e-9) / (1 - prior + 1e-9)))
     rarity = np.where(held >= LEAST, np.log((len(y) + 1) / (held + 1)), 0).astype(np.float32)
@@ -147,11 +163,10 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(pick, "doc_id").select("text", "toxic").mapInArrow(_features, "idx binary, val binary, toxic int").toArrow()
     if not rows.num_rows:
         return np.zeros(BUCKETS), float(np.log((prior + 1e-9) / (1 - prior + 1e-9)))
-    order = np.argsort([crc32(v) for v in rows["idx"].to_pylist()], kind="stable")  # the order of arrival is not fixed
-    y = rows["toxic"].to_numpy().astype(np.float64)[order]
-    idx, val = rows["idx"].to_pylist(), rows["val"].to_pylist()
+    out = fit(rows, prior)
     del rows
-    return fit([idx[i] for i in order], [val[i] for i in order], y, prior)
+    pa.default_memory_pool().release_unused()
+    return out
 
 
 def _scores(column: pa.Array, weight: np.ndarray, bias: float) -> np.ndarray:
