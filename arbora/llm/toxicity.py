@@ -9,7 +9,7 @@ by Adam on a bounded sample of labelled documents; misspellings and inflections
 never seen share the vectors of their n-grams. For scoring the product of embeddings and
 softmax is one number a bucket, so a whole batch of texts is scored by array operations.
 
-Parameters: at most TRAIN labelled documents (half of them label 1 where there are so
+Parameters: at most TRAIN labelled documents (a quarter of them label 1 where there are so
 many), those of the least hash of doc_id; the sampling is undone in the intercept.
 
 Defined results: null and empty texts, and texts without a word, get the score of the
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from .common import remainder
 
-GRAMS, BUCKETS, WIDTH, TRAIN = (3, 4, 5, 6), 1 << 17, 8, 2000
+GRAMS, BUCKETS, WIDTH, TRAIN = (3, 4, 5, 6), 1 << 17, 8, 3000
 EPOCHS, RATE, DECAY, SCALE, LEAST = 80, 0.02, 1e-4, 100.0, 3
 THRESHOLD = 0.3
 _BLOCK = 1 << 20  # bytes of text worked on at once
@@ -158,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     if not sum(n.values()):
         return np.zeros(BUCKETS), -20.0
     prior = n.get(1, 0) / sum(n.values())
-    pick = [lab.where(f"toxic = {c}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN // 2) for c in (0, 1)]
+    pick = [lab.where(f"toxic = {c}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_c) for c, n_c in ((0, TRAIN - TRAIN // 4), (1, TRAIN // 4))]
     pick = F.broadcast(pick[0].union(pick[1]))  # at most TRAIN rows
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(pick, "doc_id").select("text", "toxic").mapInArrow(_features, "idx binary, val binary, toxic int").toArrow()
     if not rows.num_rows:
