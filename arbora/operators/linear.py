@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -85,14 +83,3 @@ def merge_closest(groups: DataFrame, key: str, ident: str, value: str, reach: fl
 
     t = {f.name: f.dataType.simpleString() for f in groups.schema.fields}
     return groups.select(key, ident, value).groupBy(key).applyInPandas(run, f"{key} {t[key]}, {ident} {t[ident]}, cluster int")
-
-
-def batches_of(it: Iterator, n: int) -> Iterator[list]:
-    held = []
-    for x in it:
-        held.append(x)
-        if len(held) == n:
-            yield held
-            held = []
-    if held:
-        yield held

@@ -8,7 +8,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .texts import canonical, kmers
 
@@ -77,9 +76,7 @@ def fuzzy_match(df: DataFrame, ident: str, sequence: str, pattern: str, max_erro
 def consensus(df: DataFrame, key: list[str], sequence: str) -> DataFrame:
     """The most frequent sequence of each key, its support and the number of reads."""
     per = df.groupBy(*key, sequence).agg(F.count("*").alias("support"))
-    w = Window.partitionBy(*key)
     best = per.groupBy(*key).agg(F.max_by(F.struct(sequence, "support"), F.struct("support", sequence)).alias("b"), F.sum("support").alias("reads"), F.count("*").alias("kinds"))
-    del w
     return best.select(*key, F.col(f"b.{sequence}").alias(sequence), F.col("b.support").alias("support"), "reads", "kinds")
 
 

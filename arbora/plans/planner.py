@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, dna
 from ..functions.natural import natural_key, order_columns
-from ..lang.ast import Active, Agg, Bin, Call, ClassScan, Cmp, DateLit, Decl, Isa, Method, Num, Obj, Path, Prev, Right, Select, Str, Un, Var, Where
-from .model import Class, Column, Model, Tag
+from ..lang.ast import Active, Agg, Bin, Call, ClassScan, Cmp, DateLit, Decl, Isa, Method, Num, Obj, Path, Prev, Right, Select, Str, Un, Var
+from .model import Class, Model, Tag
 
 _ids = itertools.count(1)
 

@@ -15,12 +15,14 @@ from .operators import graph, statistics, tables, texts, tracks
 from .plans.model import relational
 from .plans.table_definition import compile_columns
 from .session import Session, set_operation
+from .ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .lang.parser import SyntaxProblem, parse, split_statements
+from .lang.parser import SyntaxProblem, parse
 from .plans.model import Model
 from .plans.planner import Planner, Value, sort_rows
 
@@ -234,4 +234,4 @@ def run_script(session: Session, text: str) -> list:
     return [session.command(line) for line in text.splitlines() if line.strip()]
 
 
-__all__ = ["Result", "Session", "printed", "run_script", "set_operation", "split_statements"]
+__all__ = ["Result", "Session", "printed", "run_script", "set_operation"]

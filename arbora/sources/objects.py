@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.model import Class, Column, Model, Tag
+from ..ship import ship
 
 TYPES = {"text": "text", "int": "number", "float": "number", "longint": "number", "longfloat": "number", "datetype": "date"}
 MODIFIERS = {"unique", "repeat", "xref", "coord", "sorted", "any"}
@@ -158,6 +159,7 @@ def read_block(block: str) -> list[tuple]:
 
 def read_facts(spark: SparkSession, path: str) -> DataFrame:
     """seq, line, op, class, name, tag, vals of an object text file (gzip is unpacked)."""
+    ship(spark)
     text = spark.read.option("lineSep", "\n\n").text(path).withColumn("seq", F.monotonically_increasing_id())
     return text.mapInPandas(_facts, "seq long, line int, op string, class string, name string, tag string, vals array<string>")
 
