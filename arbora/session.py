@@ -39,7 +39,7 @@ class Result:
     def lines(self, null: str = "NULL", quoted: bool = False) -> Iterator[str]:
         """Tab-separated text in the order of the query; a title line if asked for."""
         if self.titled:
-            yield "\t".join((self.titles or {}).get(v.name, v.name) for v in self.values)
+            yield "#" + "\t".join((self.titles or {}).get(v.name, v.name) for v in self.values)
         for r in self.rows():
             yield "\t".join(null if x is None else f'"{x}"' if quoted and isinstance(x, str) else printed(x) for x in r)
 
