@@ -373,37 +373,40 @@ class Planner:
             unit = unit.text if isinstance(unit, Str) else unit.name
             a, b = (self.date(ctx, x) for x in e.args[1:3])
             return Value(dates.datediff(unit, a, b).cast("double"), "number")
-        seq, tag = self._sequence(ctx, e.args[0], "Peptide" if e.fn == "PEPTIDE" else "DNA")
+        of = e.args[0]
+        if isinstance(of, (Active, Obj, Path)):  # made rows of once
+            of = _Bound(self._base(ctx, of))
+        seq = self._sequence(ctx, of)
         if e.fn == "DNA":
             if len(e.args) == 3:
                 return Value(dna.fragment(seq, self.number(ctx, e.args[1]).cast("int"), self.number(ctx, e.args[2]).cast("int")), "text")
             return Value(seq, "text")
-        coding = self._coding(ctx, e.args[0])
-        pep = dna.translate(F.when(coding, seq))
-        if e.fn == "CODING":
-            return Value(F.split(pep, r"\*")[0], "text")
+        if e.fn == "CODING":  # of coding sequences, up to the stop
+            return Value(F.split(dna.translate(F.when(self._coding(ctx, of), seq)), r"\*")[0], "text")
+        pep = dna.translate(seq)
         if len(e.args) == 3:
             pep = dna.peptide_fragment(pep, self.number(ctx, e.args[1]).cast("int"), self.number(ctx, e.args[2]).cast("int"))
         return Value(pep, "text")
 
-    def _sequence(self, ctx: Context, e, tag: str) -> tuple[C, Tag | None]:
-        v = self._base(ctx, e) if isinstance(e, (Var, Prev, Active, Obj, Path)) else self.value(ctx, e)
+    def _sequence(self, ctx: Context, e) -> C:
+        """The bases of an object with a DNA tag, or of a text."""
+        v = self._base(ctx, e) if isinstance(e, (Var, Prev, _Bound)) else self.value(ctx, e)
         if v.kind != "object":
-            return F.lower(v.col.cast("string")), None
+            return F.lower(v.col.cast("string"))
         cls, p = self._object(ctx, v)
         t = cls.tag("DNA")
         if t is None:
-            return F.lit(None).cast("string"), None
+            return F.lit(None).cast("string")
         cell = _col(f"{p}.{t.source}") if t.stored == "value" else F.get(_col(f"{p}.{t.source}")["rows"], F.lit(0))["c1"]
         if t.columns[0].cls:  # the sequence is an object of its own, whose text is its tag
             dcls = self.model.get(t.columns[0].cls)
             q = self.attach_class(ctx, dcls, "left", cell)
             text = dcls.tag("sequence")
-            return F.lower(_col(f"{q}.{text.source}") if text.stored == "value" else F.get(_col(f"{q}.{text.source}")["rows"], F.lit(0))["c1"]), t
-        return F.lower(cell), t
+            return F.lower(_col(f"{q}.{text.source}") if text.stored == "value" else F.get(_col(f"{q}.{text.source}")["rows"], F.lit(0))["c1"])
+        return F.lower(cell)
 
     def _coding(self, ctx: Context, e) -> C:
-        v = self._base(ctx, e) if isinstance(e, (Var, Prev, Active, Obj)) else None
+        v = self._base(ctx, e) if isinstance(e, (Var, Prev, _Bound)) else None
         if v is None or v.kind != "object":
             return F.lit(True)
         cls, _ = self._object(ctx, v)

@@ -29,6 +29,7 @@ from ..ship import ship
 
 TYPES = {"text": "text", "int": "number", "float": "number", "longint": "number", "longfloat": "number", "datetype": "date"}
 MODIFIERS = {"unique", "repeat", "xref", "coord", "sorted", "any"}
+_BLANK = re.compile(r"\n[ \t\r]*\n")
 _WORD = re.compile(r'"((?:[^"\\]|\\.)*)"|(\S+)')
 
 
@@ -96,8 +97,10 @@ def parse_model(text: str) -> dict[str, list[Tag]]:
 def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for seq, block in zip(pdf["seq"], pdf["value"]):
-            rows += [(seq, i, *r) for i, r in enumerate(read_block(block))]
+        for seq, text in zip(pdf["seq"], pdf["value"]):
+            # a line of white space divides paragraphs too
+            facts = [r for block in _BLANK.split(text) for r in read_block(block)]
+            rows += [(seq, i, *r) for i, r in enumerate(facts)]
         yield pd.DataFrame(rows, columns=["seq", "line", "op", "class", "name", "tag", "vals"])
 
 
@@ -114,8 +117,10 @@ def read_block(block: str) -> list[tuple]:
         name, seq = None, []
         for x in [*lines, ">"]:
             if x.startswith(">"):
-                if name:
-                    out += [("object", "DNA", name, None, []), ("value", "DNA", name, "sequence", ["".join(seq).lower()])]
+                if name:  # a sequence of that name refers to it
+                    text = "".join(seq).lower()
+                    out += [("object", "DNA", name, None, []), ("value", "DNA", name, "sequence", [text])]
+                    out += [("object", "Sequence", name, None, []), ("value", "Sequence", name, "DNA", [name, str(len(text))])]
                 name, seq = (x[1:].split() or [None])[0], []
             else:
                 seq.append(x.strip())
