@@ -129,9 +129,9 @@ def _children(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.select(F.explode(F.filter(F.array(first, second), lambda x: x.isNotNull())).alias("node"), "rep", "sig")
 
 
-def _split(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """The rows of nodes that are not done, with the node's size `n` and its `leader`, one
-    class picked by a hash. A node is done with a single class, or (given comp) a single
+def _split(rows: DataFrame, comp: DataFrame | None, carry: bool) -> DataFrame:
+    """The rows of nodes that are not done (with their signatures if `carry`), with the
+    node's size `n` and its `leader`, one class picked by a hash. A node is done with a single class, or (given comp) a single
     component. Sizes and leaders are pre-aggregated by map tasks."""
     keep = ["node", "rep"]
     if comp is not None:
@@ -141,7 +141,7 @@ def _split(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
     mixed = [F.min("component").alias("c0"), F.max("component").alias("c1")] if comp is not None else []
     size = rows.groupBy("node").agg(F.count("*").alias("n"), lead, *mixed)
     size = size.where("n > 1" if comp is None else "n > 1 and c0 <> c1").select("node", "n", "leader")
-    return settle(rows.select(*keep).join(size, "node"))
+    return settle(rows.select(*keep, *(["sig"] if carry else [])).join(size, "node"))
 
 
 def _within(small: DataFrame, comp: bool) -> DataFrame:
@@ -272,10 +272,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
     sig = real.select("rep", "sig")
 
     def branch(rows: DataFrame, levels: int, comp: DataFrame | None) -> tuple[list[DataFrame], DataFrame | None, list[DataFrame]]:
+        """Candidate pairs, the rows of large nodes (None: there are none), tables in use.
+        Most rows are done after a tree's first level; only then signatures go along."""
         found: list[DataFrame] = []
         held: list[DataFrame] = []
-        for _ in range(levels):
-            both = _split(_children(rows, threshold), comp)
+        for k in range(levels):
+            carry = comp is not None or k > 0
+            both = _split(_children(rows, threshold), comp, carry)
             held.append(both)
             small, large = both.where(F.col("n") <= LIMIT), both.where(F.col("n") > LIMIT)
             star = large.where("rep <> leader.rep" if comp is None else "component <> leader.component")
@@ -283,8 +286,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
             found.append(_within(small, comp is not None).union(star))
             if large.isEmpty():
                 return found, None, held
-            rows = large.select("node", "rep").join(sig, "rep")
-        return found, large, held
+            rows = large.select("node", "rep", "sig") if carry else large.select("node", "rep").join(sig, "rep")
+        return found, rows, held
 
     def union(parts: list[DataFrame]) -> DataFrame:
         out = parts[0]
@@ -303,7 +306,6 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
             discard(t)
         if rest is None:
             break
-        rest = rest.select("node", "rep").join(sig, "rep")
     else:
         # nodes that are mixed still, by the links found last
         mixed = rest.select("node", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
