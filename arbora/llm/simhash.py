@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from .common import settle
 
 BITS, KEY = 64, 3
-_ROWS = 4000  # documents in a range
+_ROWS, _RANGES = 4000, 20_000  # documents in a range, as long as there are no more ranges
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -89,7 +89,7 @@ def neighbours_in_order(docs: DataFrame) -> tuple[DataFrame, int]:
     order = ["z", "d", "h"]
     keyed = docs.select("doc_id", "text", F.col("doc_id").isNull().alias("z"), F.bitwise_not("doc_id").alias("d"), F.xxhash64("text").alias("h"))
     n, = docs.agg(F.count("*")).first()
-    ranges = max(1, -(-n // _ROWS))
+    ranges = min(_RANGES, max(1, -(-n // _ROWS)))  # bounds what is broadcast; beyond, ranges grow
     width = max(2, int(ranges**0.5))
     cuts = []
     if ranges > 1:
