@@ -91,6 +91,8 @@ class Session:
             planner = Planner(self.model, self.spark, self.active)
             df, values = planner.run(s)
             out = Result(df, values, s.order, s.titles, s.silent, bool(s.options.get("title")))
+            if "o" in s.options:
+                out.write(s.options["o"])
             first = values[0]
             self.set_active(first.cls if first.kind == "object" else None, df.select(F.col(f"`{first.name}`").alias("name")).where("name is not null").distinct())
         return out
