@@ -30,10 +30,11 @@ from pyspark.sql import types as T
 
 from .common import remainder
 
-GRAMS, BUCKETS, WIDTH, TRAIN = (3, 4, 5, 6), 1 << 17, 8, 3000
+GRAMS, BUCKETS, WIDTH, TRAIN = (3, 4, 5, 6), 1 << 17, 8, 2000
 EPOCHS, RATE, DECAY, SCALE, LEAST = 80, 0.02, 1e-4, 100.0, 3
 THRESHOLD = 0.3
 _BLOCK = 1 << 20  # bytes of text worked on at once
+_HALF = 1000.0  # brings shares into the range of half precision, in which they are sent
 _PART = 100  # documents of the sample worked on at once
 
 _letters = np.ones(256, bool)
@@ -83,7 +84,7 @@ def _features(batches):
                 w = np.bincount(key, 1.0 / n[owner] / len(text), BUCKETS)
                 i = np.nonzero(w)[0]
                 idx.append(i.astype(np.int32).tobytes())
-                val.append(w[i].astype(np.float32).tobytes())
+                val.append((w[i] * _HALF).astype(np.float16).tobytes())
             else:
                 idx.append(b"")
                 val.append(b"")
@@ -108,7 +109,7 @@ def fit(rows: pa.Table, prior: float) -> tuple[np.ndarray, float]:
     """Per bucket the embedding's product with the softmax difference, and the intercept.
     The sample (idx, val, toxic) is held once, in parts, and every pass makes temporaries
     of one part only."""
-    idx, val, y = _views(rows["idx"], np.int32), _views(rows["val"], np.float32), rows["toxic"].to_numpy().astype(np.float64)
+    idx, val, y = _views(rows["idx"], np.int32), _views(rows["val"], np.float16), rows["toxic"].to_numpy().astype(np.float64)
     order = np.argsort([crc32(v.tobytes()) for v in idx], kind="stable")  # the order of arrival is not fixed
     y, share = y[order], y.mean()
     parts = []
@@ -123,7 +124,7 @@ def fit(rows: pa.Table, prior: float) -> tuple[np.ndarray, float]:
         return np.zeros(BUCKETS), float(np.log((prior + 1e-9) / (1 - prior + 1e-9)))
     rarity = np.where(held >= LEAST, np.log((len(y) + 1) / (held + 1)), 0).astype(np.float32)
     for p in parts:
-        p[3] = p[3] * (rarity[p[2]] * np.float32(SCALE))
+        p[3] = p[3].astype(np.float32) * (rarity[p[2]] * np.float32(SCALE / _HALF))
     rng = np.random.default_rng(7)
     e = rng.normal(0, 0.001, (BUCKETS, WIDTH)).astype(np.float32)
     w = rng.normal(0, 0.3, (WIDTH, 2)).astype(np.float32)
