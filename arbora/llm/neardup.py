@@ -95,12 +95,10 @@ def _profiles(width: int):
 def _sets(width: int, bitmap: np.ndarray):
     """Full sets of the documents that may be in a candidate pair: a bitmap of hashed ids
     lets through all of them and few others."""
-    bits = np.uint64(len(bitmap) * 64 - 1)
 
     def run(batches):
         for b in batches:
-            key = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) & bits
-            hit = np.nonzero((bitmap[(key >> np.uint64(6)).astype(np.int64)] >> (key & np.uint64(63))) & np.uint64(1))[0]
+            hit = np.nonzero(_marked(bitmap, b.column(2)))[0]
             ids, text = b.column(0), b.column(1)
             for lo in range(0, len(hit), 256):
                 part = hit[lo : lo + 256]
@@ -160,15 +158,26 @@ def _agreement(x, y):
     return same / F.lit(float(COORDINATES))
 
 
-def _full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(rep, shingles) of the documents in `ids` (column rep), settled."""
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """Marks of hashed ids (column rep): at most 2^27 bits whatever the input; with more ids
+    it only lets more through."""
     n = max(1, ids.count())
     size = 1 << min(27, max(12, (16 * n).bit_length()))
     hashed = F.xxhash64("rep").bitwiseAND(F.lit(size - 1))
-    # a bitmap of at most 2^27 bits, whatever the input; beyond, it only lets more through
     marks = ids.select(F.shiftrightunsigned(hashed, 6).alias("w"), F.expr("shiftleft(1L, cast(xxhash64(rep) & 63 as int))").alias("x")).groupBy("w").agg(F.bit_or("x").alias("x")).toArrow()
     bitmap = np.zeros(size // 64, np.uint64)
     bitmap[marks["w"].to_numpy()] = marks["x"].to_numpy().astype(np.int64).view(np.uint64)
+    return bitmap
+
+
+def _marked(bitmap: np.ndarray, hashes: pa.Array) -> np.ndarray:
+    key = hashes.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) & np.uint64(len(bitmap) * 64 - 1)
+    return ((bitmap[(key >> np.uint64(6)).astype(np.int64)] >> (key & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def _full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(rep, shingles) of the documents in `ids` (column rep), settled."""
+    bitmap = _bitmap(ids)
     text = docs.where("doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("doc_id").alias("h"))
     kind = T.StructType([T.StructField("rep", docs.schema["doc_id"].dataType), T.StructField("shingles", T.ArrayType(T.LongType()))])
     sets = text.mapInArrow(_sets(width, bitmap), kind)
@@ -323,10 +332,22 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
 def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs of which one stays of each component (the smallest doc_id; of rows
     that repeat a doc_id with one text, one). All columns are kept."""
-    out = near_duplicates(docs, width, threshold)
-    stay = settle(out.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")))
-    named = docs.join(stay, docs["doc_id"] == stay["__id"], "left_semi")
-    if not stay.where("__n > 1").isEmpty():  # repeated rows of one doc_id: one of each is enough
-        w = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-        named = named.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
-    return named.unionByName(docs.where("doc_id is null"))
+    out = settle(near_duplicates(docs, width, threshold).where("doc_id is not null").groupBy(F.col("doc_id").alias("rep")).agg(F.max(F.col("kept").cast("int")).alias("kept"), F.count("*").alias("n")))
+    odd = settle(out.where("kept = 0 or n > 1"))  # rows to be dropped, and repeated ones
+    bitmap = _bitmap(odd)
+    rows = docs.where("doc_id is not null").withColumn("__h", F.xxhash64("doc_id"))
+
+    def part(marked: bool) -> DataFrame:
+        def run(batches):
+            for b in batches:
+                yield b.select(b.schema.names[:-1]).filter(pa.array(_marked(bitmap, b.column(b.num_columns - 1)) == marked))
+
+        return rows.mapInArrow(run, docs.schema)
+
+    # most rows need no join: what the bitmap does not hold stays; the others are decided by key
+    stay = odd.select(F.col("rep").alias("__id"), "kept")
+    doubt = part(True)
+    doubt = doubt.join(stay, doubt["doc_id"] == stay["__id"], "left").where("kept is null or kept = 1")
+    w = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    doubt = doubt.withColumn("__n", F.row_number().over(w)).where("__n = 1").select(*docs.columns)
+    return part(False).unionByName(doubt).unionByName(docs.where("doc_id is null"))

@@ -20,6 +20,8 @@ largest counts; without training rows of both classes every score is the share o
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from zlib import crc32
 
 import numpy as np
@@ -166,10 +168,17 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
         return np.zeros(BUCKETS), float(np.log((prior + 1e-9) / (1 - prior + 1e-9)))
     out = fit(rows, prior)
     del rows
-    pa.default_memory_pool().release_unused()
+    _give_back()
     return out
 
 
+def _give_back() -> None:
+    """Return freed memory to the system, where its allocators can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _scores(column: pa.Array, weight: np.ndarray, bias: float) -> np.ndarray:
     out, block, size, done = np.full(len(column), bias), [], 0, 0
 
