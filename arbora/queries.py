@@ -12,7 +12,7 @@ from .functions import dna
 from .functions.natural import order_columns
 from .lang import legacy
 from .operators import graph, statistics, tables, texts, tracks
-from .plans.model import relational
+from .plans.model import Model, relational
 from .plans.table_definition import compile_columns
 from .session import Session, set_operation
 from .ship import ship
@@ -26,11 +26,17 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+_models: dict[tuple[str, str], Model] = {}
+
+
 def session(spark: SparkSession, sf: str) -> Session:
-    m = relational(spark, sf)
-    m.subclass("rich_customer", "customer", "c_acctbal > 5000")
-    m.composite("party", ["customer", "supplier"])
-    return Session(spark, m)
+    """A session over the tables of a folder; their schemas are read once."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _models:
+        _models[key] = m = relational(spark, sf)
+        m.subclass("rich_customer", "customer", "c_acctbal > 5000")
+        m.composite("party", ["customer", "supplier"])
+    return Session(spark, _models[key])
 
 
 def _ask(key: str, text: str, sql: str | None, **rounds: int) -> None:
