@@ -2,17 +2,21 @@
 
 Tokens are the lower-cased words of a text and one end token. The tree's root is the
 add-one distribution over the training tokens and one class of unseen ones. A state is a
-context of one or two tokens; it is grown from a state (or the root) when the context is
-frequent enough and its next-token distribution diverges from its parent's. Counts for a
-state are interpolated with the parent's distribution (Witten-Bell), with the mass of next
-tokens too rare to be held given to the parent, so that every distribution sums to one. A
-token is scored in the state of the longest suffix of the text before it.
-
-All counts cover all training texts. Thresholds are shares of the token count: a context
-and a (context, next) pair are held from shares P_CONTEXT and P_NEXT, which bounds both by
-1/share whatever the input, so that they can be broadcast; tokens of a share of at least
-P_TOKEN likewise. The counts of all rarer tokens stay in a distributed table; their part
-of a text's score, which no state holds, is joined in by token.
+context of any length; it is grown from a state (or the root) when it occurs at least
+LEAST times and its next-token counts diverge from its parent's. All of a state's counts
+are kept and interpolated with the parent's distribution (Witten-Bell), so that every
+distribution sums to one. A token is scored in the state of the longest suffix of the text
+before it.
+
+All counts cover all training texts, and LEAST is an absolute number, so the tree grows
+with the input. It is a distributed table: tokens, contexts and grams go by 64-bit codes,
+a depth's grams are counted and joined to the grams one token shorter, and growing ends
+when a depth has no state. A text's score is a sum of weights by code (of a token its base
+score, of a gram what its state adds to the parent's score, of a state that has not seen
+the token its share for such). Weights of codes of a share of at least P_HEAD are
+broadcast, at most 1/P_HEAD of each kind; all others are joined by code. Bitmaps of bounded
+size keep codes from the joins that cannot match; what they let in wrongly, the exact
+joins drop.
 
 Defined results: null and empty texts are the end token alone; without training rows every
 count is 0; a null doc_id counts as the empty text in the split; repeated rows are scored
@@ -21,19 +25,20 @@ one by one; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_remainder, remainder, settle, words
+from .common import discard, id_remainder, remainder, settle, words
 
-P_TOKEN, P_CONTEXT, P_NEXT, DIVERGENCE = 2e-6, 1e-4, 2e-6, 0.01
+LEAST, DIVERGENCE, P_HEAD = 2, 0.01, 2e-6
 END = b" "  # no word holds a space
-_FLUSH = 400_000
+_BITS = 1 << 27  # of a bitmap, at most
+_STATE = np.uint64(0x9E3779B97F4A7C15)  # tells a state's code from that of the same tokens as a gram
+_FLUSH = 2_000_000
 
 
 def _tokens(text: bytes | None) -> list[bytes]:
@@ -42,107 +47,133 @@ def _tokens(text: bytes | None) -> list[bytes]:
     return w
 
 
-def _count(batches):
-    """Pre-aggregated (token, training count, count) of a task's texts."""
-    train, other = Counter(), Counter()
+def _code(batches):
+    """Texts as 64-bit codes of their tokens."""
+    seen: dict[bytes, int] = {}
+    for b in batches:
+        held, codes, n = [], [], []
+        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
+            w = _tokens(text.as_py())
+            for x in w:
+                h = seen.get(x)
+                if h is None:
+                    seen[x] = h = xxhash.xxh64_intdigest(x)
+                codes.append(h)
+            n.append(len(w))
+            held.append(id_remainder(doc_id, 7) == 2)
+            if len(seen) > 500_000:
+                seen.clear()
+        flat = np.array(codes, np.uint64).view(np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(flat))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.bool_()), lists], ["doc_id", "held", "codes"])
+
 
-    def flush():
-        keys = list(train.keys() | other.keys())
-        t = [train[k] for k in keys]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(t, pa.int64()), pa.array([a + other[k] for a, k in zip(t, keys)], pa.int64())], ["token", "c", "total"])
-        train.clear()
-        other.clear()
+def _flat(lists) -> tuple[np.ndarray, np.ndarray]:
+    """All codes of a column of lists, and the length of each list."""
+    off = lists.offsets.to_numpy()
+    return lists.values.to_numpy()[off[0] : off[-1]].view(np.uint64), np.diff(off)
 
+
+def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys with the sums of each of the values."""
+    own, at = np.unique(keys, return_inverse=True)
+    return own, *[np.bincount(at, v, len(own)).astype(np.int64) for v in values]
+
+
+def _count(batches):
+    """Pre-aggregated (code, training count, count) of a task's tokens."""
     for b in batches:
-        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-            (other if id_remainder(doc_id, 7) == 2 else train).update(_tokens(text.as_py()))
-            if len(train) + len(other) > _FLUSH:
-                yield from flush()
-    yield from flush()
-
-
-class Vocabulary:
-    """The frequent tokens: their places by token, and training counts by place."""
-
-    def __init__(self, tokens: list[bytes], counts: np.ndarray):
-        self.place = {t: i for i, t in enumerate(tokens)}
-        self.counts = counts
-
-
-def _encode(texts: list[bytes | None], place: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all tokens (-1: not held) and the number of tokens of each text."""
-    ids: list[int] = []
-    n = []
-    get = place.get
-    for t in texts:
-        w = _tokens(t)
-        n.append(len(w))
-        ids.extend([get(x, -1) for x in w])
-    return np.array(ids, np.int64), np.array(n, np.int64)
-
-
-def _before(ids: np.ndarray, n: np.ndarray, back: int) -> np.ndarray:
-    """The token `back` places before each token of its own text, else -1."""
-    out = np.full(len(ids), -1, np.int64)
-    out[back:] = ids[: len(ids) - back]
-    start = np.cumsum(n) - n
-    for k in range(back):
-        at = (start + k)[n > k]
-        out[at] = -1
+        flat, n = _flat(b.column(1))
+        code, c, total = _sums(flat, np.repeat(~np.array(b.column(0)), n), np.ones(len(flat)))
+        yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(c), pa.array(total)], ["code", "c", "total"])
+
+
+class Bits:
+    """A bitmap of bounded size that lets codes through: all that were put in, few others."""
+
+    def __init__(self, expected: int):
+        self.size = min(_BITS, 1 << max(12, (4 * expected).bit_length()))
+        self.words = np.zeros(self.size // 64, np.uint64)
+
+    def add(self, codes: DataFrame) -> None:
+        low = F.col("code").bitwiseAND(F.lit(self.size - 1))
+        got = codes.select(F.shiftright(low, 6).alias("w"), F.expr("shiftleft(1L, cast(code & 63 as int))").alias("x")).groupBy("w").agg(F.bit_or("x").alias("x")).toArrow()
+        self.words[got["w"].to_numpy()] |= got["x"].to_numpy().view(np.uint64)
+
+    def has(self, code: np.ndarray) -> np.ndarray:
+        at = code & np.uint64(self.size - 1)
+        return (self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+
+
+def _longer(gram: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """Codes of the grams one token longer that end at each place."""
+    out = np.zeros(len(flat), np.uint64)
+    x = gram[:-1] * np.uint64(0xBF58476D1CE4E5B9) + flat[1:]
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0x94D049BB133111EB)
+    out[1:] = x ^ (x >> np.uint64(29))
     return out
 
 
-def _states(ids: np.ndarray, n: np.ndarray, tree: dict) -> list[np.ndarray]:
-    """For each depth the number of the state before each token, else -1."""
-    last = _before(ids, n, 1)
-    one = np.where(last >= 0, tree["one"][last], -1)
-    if "two" not in tree:
-        return [one]
-    code = np.where((last >= 0) & (one >= 0), _before(ids, n, 2) * tree["v"] + last, -1)
-    code[_before(ids, n, 2) < 0] = -1
-    return [one, _find(tree["two"], code)]
+def _back(values: np.ndarray) -> np.ndarray:
+    """The values one place before."""
+    return np.concatenate((np.zeros(1, values.dtype), values[:-1])) if len(values) else values
 
 
-def _find(table: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """Places of codes in a sorted table, else -1."""
-    if not len(table):
-        return np.full(len(code), -1, np.int64)
-    at = np.minimum(np.searchsorted(table, code), len(table) - 1)
-    return np.where(table[at] == code, at, -1)
+def _depths(flat: np.ndarray, n: np.ndarray, twice: Bits, open_: Bits, most: int):
+    """For each depth: the places whose context may be a state, and the codes there of the
+    context, of the gram (context and token) and of the gram without its first token."""
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+    gram, alive = flat, np.ones(len(flat), bool)
+    for d in range(1, most + 1):
+        context, shorter = _back(gram), gram
+        # a context that an earlier depth has not counted as a gram may occur twice all the same
+        fits = twice.has(context) | ~_back(alive)
+        alive = fits & (place >= d) & (alive & open_.has(_back(before)) if d > 1 else True)
+        before = gram
+        gram = _longer(gram, flat)
+        yield np.nonzero(alive)[0], context, gram, shorter
 
 
-def _follow(sent, depth: int):
-    """Pre-aggregated counts of (state, next token held) over training texts."""
+def _grams(sent, depth: int):
+    """Pre-aggregated counts of the grams of a depth over training texts."""
 
     def run(batches):
-        voc, tree = sent.value
-        kept: list[np.ndarray] = []
+        twice, open_ = sent.value
+        kept: list[tuple[np.ndarray, ...]] = []
+        size = 0
 
         def flush():
-            code, k = np.unique(np.concatenate(kept), return_counts=True)
+            code, context, shorter = (np.concatenate(x) for x in zip(*kept))
             kept.clear()
-            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(k.astype(np.int64))], ["code", "k"])
+            own, at, k = np.unique(code, return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (own, context[at], shorter[at], k)], ["code", "context", "shorter", "k"])
 
-        held = 0
         for b in batches:
-            rows = [t.as_py() for d, t in zip(b.column(0).to_pylist(), b.column(1)) if id_remainder(d, 7) != 2]
-            for lo in range(0, len(rows), 500):
-                ids, n = _encode(rows[lo : lo + 500], voc.place)
-                state = _states(ids, n, tree)[depth - 1]
-                hit = (state >= 0) & (ids >= 0)
-                kept.append(state[hit] * tree["v"] + ids[hit])
-                held += int(hit.sum())
-                if held > 4_000_000:
-                    yield flush()
-                    held = 0
+            flat, n = _flat(b.column(0))
+            *_, (at, context, gram, shorter) = _depths(flat, n, twice, open_, depth)
+            kept.append((gram[at], context[at], shorter[at]))
+            size += len(at)
+            if size > _FLUSH:
+                yield flush()
+                size = 0
         if kept:
             yield flush()
 
     return run
 
 
+def _find(table: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Places of codes in a sorted table, else -1."""
+    if not len(table):
+        return np.full(len(code), -1, np.int64)
+    at = np.minimum(np.searchsorted(table, code), len(table) - 1)
+    return np.where(table[at] == code, at, -1)
+
+
 class Level:
-    """The states of one depth: sorted (state, next) codes with counts, state totals."""
+    """The states of one depth in memory, as the tests know them: sorted (state, next)
+    codes with counts, state totals."""
 
     def __init__(self, code: np.ndarray, k: np.ndarray, totals: np.ndarray, v: int):
         order = np.argsort(code)
@@ -162,49 +193,49 @@ class Level:
         return np.where((state >= 0) & self.alive[s], full, parent)
 
 
-def _prune(level: Level, states: int, parent_of, v: int) -> np.ndarray:
-    """Which states diverge from their parents: Kullback-Leibler over the held tokens, and
-    over the rest as one class."""
-    owner, nxt = level.code // v, level.code % v
-    q = parent_of(owner, nxt)
-    p = (level.k + level.back[owner] * q) / (level.held[owner] + level.back[owner])
-    kl = np.bincount(owner, p * np.log(p / q), states)
-    rest_p = np.clip(1 - np.bincount(owner, p, states), 1e-12, 1)
-    rest_q = np.clip(1 - np.bincount(owner, q, states), 1e-12, 1)
-    return (kl + rest_p * np.log(rest_p / rest_q) >= DIVERGENCE) & level.alive
+def _looked_up(b, twice: Bits, open_: Bits, most: int):
+    """(row of the batch, code) of everything whose weight a text's score may hold: its
+    tokens, its grams, and for held-out texts the states passed."""
+    flat, n = _flat(b.column(2))
+    row = np.repeat(np.arange(len(n)), n)
+    out = np.repeat(np.array(b.column(1)), n)
+    yield row, flat
+    for at, context, gram, _ in _depths(flat, n, twice, open_, most):
+        yield row[at], gram[at]
+        at = at[out[at]]
+        yield row[at], context[at] ^ _STATE
+
 
+def _frequent(sent):
+    """Per text the sums over what is broadcast."""
 
-class Sized:
-    """Counts of a depth, gathered: at most 1/P_NEXT rows."""
+    def run(batches):
+        twice, open_, _, most, code, weights = sent.value
+        for b in batches:
+            n = np.diff(b.column(2).offsets.to_numpy())
+            held = np.array(b.column(1))
+            known, base, gain = np.zeros(len(n)), np.zeros(len(n)), np.zeros(len(n))
+            for row, x in _looked_up(b, twice, open_, most):
+                at = _find(code, x)
+                row, at = row[at >= 0], at[at >= 0]
+                known += np.bincount(row, weights[0][at], len(n))
+                base += np.bincount(row, weights[1][at], len(n))
+                gain += np.bincount(row, np.where(held[row], weights[3][at], weights[2][at]), len(n))
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[3:], b.column(1), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(gain)], ["row", "doc_id", "held", "n_tokens", "known", "base", "gain"])
+
+    return run
 
-    @staticmethod
-    def gather(rows: DataFrame, least: float):
-        t = rows.groupBy("code").agg(F.sum("k").alias("k")).where(F.col("k") >= least).toArrow()
-        return t["code"].to_numpy(), t["k"].to_numpy()
 
+def _seldom(sent):
+    """(2 row + held out, code, occurrences) of what is not broadcast."""
 
-def _score(sent):
     def run(batches):
-        voc, tree, levels, base = sent.value
-        v = tree["v"]
+        twice, open_, weighed, most, code, _ = sent.value
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                texts = [t.as_py() for t in part.column(1)]
-                ids, n = _encode(texts, voc.place)
-                p0 = np.where(ids >= 0, base[np.maximum(ids, 0)], 1.0) if len(base) else np.ones(len(ids))
-                p = p0
-                for level, state in zip(levels, _states(ids, n, tree)):
-                    p = level.prob(state, ids, p, v)
-                text = np.repeat(np.arange(len(n)), n)
-                known = np.where(ids >= 0, voc.counts[np.maximum(ids, 0)] > 0, False) if len(base) else np.zeros(len(ids), bool)
-                rare = [[] for _ in texts]
-                for i in np.unique(text[ids < 0]).tolist():
-                    rare[i] = [{"token": k, "n": c} for k, c in Counter(x for x in _tokens(texts[i]) if x not in voc.place).items()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n), pa.array(np.bincount(text, known, len(n)).astype(np.int64)), pa.array(np.bincount(text, np.log10(p0), len(n))), pa.array(np.bincount(text, np.log10(p), len(n))), pa.array(rare, pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())])))],
-                    ["doc_id", "n_tokens", "n_known", "base_score", "score", "rare"],
-                )
+            own = np.array(b.column(0)) * 2 + np.array(b.column(1))
+            for row, x in _looked_up(b, twice, open_, most):
+                rest = weighed.has(x) & (_find(code, x) < 0)
+                yield pa.RecordBatch.from_arrays([pa.array(own[row[rest]]), pa.array(x[rest].view(np.int64))], ["own", "code"])
 
     return run
 
@@ -213,49 +244,53 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
     id_type = docs.schema["doc_id"].dataType
-    text = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    counts = settle(text.mapInArrow(_count, "token binary, c long, total long").groupBy("token").agg(F.sum("c").alias("c"), F.sum("total").alias("total")))
+    kind = T.StructType([T.StructField("doc_id", id_type), T.StructField("held", T.BooleanType()), T.StructField("codes", T.ArrayType(T.LongType()))])
+    coded = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_code, kind)
+    coded = settle(coded.withColumn("row", F.monotonically_increasing_id()))
+    train = coded.where("not held").select("codes")
+    counts = settle(coded.select("held", "codes").mapInArrow(_count, "code long, c long, total long").groupBy("code").agg(F.sum("c").alias("c"), F.sum("total").alias("total")))
     n, v_all, n_all = (x or 0 for x in counts.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("long")), F.sum("total")).first())
-    often = counts.where(F.col("total") >= P_TOKEN * n_all)  # at most 1/P_TOKEN rows
-    got = often.orderBy(F.desc("total"), "token").select("token", "c").toArrow()
-    voc = Vocabulary(got["token"].to_pylist(), got["c"].to_numpy().astype(np.int64))
-    v = max(1, len(voc.place))
-    base = (voc.counts + 1.0) / (n + v_all + 1)
-    one = np.full(v, -1, np.int64)
-    frequent = np.nonzero((voc.counts >= P_CONTEXT * n) & (voc.counts >= 2))[0]
-    frequent = frequent[[i != voc.place.get(END) for i in frequent.tolist()]] if len(frequent) else frequent
-    one[frequent] = np.arange(len(frequent))
-    tree: dict = {"one": one, "v": v}
-    levels: list[Level] = []
-    least = max(2.0, P_NEXT * n)
-    if len(frequent):
-        code, k = Sized.gather(text.mapInArrow(_follow(sc.broadcast((voc, tree)), 1), "code long, k long"), least)
-        level = Level(code, k, voc.counts[frequent].astype(float), v)
-        level.alive &= _prune(level, len(frequent), lambda s, x: base[x], v)
-        levels.append(level)
-        # contexts of two tokens: the frequent pairs just counted, whose last token is a state
-        owner, nxt = level.code // v, level.code % v
-        pair = (level.k >= P_CONTEXT * n) & (level.k >= 2) & (one[nxt] >= 0)
-        two = frequent[owner[pair]] * v + nxt[pair]
-        order = np.argsort(two)
-        if len(two):
-            tree = tree | {"two": two[order]}
-            code, k = Sized.gather(text.mapInArrow(_follow(sc.broadcast((voc, tree)), 2), "code long, k long"), least)
-            deep = Level(code, k, level.k[pair][order], v)
-            last = tree["two"] % v
-
-            def parent(s, x):
-                return level.prob(one[last[s]], x, base[x], v)
-
-            deep.alive &= _prune(deep, len(two), parent, v)
-            levels.append(deep)
-    kind = T.StructType([T.StructField("doc_id", id_type)] + [T.StructField(x, T.LongType()) for x in ("n_tokens", "n_known")] + [T.StructField(x, T.DoubleType()) for x in ("base_score", "score")] + [T.StructField("rare", T.ArrayType(T.StructType([T.StructField("token", T.BinaryType()), T.StructField("n", T.LongType())])))])
-    scored = text.mapInArrow(_score(sc.broadcast((voc, tree, levels, base))), kind)
-    scored = settle(scored.withColumn("row", F.monotonically_increasing_id()))
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", F.col("r.token").alias("token"), F.col("r.n").alias("m"))
-    # a token that is not broadcast has under P_TOKEN of all tokens, so no join key is hot
-    tail = counts.where(F.col("total") < P_TOKEN * n_all).select("token", "c")
-    per = rare.join(tail, "token").groupBy("row").agg(F.sum(F.col("m") * F.log10((F.col("c") + 1) / F.lit(float(n + v_all + 1)))).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(F.lit(0))).alias("known"))
-    out = scored.drop("rare").join(per, "row", "left")
-    more = F.coalesce("more", F.lit(0.0))
-    return out.select("doc_id", (remainder(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+    p0 = (F.col("c") + 1) / F.lit(float(n + v_all + 1))
+    zero = F.lit(0.0)
+    weights = counts.select("code", F.col("total").alias("often"), (F.col("c") > 0).cast("double").alias("known"), F.log10(p0).alias("base"), zero.alias("gain"), zero.alias("unseen"))
+    above = counts.where("c > 0").select("code", F.col("c").alias("k"), F.lit(n).cast("long").alias("n"), p0.alias("p"))
+    twice, open_, weighed, depth = Bits(n), Bits(n), Bits(n_all), 0
+    twice.add(counts.where(F.col("c") >= LEAST))
+    while True:
+        sent = sc.broadcast((twice, open_))
+        grams = train.mapInArrow(_grams(sent, depth + 1), "code long, context long, shorter long, k long")
+        grams = settle(grams.groupBy("code", "context", "shorter").agg(F.sum("k").alias("k")))
+        sent.destroy()
+        pairs = grams.join(above.select(F.col("code").alias("shorter"), F.col("k").alias("_k"), F.col("n").alias("_n"), F.col("p").alias("_p")), "shorter")
+        # Kullback-Leibler of a context's next tokens from those of the context one shorter
+        states = pairs.groupBy("context").agg(F.sum("k").alias("n"), F.count("*").alias("kinds"), F.sum(F.col("k") * F.log(F.col("k") * F.col("_n") / F.col("_k"))).alias("s"))
+        states = states.where((F.col("n") >= LEAST) & (F.col("s") / F.col("n") - F.log(F.col("n")) >= DIVERGENCE)).drop("s")
+        p = (F.col("k") + F.col("kinds") * F.col("_p")) / (F.col("n") + F.col("kinds"))
+        level = settle(pairs.join(states, "context").select("code", "context", "k", "n", "kinds", p.alias("p"), F.log10(p / F.col("_p")).alias("gain"), F.log10(F.col("kinds") / (F.col("n") + F.col("kinds"))).alias("unseen")))
+        if level.isEmpty():
+            discard(grams)
+            break
+        depth += 1
+        twice.add(grams.where(F.col("k") >= LEAST))
+        discard(grams)
+        own = level.groupBy("context").agg(F.first("n").alias("n"), F.first("kinds").alias("kinds"), F.first("unseen").alias("unseen"))
+        open_.add(own.where("kinds > 1").select(F.col("context").alias("code")))
+        code = F.col("context").bitwiseXOR(F.lit(int(_STATE.view(np.int64))))
+        weights = weights.union(level.select("code", "k", zero, zero, "gain", F.col("gain") - F.col("unseen"))).union(own.select(code, "n", zero, zero, zero, "unseen"))
+        above = level.where("kinds > 1").select("code", "k", "n", "p")
+        spark._jvm.System.gc()  # shuffle files of the depth go
+    least = P_HEAD * n_all  # at most 1/P_HEAD tokens, and as many grams and states of a depth
+    head = weights.where(F.col("often") >= least).orderBy("code").toArrow()
+    rest = weights.where(F.col("often") < least).drop("often")
+    weighed.add(rest)
+    code = head["code"].to_numpy().view(np.uint64)
+    order = np.argsort(code)
+    sent = sc.broadcast((twice, open_, weighed, depth, code[order], [head[c].to_numpy()[order] for c in ("known", "base", "gain", "unseen")]))
+    columns = coded.select("row", "held", "codes", "doc_id")
+    kind = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", id_type), T.StructField("held", T.BooleanType())] + [T.StructField(c, t) for c, t in (("n_tokens", T.LongType()), ("known", T.LongType()), ("base", T.DoubleType()), ("gain", T.DoubleType()))])
+    first = columns.mapInArrow(_frequent(sent), kind)
+    more = columns.mapInArrow(_seldom(sent), "own long, code long").join(rest, "code")
+    more = more.groupBy("own").agg(F.sum("known").cast("long").alias("_known"), F.sum("base").alias("_base"), F.sum(F.when(F.col("own") % 2 == 1, F.col("unseen")).otherwise(F.col("gain"))).alias("_gain"))
+    out = first.join(more.withColumn("row", F.expr("own div 2")), "row", "left")
+    base = F.col("base") + F.coalesce("_base", zero)
+    return out.select("doc_id", (remainder(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain") + F.coalesce("_gain", zero)).alias("score"))

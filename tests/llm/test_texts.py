@@ -157,6 +157,57 @@ def test_language_model(spark):
     assert suffix_tree.score(frame(spark, [])).count() == 0
 
 
+def plain_suffix_tree(texts):
+    """P(token | text before it) of the tree grown over texts, all of it in memory."""
+    c = Counter(w for t in texts for w in t)
+    n, v = sum(c.values()), len(c)
+
+    def root(x):
+        return (c[x] + 1) / (n + v + 1)
+
+    counts = {}
+    for t in texts:
+        for i in range(len(t)):
+            for d in range(1, min(i, 12) + 1):
+                counts.setdefault(tuple(t[i - d : i]), Counter())[t[i]] += 1
+    states = set()
+    for ctx in sorted(counts, key=len):
+        own, up = counts[ctx], counts[ctx[1:]] if len(ctx) > 1 else c
+        k, m = sum(own.values()), sum(up.values())
+        if k >= suffix_tree.LEAST and (len(ctx) == 1 or ctx[1:] in states and len(up) > 1):
+            if sum(x / k * math.log(x / k * m / up[w]) for w, x in own.items()) >= suffix_tree.DIVERGENCE:
+                states.add(ctx)
+
+    def prob(x, before):
+        p = root(x)
+        for d in range(1, len(before) + 1):
+            ctx = tuple(before[-d:])
+            if ctx not in states:
+                break
+            own = counts[ctx]
+            p = (own[x] + len(own) * p) / (sum(own.values()) + len(own))
+        return p
+
+    return prob, states
+
+
+def test_suffix_tree_against_brute_force(spark, monkeypatch):
+    rng = random.Random(12)
+    passage = " ".join(f"p{i}" for i in range(9))  # in three texts of thousands of tokens
+    data = [(i, words(rng, 200) + (f" {passage} end" if i in (3, 50, 77) else "") + " x a b c y z a b c w v b c q", "en", "s", 0) for i in range(90)]
+    data += [(300 + i, " ".join(rng.choice("abc") for _ in range(60)), "en", "s", 0) for i in range(20)] + [(400, None, "en", "s", 0)]
+    tok = lambda t: (t or "").encode().lower().split() + [b" "]
+    held = lambda i: crc32(str(i).encode()) % 7 == 2
+    prob, states = plain_suffix_tree([tok(r[1]) for r in data if not held(r[0])])
+    assert max(map(len, states)) > 3 and (b"p4",) in states
+    text = {r[0]: tok(r[1]) for r in data}
+    want = {i: sum(math.log10(prob(x, t[:k])) for k, x in enumerate(t)) for i, t in text.items()}
+    for share in (suffix_tree.P_HEAD, 0.001, 2.0):  # all broadcast, the frequent, none
+        monkeypatch.setattr(suffix_tree, "P_HEAD", share)
+        for r in suffix_tree.score(frame(spark, data)).collect():
+            assert abs(r["score"] - want[r["doc_id"]]) < 1e-6, r
+
+
 def test_suffix_tree_distributions_sum_to_one():
     import numpy as np
 
