@@ -1,15 +1,19 @@
 """Personal data: base patterns and information-theoretic sanitisation.
 
 Protected entities are the values that the base patterns find (e-mail, ip, card, phone).
-A term (a run of four or more letters) near an entity may reveal it: corpus co-occurrence
-gives the pointwise mutual information of term and entity, and its share of the entity's
-own information content is the disclosure, 1 when the term occurs with that entity only.
-Terms of a disclosure of at least DISCLOSURE that stand by the entity in SUPPORT or more
-different texts are spans too (kind `term`), generalised or removed by `sanitise`.
-
-Counts are over all documents: entities and their neighbourhoods are aggregated by key
-with map-side counts; how many documents hold a candidate term is counted in a second pass
-that lets candidates through a bitmap of fixed size and then joins them exactly.
+A term (a run of four or more letters) that shares documents with an entity may reveal it:
+corpus co-occurrence gives the pointwise mutual information of term and entity, and its
+share of the entity's own information content is the disclosure, 1 when the term occurs
+with that entity only. Terms of a disclosure of at least DISCLOSURE whose co-occurrence is
+no chance (log-likelihood ratio of at least RATIO, one in a thousand) are spans too (kind
+`term`), wherever they stand in any text outside the base spans, generalised or removed by
+`sanitise`. No number of texts is asked for: in a large corpus one text with an address
+and a name found nowhere else is enough.
+
+Counts are over all documents: entities and all terms of their documents are aggregated by
+key with map-side counts; how many documents hold a candidate term is counted in a second
+pass, and where disclosing terms stand is found in a third. Both let words through a bitmap
+of bounded size and then join them exactly.
 
 Defined results: null texts are empty and have no spans; the hash of no spans is that of
 the empty string; repeated rows are found one by one; extra columns are ignored.
@@ -20,19 +24,19 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import settle
 
-DISCLOSURE, SUPPORT, NEAR, REACH = 0.9, 3, 4, 80
+DISCLOSURE, RATIO = 0.9, 10.83
 KINDS = ("email", "ip", "card", "phone", "term")
-_BITS = 1 << 22
+_BITS, _SHIFTS = 1 << 27, (0, 18, 36)  # of the bitmaps
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -96,28 +100,18 @@ def joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def neighbourhood(t: str, spans) -> list[dict]:
-    """Terms by each entity: NEAR on either side, within REACH characters."""
-    out, last = [], len(t)
-    for a, k, b in spans:
-        lo, hi = max(0, a - REACH), min(last, b + REACH)
-        e = f"{KINDS[k]}:{t[a:b].lower()}"
-        left = [(m.start(), m.end()) for m in _TERM.finditer(t, lo, a) if m.start() > lo or lo == 0][-NEAR:]
-        right = [(m.start(), m.end()) for m in _TERM.finditer(t, b, hi) if m.end() < hi or hi == last][:NEAR]
-        for x, y in left + right:
-            if all(y <= s or x >= f for s, _, f in spans):
-                out.append({"e": e, "t": t[x:y].lower(), "a": x, "b": y})
-    return out
+def _clear(spans, m) -> bool:
+    """Does a match stand outside all spans?"""
+    return all(m.end() <= a or m.start() >= b for a, _, b in spans)
 
 
 _SPAN = pa.list_(pa.struct([("a", pa.int32()), ("k", pa.int32()), ("b", pa.int32())]))
-_NEAR = pa.list_(pa.struct([("e", pa.string()), ("t", pa.string()), ("a", pa.int32()), ("b", pa.int32())]))
 
 
 def _find(batches):
     for batch in batches:
-        n, sha, spans, near, text = [[], [], [], []], [], [], [], []
-        for v in batch.column(1):
+        n, sha, spans, values, terms = [[], [], [], []], [], [], [], []
+        for v in batch.column(2):
             t = v.as_py() or ""
             s = base_spans(t)
             c = Counter(k for _, k, _ in s)
@@ -125,70 +119,132 @@ def _find(batches):
                 n[k].append(c[k])
             sha.append(hashlib.sha256(joined(s).encode()).hexdigest())
             spans.append([{"a": a, "k": k, "b": b} for a, k, b in s])
-            near.append(neighbourhood(t, s) if s else [])
-            text.append(crc32(t.encode("utf-8", "surrogatepass")) if s else 0)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in n], pa.array(sha), pa.array(spans, _SPAN), pa.array(near, _NEAR), pa.array(text, pa.int64())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near", "text"])
+            values.append(list({f"{KINDS[k]}:{t[a:b].lower()}" for a, k, b in s}))
+            terms.append(list({m.group().lower() for m in _TERM.finditer(t) if _clear(s, m)}) if s else [])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(x, pa.int64()) for x in n], pa.array(sha), pa.array(spans, _SPAN), pa.array(values, pa.list_(pa.string())), pa.array(terms, pa.list_(pa.string()))], ["key", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "values", "terms"])
+
+
+def _bits(words: DataFrame) -> np.ndarray:
+    """A bitmap of the words in column t, three bits each, of bounded size."""
+    size = min(_BITS, 1 << max(16, (16 * words.count()).bit_length()))
+    h = F.xxhash64(F.col("t").cast("binary"))
+    at = words.select(F.explode(F.array(*[F.shiftrightunsigned(h, k).bitwiseAND(F.lit(size - 1)) for k in _SHIFTS])).alias("at"))
+    got = at.groupBy(F.shiftright("at", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("x")).toArrow()
+    packed = np.zeros(size // 64, np.uint64)
+    packed[got["w"].to_numpy()] = got["x"].to_numpy().view(np.uint64)
+    return packed.view(np.uint8)
+
+
+class _Candidates(dict):
+    """Word as written: lower-cased if the bitmap lets it in, else None."""
 
+    def __init__(self, packed: np.ndarray):
+        self.packed, self.mask = packed, 8 * len(packed) - 1
 
-def _holders(bits: np.ndarray):
+    def __missing__(self, word: str) -> str | None:
+        if len(self) > 500_000:
+            self.clear()
+        low = word.lower()
+        h = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"), 42)  # as Spark's
+        fits = all(self.packed[(h >> k & self.mask) >> 3] >> (h >> k & 7) & 1 for k in _SHIFTS)
+        self[word] = out = low if fits else None
+        return out
+
+
+def _holders(packed: np.ndarray):
     """Pre-aggregated counts of documents that hold a term, for terms the bitmap lets in."""
 
     def run(batches):
         counts: Counter = Counter()
+        fit = _Candidates(packed)
         for batch in batches:
             for v in batch.column(0):
                 t = v.as_py()
                 if t:
-                    counts.update(w for w in set(_TERM.findall(t.lower())) if bits[crc32(w.encode("utf-8", "surrogatepass")) % _BITS])
-            if len(counts) > 500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["t", "n"])
-                counts.clear()
+                    held = {fit[w] for w in set(_TERM.findall(t))}
+                    held.discard(None)
+                    counts.update(held)
+                    if len(counts) > 500_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["t", "n"])
+                        counts.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["t", "n"])
 
     return run
 
 
+def _places(packed: np.ndarray):
+    """Where terms that the bitmap lets in stand, outside the base spans."""
+
+    def run(batches):
+        fit = _Candidates(packed)
+        for batch in batches:
+            key, term, start, end = [], [], [], []
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+                t = v.as_py()
+                hits = [m for m in _TERM.finditer(t) if fit[m.group()]] if t else []
+                spans = base_spans(t) if hits else []
+                for m in hits:
+                    if _clear(spans, m):
+                        key.append(k)
+                        term.append(fit[m.group()])
+                        start.append(m.start())
+                        end.append(m.end())
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(term, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["key", "t", "a", "b"])
+
+    return run
+
+
 def _kind(id_type) -> T.StructType:
     span = T.ArrayType(T.StructType([T.StructField(x, T.IntegerType()) for x in ("a", "k", "b")]))
-    near = T.ArrayType(T.StructType([T.StructField("e", T.StringType()), T.StructField("t", T.StringType()), T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]))
-    return T.StructType([T.StructField("doc_id", id_type)] + [T.StructField(f"n_{k}", T.LongType()) for k in KINDS[:4]] + [T.StructField("base_sha256", T.StringType()), T.StructField("base", span), T.StructField("near", near), T.StructField("text", T.LongType())])
+    words = T.ArrayType(T.StringType())
+    return T.StructType([T.StructField("key", T.LongType()), T.StructField("doc_id", id_type)] + [T.StructField(f"n_{k}", T.LongType()) for k in KINDS[:4]] + [T.StructField("base_sha256", T.StringType()), T.StructField("base", span), T.StructField("values", words), T.StructField("terms", words)])
 
 
 def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """(e, t) of the terms that reveal an entity; None where no pair has the support."""
-    rows = found.select("row", "text", F.explode("near").alias("x")).select("row", "text", "x.e", "x.t").distinct()
-    # texts are told apart by their crc32: enough for a threshold on their number
-    pairs = settle(rows.groupBy("e", "t", "text").agg(F.count("*").alias("m")).groupBy("e", "t").agg(F.sum("m").alias("n_te"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT))
-    if pairs.isEmpty():
-        return None
-    mark = F.pmod(F.crc32(F.col("t").cast("binary")), F.lit(_BITS))
-    words = pairs.select(F.shiftright(mark, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(crc32(cast(t as binary)), {_BITS}) & 63 as int))").alias("x")).groupBy("w").agg(F.bit_or("x").alias("x")).toArrow()
-    packed = np.zeros(_BITS // 64, np.uint64)  # a bitmap of fixed size
-    packed[words["w"].to_numpy()] = words["x"].to_numpy().astype(np.int64).view(np.uint64)
-    bits = np.unpackbits(packed.view(np.uint8), bitorder="little").astype(bool)
-    held = docs.select("text").mapInArrow(_holders(bits), "t string, n long").groupBy("t").agg(F.sum("n").alias("n_t"))
-    entity = found.select("row", F.explode("near.e").alias("e")).distinct().groupBy("e").agg(F.count("*").alias("n_e"))
-    n = found.count()
-    whole = F.log2(F.lit(float(n)) / F.col("n_e"))
-    mutual = F.log2(F.col("n_te") * F.lit(float(n)) / (F.col("n_t") * F.col("n_e")))
-    return pairs.join(held, "t").join(entity, "e").where((whole > 0) & (mutual >= DISCLOSURE * whole)).select("e", "t")
+    """t of the terms that reveal an entity; None where there is none."""
+    some = found.where(F.size("values") > 0)
+    terms = settle(some.select(F.explode("terms").alias("t")).distinct())
+    held = settle(docs.select("text").mapInArrow(_holders(_bits(terms)), "t string, n long").groupBy("t").agg(F.sum("n").alias("n_t")))
+    pairs = some.select(F.explode("values").alias("e"), "terms").select("e", F.explode("terms").alias("t")).groupBy("e", "t").agg(F.count("*").alias("n_te"))
+    entity = some.select(F.explode("values").alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
+    n = F.lit(float(found.count()))
+    te, t, e = F.col("n_te"), F.col("n_t"), F.col("n_e")
+    whole = F.log2(n / e)
+    mutual = F.log2(te * n / (t * e))
+
+    def part(x, row, column):
+        return F.when(x > 0, x * F.log(x * n / (row * column))).otherwise(0.0)
+
+    ratio = 2 * (part(te, t, e) + part(t - te, t, n - e) + part(e - te, n - t, e) + part(n - t - e + te, n - t, n - e))
+    out = settle(pairs.join(held, "t").join(entity, "e").where((whole > 0) & (mutual >= DISCLOSURE * whole) & (ratio >= RATIO)).select("t").distinct())
+    return None if out.isEmpty() else out
+
+
+def _key() -> Column:
+    """Rows of one doc_id and text have the same spans."""
+    return F.xxhash64("doc_id", "text")
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """key, the columns of personal_data() but `spans`, and `all` spans of every row."""
+    found = settle(docs.select(_key().alias("key"), "doc_id", "text").mapInArrow(_find, _kind(docs.schema["doc_id"].dataType)))
+    terms = disclosing(found, docs)
+    out = found.drop("values", "terms")
+    if terms is None:
+        return out.withColumn("all", F.col("base"))
+    places = docs.select(_key().alias("key"), "text").mapInArrow(_places(_bits(terms)), "key long, t string, a int, b int")
+    more = places.join(terms, "t").select("key", F.struct("a", F.lit(4).alias("k"), "b").alias("s")).groupBy("key").agg(F.collect_set("s").alias("more"))
+    return out.join(more, "key", "left").withColumn("all", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<a:int,k:int,b:int>>"))))).drop("more")
+
+
+def _spans() -> Column:
+    name = F.array(*map(F.lit, KINDS))
+    return F.array_join(F.transform("all", lambda s: F.concat_ws(":", F.get(name, s["k"]), s["a"].cast("string"), s["b"].cast("string"))), ",")
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every row of docs."""
-    found = docs.select("doc_id", "text").mapInArrow(_find, _kind(docs.schema["doc_id"].dataType))
-    found = settle(found.withColumn("row", F.monotonically_increasing_id()))
-    pairs = disclosing(found, docs)
-    if pairs is None:
-        out = found.withColumn("all", F.col("base"))
-    else:
-        near = found.select("row", F.explode("near").alias("x")).select("row", "x.e", "x.t", "x.a", "x.b")
-        more = near.join(pairs, ["e", "t"]).select("row", F.struct("a", F.lit(4).alias("k"), "b").alias("s")).distinct().groupBy("row").agg(F.collect_list("s").alias("more"))
-        both = found.where(F.size("near") > 0).join(more, "row", "left").withColumn("all", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<a:int,k:int,b:int>>"))))).drop("more")
-        out = both.unionByName(found.where(F.size("near") == 0).withColumn("all", F.col("base")))
-    name = F.array(*map(F.lit, KINDS))
-    text = F.array_join(F.transform("all", lambda s: F.concat_ws(":", F.get(name, s["k"]), s["a"].cast("string"), s["b"].cast("string"))), ",")
-    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", text.alias("spans"))
+    return _marked(docs).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", _spans().alias("spans"))
 
 
 def redact(text: str | None, spans: str) -> str | None:
@@ -207,13 +263,8 @@ def redact(text: str | None, spans: str) -> str | None:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """docs with `text` sanitised; other columns stay. Rows are matched by doc_id and, since
-    that may repeat, by the hash of their base spans."""
-    found = personal_data(docs).where("spans <> ''").select(F.col("doc_id").alias("__id"), F.col("base_sha256").alias("__sha"), F.col("spans").alias("__s")).dropDuplicates(["__id", "__sha"])
-
-    @F.pandas_udf("string")
-    def sha(t):
-        return t.map(lambda x: hashlib.sha256(joined(base_spans(x or "")).encode()).hexdigest())
+    """docs with `text` sanitised; other columns stay."""
+    found = _marked(docs).where(F.size("all") > 0).select(F.col("key").alias("__key"), _spans().alias("__s")).dropDuplicates(["__key"])
 
     @F.pandas_udf("string")
     def clean(t, s):
@@ -221,6 +272,5 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
         return pd.Series([redact(x, y or "") for x, y in zip(t, s)])
 
-    keyed = docs.withColumn("__k", sha("text"))
-    out = keyed.join(found, keyed["doc_id"].eqNullSafe(found["__id"]) & (keyed["__k"] == found["__sha"]), "left")
+    out = docs.withColumn("__k", _key()).join(found, F.col("__k") == F.col("__key"), "left")
     return out.withColumn("text", clean("text", "__s")).select(*docs.columns)

@@ -138,6 +138,24 @@ def test_disclosing_terms(spark):
     assert "Zebulon" not in clean[0] and "[email]" in clean[0] and clean[10] == data[5][1]
 
 
+def test_terms_of_a_single_text(spark):
+    rng = random.Random(6)
+    data = [(i, words(rng, 30), "en", "s", 0) for i in range(1200)]
+    data += [(4000, "Zebulon lives here. " + " ".join(["abaa"] * 60) + " Write to boss@corp.org", "en", "s", 0)]  # far apart, in one text
+    data += [(4001, "the Abaa of call +1 (555) 010-9999 is Quentin", "en", "s", 0), (4002, "ask zebulon and abaa", "en", "s", 0), (4002, "ask abaa", "en", "s", 0)]
+    got = {r["doc_id"]: r for r in pii.personal_data(frame(spark, data)).collect() if r["doc_id"] != 4002}
+
+    def terms(i):
+        text = next(r[1] for r in data if r[0] == i)
+        kinds = [s.rsplit(":", 2) for s in got[i]["spans"].split(",")]
+        return {text[int(a) : int(b)] for k, a, b in kinds if k == "term"}
+
+    assert {"Zebulon", "lives"} <= terms(4000) and "abaa" not in terms(4000) and "Quentin" in terms(4001)
+    assert all(not got[i]["spans"] for i in range(1200))
+    clean = [r["text"] for r in pii.sanitise(frame(spark, data)).where("doc_id >= 4000").orderBy("doc_id", "text").collect()]
+    assert "Zebulon" not in clean[0] and "[email]" in clean[0] and "Quentin" not in clean[1] and sorted(clean[2:]) == ["ask  and abaa", "ask abaa"]
+
+
 def test_language_model(spark):
     rng = random.Random(4)
     data = [(i, " ".join(rng.choice(["new york city", "los angeles", "a b", "the cat"]) for _ in range(40)), "en", "s", 0) for i in range(80)]
