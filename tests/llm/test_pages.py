@@ -67,6 +67,18 @@ def test_boilerplate_by_host(spark, monkeypatch):
     assert html_text.main_text(pages(spark, rows).limit(0)).count() == 0
 
 
+def test_copies_and_articles_survive(spark, monkeypatch):
+    menu = "this long line of the site is the same on every single page of it"
+    body = "the story " + " ".join(f"w{i}" for i in range(40))
+    rows = [(i, f"http://h.com/{i}", f"<div>{menu}</div><div>{body}</div>") for i in (1, 2, 3)]
+    rows += [(9, "http://h.com/9", f"<div>{menu}</div><div>other words only here and never at any other place</div>")]
+    rows += [(20, "http://k.com/", "<article><p>First one</p></article><nav>Menu</nav><article><p>Second, longer one</p></article>")]
+    for size in (2000, 1):  # one slice, then several a host
+        monkeypatch.setattr(html_text, "SLICE", size)
+        got = {r["page_id"]: r["text"] for r in html_text.main_text(pages(spark, rows)).collect()}
+        assert got == {1: body, 2: body, 3: body, 9: "other words only here and never at any other place", 20: "First one\n\nSecond, longer one"}
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=60))
 def test_suffix_array(s):
