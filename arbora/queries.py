@@ -233,6 +233,13 @@ def connected_components(spark, sf):
     return graph.connected_components(e)
 
 
+@_op(None)
+def connected_components_whole(spark, sf):
+    """Components of all orders and parts (negative) of the large lines, no key folded."""
+    e = _t(spark, sf, "lineitem").where("l_quantity > 49.5").selectExpr("l_orderkey as src", "-l_partkey as dst").distinct()
+    return graph.connected_components(e)
+
+
 @_op("select distinct c_nationkey name from customer where c_acctbal > 9000")
 def neighbours(spark, sf):
     c = _t(spark, sf, "customer")

@@ -104,3 +104,25 @@ def test_stream_equals_batch(spark, tmp_path):
     got = events.drain(stream, "hourly", str(tmp_path / "cp"))
     key = lambda df: sorted((str(r["start"]), r["event_type"], r["n"], round(r["total"], 2)) for r in df.collect())
     assert key(got) == key(events.windowed(batch, "1 hour"))
+
+
+def test_components_of_whole_keys(spark, tmp_path):
+    from arbora.queries import QUERIES
+
+    # keys that fold together modulo 500 and 700, and orders not divisible by three
+    lines = [(1, 7, 50.0), (501, 707, 50.0), (2, 707, 50.0), (2, 8, 50.0), (9, 9, 50.0), (3, 9, 50.0), (9, 7, 1.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    near = {}
+    for o, p, q in lines:
+        if q > 49.5:
+            near.setdefault(o, set()).add(-p)
+            near.setdefault(-p, set()).add(o)
+    want = {}
+    for x in near:
+        seen, todo = {x}, [x]
+        while todo:
+            new = near[todo.pop()] - seen
+            seen |= new
+            todo += new
+        want[x] = min(seen)
+    assert {tuple(r) for r in QUERIES["connected_components_whole"](spark, str(tmp_path)).collect()} == set(want.items())
