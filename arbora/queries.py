@@ -589,6 +589,16 @@ def seed_join(spark, sf):
     return join(w, w)
 
 
+@_op(None)
+def seed_join_whole(spark, sf):
+    """The same over all reads."""
+    from .operators.sequences import seed_join as join
+    from .operators.sequences import seeds
+
+    w = seeds(_reads(spark, sf), "p_partkey", "s", 8)
+    return join(w, w)
+
+
 @_op(f"""with w as (select p_partkey id, i::int pos, substring(s, i, 5) t from {_READS}, unnest(range(1, 30)) x(i) where i + 4 <= length(s))
     select id, pos, ((substring(t, 1, 1) <> 'a')::int + (substring(t, 2, 1) <> 'c')::int + (substring(t, 3, 1) not in ('a', 'g'))::int + (substring(t, 4, 1) <> 't')::int + (substring(t, 5, 1) <> 'a')::int)::int errors from w
     where (substring(t, 1, 1) <> 'a')::int + (substring(t, 2, 1) <> 'c')::int + (substring(t, 3, 1) not in ('a', 'g'))::int + (substring(t, 4, 1) <> 't')::int + (substring(t, 5, 1) <> 'a')::int <= 1""")

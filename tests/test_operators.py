@@ -126,3 +126,18 @@ def test_components_of_whole_keys(spark, tmp_path):
             todo += new
         want[x] = min(seen)
     assert {tuple(r) for r in QUERIES["connected_components_whole"](spark, str(tmp_path)).collect()} == set(want.items())
+
+
+def test_seeds_of_all_reads(spark, tmp_path):
+    from collections import Counter
+
+    from arbora.queries import QUERIES, _reads
+
+    names = [(i, "acgtacgg tta" if i < 100 else f"read {'abcdefgh'[i % 8]}{'klmnopqr'[i % 7]} widget") for i in range(0, 140)]
+    spark.createDataFrame(names, "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    w = [(r["p_partkey"], k + 1, r["s"][k : k + 8]) for r in _reads(spark, str(tmp_path)).collect() for k in range(len(r["s"]) - 7)]
+    often = Counter(seed for _, _, seed in w)
+    assert max(often.values()) > 81
+    want = Counter((i, j, q - p) for i, p, s in w for j, q, t in w if s == t and often[s] <= 81)
+    got = {tuple(r)[:3]: r["seeds"] for r in QUERIES["seed_join_whole"](spark, str(tmp_path)).collect()}
+    assert got == want and max(i for i, _, _ in got) >= 60
