@@ -5,11 +5,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import shutil
 import tempfile
 import uuid
 import zlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,10 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the session names none (tests on one
-    machine) a temporary one is made."""
+    """The folder all executors share. Only where the session names none and all runs on one
+    machine, as in tests, a temporary one is made."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="arbora-")
         atexit.register(shutil.rmtree, base, True)
         spark.sparkContext.setCheckpointDir(base)
@@ -38,6 +43,7 @@ def scratch_dir(spark: SparkSession) -> str:
 def settle(df: DataFrame) -> DataFrame:
     """Cut lineage: write df as a Parquet table in the shared folder and read it back."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{scratch_dir(spark)}/arbora-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -54,6 +60,33 @@ def discard(df: DataFrame | None) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def row_key() -> list[Column]:
+    """Two 64-bit hashes of doc_id and text: together they tell rows apart by both."""
+    return [F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("k2")]
+
+
+class Marks:
+    """A bitmap of row keys, of at most 2^27 bits whatever the input: lets through all keys
+    that were put in, and few others."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    @classmethod
+    def of(cls, keys: DataFrame) -> Marks:
+        """Of the keys in column k1."""
+        size = 1 << min(27, max(12, (16 * max(1, keys.count())).bit_length()))
+        word = F.shiftright(F.col("k1").bitwiseAND(F.lit(size - 1)), 6)
+        got = keys.select(word.alias("w"), F.expr("shiftleft(1L, cast(k1 & 63 as int))").alias("x")).groupBy("w").agg(F.bit_or("x").alias("x")).toArrow()
+        words = np.zeros(size // 64, np.uint64)
+        words[got["w"].to_numpy()] = got["x"].to_numpy().astype(np.int64).view(np.uint64)
+        return cls(words)
+
+    def has(self, keys: pa.Array) -> np.ndarray:
+        at = keys.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) & np.uint64(len(self.words) * 64 - 1)
+        return ((self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int):
     """Arrow batches of so few rows, for wide rows, while a job runs."""
