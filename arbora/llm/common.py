@@ -18,12 +18,16 @@ from pyspark.sql import functions as F
 
 from ..ship import ship
 
+#: Arrow batches of texts: a worker holds one or two at a time, however long the texts are.
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 #: A word is a run of anything but these six white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    for key, value in _BATCH.items():
+        spark.conf.set(key, value)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -51,6 +55,20 @@ def settle(df: DataFrame) -> DataFrame:
     return out
 
 
+def numbered(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df with `rn` (from 1) among the rows of equal keys, whatever their number: rows are
+    numbered within tasks of a settled copy, with the counts of earlier tasks as offsets."""
+    held = settle(df.withColumn("__i", F.monotonically_increasing_id()))
+    held = held.withColumn("__part", F.shiftright("__i", 33))
+    names = ", ".join(keys)
+    per = held.groupBy(*keys, "__part").agg(F.count("*").alias("__m")).selectExpr(*keys, "__part", f"sum(__m) over (partition by {names} order by __part) - __m as __off")
+    g, o = held.selectExpr("*", f"row_number() over (partition by {names}, __part order by __i) as __r").alias("g"), per.alias("o")
+    same = F.col("g.__part") == F.col("o.__part")
+    for k in keys:
+        same = same & F.col(f"g.{k}").eqNullSafe(F.col(f"o.{k}"))
+    return g.join(o, same).select(*[F.col(f"g.{x}") for x in df.columns], (F.col("g.__r") + F.col("o.__off")).alias("rn"))
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete a table made by settle() that nothing reads any more."""
     path = getattr(df, "_arbora_path", None)

@@ -1,7 +1,7 @@
 """Resharding with the fewest bytes moved, by a minimum-cost flow.
 
 Documents lie in old shards; new shards have capacities. Equal texts are a group and move
-together, unless one group is larger than a quarter of a shard. Groups of more than 1/256
+together; only a group that no shard has room for is split. Groups of more than 1/256
 of a shard (at most 256 a shard, so they fit on the driver) are blocks placed one by one,
 longest first, at home while it has room. What is left of each old shard is a line of
 small groups; a minimum-cost flow from old to new shards (a moved byte costs one, a kept
@@ -21,11 +21,11 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import numbered, settle
 
 OLD, NEW = 6, 8
-#: A block is heavy from this share of a shard; a group may be split from that share.
-HEAVY, SPLIT = 1 / 256, 1 / 4
+#: A block is heavy from this share of a shard.
+HEAVY = 1 / 256
 _ROWS = 100_000  # rows of a block of a line
 
 
@@ -93,9 +93,9 @@ def plan_moves(heavy: list[tuple[int, int, int, int]], light: list[int], new: in
     bytes of one document); light: bytes of the small groups of each old shard."""
     total = sum(light) + sum(h[2] for h in heavy)
     room = [total // new + (j < total % new) for j in range(new)]
-    cap, out, moved = room[0] if room else 0, [], 0
+    out, moved = [], 0
     for line, old, size, one in sorted(heavy, key=lambda h: (-h[2], h[0])):
-        if size > SPLIT * cap and size > one:  # a group of many equal texts fills shards
+        if size > max(room) and size > one:  # fits nowhere whole: fills shards
             left, parts = size // one, []
             for j in sorted(range(new), key=lambda j: (j != old, -room[j], j)):
                 k = min(left, max(0, room[j]) // one)
@@ -167,12 +167,30 @@ def reshard(docs: DataFrame, new: int = NEW, old: int = OLD) -> DataFrame:
 
 
 def rewrite_affected(docs: DataFrame, plan: DataFrame, path: str) -> list[int]:
-    """Write the files (path/shard=k) of every new shard that gives or takes documents; the
-    files of other shards stay as they are. Returns the shards written."""
-    moved = plan.where("shard <> old_shard")
-    hit = sorted({r[0] for r in moved.select("shard").union(moved.select("old_shard")).distinct().collect()})
-    keyed = docs.withColumn("__crc", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
-    where = plan.where(F.col("shard").isin(hit)).select(F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__c"), "shard").distinct()
-    rows = keyed.join(where, keyed["doc_id"].eqNullSafe(where["__id"]) & (keyed["__crc"] == where["__c"])).drop("__id", "__c", "__crc")
+    """Write the files (path/shard=k) of every new shard that gives or takes documents, and
+    delete those of shards left without any; the files of other shards stay as they are. Every
+    row of docs goes to one row of the plan. Returns the shards written."""
+    spark = docs.sparkSession
+    shards = plan.where("shard <> old_shard").select(F.explode(F.array("shard", "old_shard")).alias("shard")).distinct()
+    hit = sorted(r[0] for r in shards.collect())  # no more than there are shards
+    key = ["__id", "__crc"]
+    to = plan.select(F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__crc"), "shard")
+    per = settle(to.groupBy(*key).agg(F.min("shard").alias("lo"), F.max("shard").alias("hi")))
+    keyed = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").alias("__id"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("__crc"))
+
+    def same(a: str, b: str):
+        return F.col(f"{a}.__id").eqNullSafe(F.col(f"{b}.__id")) & (F.col(f"{a}.__crc") == F.col(f"{b}.__crc"))
+
+    joined = keyed.alias("d").join(per.alias("p"), same("d", "p"))
+    rows = joined.where("lo = hi").select("d.__row", F.col("lo").alias("shard"))
+    if not per.where("lo < hi").isEmpty():  # equal rows in several shards: one to one
+        d = numbered(joined.where("lo < hi").select("d.*"), key).alias("d")
+        t = numbered(to.alias("d").join(per.where("lo < hi").alias("p"), same("d", "p")).select("d.*"), key).alias("t")
+        rows = rows.unionByName(d.join(t, same("d", "t") & (F.col("d.rn") == F.col("t.rn"))).select("d.__row", "t.shard"))
+    rows = rows.where(F.col("shard").isin(hit)).select("__row.*", "shard")
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    left = {r[0] for r in plan.select("shard").distinct().collect()}
+    for k in set(hit) - left:
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={k}")
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
     return hit

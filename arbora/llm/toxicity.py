@@ -14,7 +14,8 @@ many), those of the least hash of doc_id; the sampling is undone in the intercep
 
 Defined results: null and empty texts, and texts without a word, get the score of the
 intercept; labels other than 0 and 1 are ignored; of several labels of one doc_id the
-largest counts; without training rows of both classes every score is the share of label 1
+largest counts, of several texts of one labelled doc_id the smallest; texts of any length
+are scored whole; without training rows of both classes every score is the share of label 1
 (0 without labels); extra columns are ignored.
 """
 
@@ -35,7 +36,7 @@ from .common import remainder
 GRAMS, BUCKETS, WIDTH, TRAIN = (3, 4, 5, 6), 1 << 17, 8, 2000
 EPOCHS, RATE, DECAY, SCALE, LEAST = 80, 0.02, 1e-4, 100.0, 3
 THRESHOLD = 0.3
-_BLOCK = 1 << 20  # bytes of text worked on at once
+_BLOCK = 1 << 18  # bytes of text worked on at once
 _HALF = 1000.0  # brings shares into the range of half precision, in which they are sent
 _PART = 100  # documents of the sample worked on at once
 
@@ -163,7 +164,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     prior = n.get(1, 0) / sum(n.values())
     pick = [lab.where(f"toxic = {c}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_c) for c, n_c in ((0, TRAIN - TRAIN // 4), (1, TRAIN // 4))]
     pick = F.broadcast(pick[0].union(pick[1]))  # at most TRAIN rows
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(pick, "doc_id").select("text", "toxic").mapInArrow(_features, "idx binary, val binary, toxic int").toArrow()
+    text = docs.select("doc_id", "text").join(pick, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))  # of repeated ids one text
+    rows = text.select(F.col("text").cast("binary").alias("text"), "toxic").mapInArrow(_features, "idx binary, val binary, toxic int").toArrow()
     if not rows.num_rows:
         return np.zeros(BUCKETS), float(np.log((prior + 1e-9) / (1 - prior + 1e-9)))
     out = fit(rows, prior)

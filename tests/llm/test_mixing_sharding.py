@@ -44,13 +44,38 @@ def test_mix(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(frame(spark, data)).collect()))
 
 
-def test_tilt_meets_the_constraint():
+def test_tilted_is_the_entropy_optimum(spark):
+    """Against plain bisection on the dual; and the rates are exponential in the size."""
     rng = np.random.default_rng(1)
-    size, n = rng.integers(1, 900, 60), rng.integers(1, 9, 60)
-    total = (size * n).sum()
-    for share in (0.1, 0.7, 1.0, 1.5, 1.97, 2.0, 3.0):
-        r = mixing.tilt(size, n, share * total)
-        assert abs((size * n * r).sum() - min(share, 2) * total) < 1e-6 * total and r.max() <= 2
+    data, want = [], {}
+    for k, share in enumerate((0.1, 0.7, 1.0, 1.5, 1.97, 2.0, 3.0)):
+        size, n = np.unique(rng.integers(0, 900, 60)), rng.integers(1, 9, 60)
+        n = n[: len(size)]
+        total = int((size * n).sum())
+        data += [(f"s{k}", int(a), int(b), total, share * total) for a, b in zip(size, n)]
+        lo, hi = -50.0, 50.0
+        x = size / ((size * n) @ size / total)
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if (n * size) @ np.minimum(2, np.exp(np.minimum(mid * x, 50))) < share * total else (lo, mid)
+        want |= {(f"s{k}", int(a)): min(2.0, float(np.exp(min(lo * v, 50)))) if share < 2 else 2.0 for a, v in zip(size, x)}
+    got = mixing.tilted(spark.createDataFrame(data, "source string, size long, n long, source_size long, target double")).collect()
+    assert len(got) == len(data)
+    for r in got:
+        assert abs(r["rate"] - want[r["source"], r["size"]]) < 1e-6
+
+
+def test_apply_mix_deals_by_row(spark):
+    """Rows of one id and text in two sources, and equal rows of which some get more."""
+    data = [(1, "a b c", "en", "s1", 0), (1, "a b c", "en", "s2", 0)] + [(7, "x y", "en", "s3", 5)] * 9 + [(8, "", "en", "s3", 0)] * 2
+    out = Counter(tuple(r) for r in mixing.apply_mix(frame(spark, data)).collect())
+    want = targets({"s1": 3, "s2": 3, "s3": 18})
+    for s, size in (("s1", 3), ("s2", 3), ("s3", 2)):
+        words = sum(n * size for r, n in out.items() if r[3] == s and r[1])
+        assert abs(words - want[s]) <= size
+    assert all(n <= 2 for r, n in out.items() if r[0] == 1) and out[(8, "", "en", "s3", 0)] == 2
+    taken = [r["copies"] for r in mixing.mix(frame(spark, data)).where("size = 2").collect()]
+    assert sum(taken) == out[(7, "x y", "en", "s3", 5)] and max(taken) - min(taken) <= 1
 
 
 def test_mix_edges(spark):
@@ -60,7 +85,13 @@ def test_mix_edges(spark):
     out = mixing.apply_mix(frame(spark, rows(4, 100)))
     per = {r["doc_id"]: r["copies"] for r in mixing.mix(frame(spark, rows(4, 100))).collect()}
     n = Counter(r["doc_id"] for r in out.collect())
-    assert sum(n.values()) >= sum(per.values()) and out.columns == frame(spark).columns
+    kind = {r[0]: (r[3], len(WORD.findall(r[1] or ""))) for r in rows(4, 100)}
+    want, got = Counter(), Counter()
+    for i, k in per.items():
+        want[kind[i]] += k if kind[i][1] else 1
+    for i, k in n.items():
+        got[kind[i]] += k
+    assert got == +want and max(n.values()) <= 2 and out.columns == frame(spark).columns
 
 
 def test_reshard(spark):
@@ -96,3 +127,32 @@ def test_rewrite_affected(spark, tmp_path):
     resharding.rewrite_affected(df, plan, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 60 and {(r["doc_id"], r["shard"]) for r in back.collect()} == {(r["doc_id"], r["shard"]) for r in plan.collect()}
+
+
+def test_rewrite_with_repeats_and_an_emptied_shard(spark, tmp_path):
+    data = rows(6, 60) + [(5, "same words", "en", "s1", 0)] * 90 + [(None, "same words", "en", "s1", 0)] * 5
+    df = frame(spark, data)
+    plan = resharding.reshard(df)
+    at = str(tmp_path / "out")
+    gone = plan.withColumn("old_shard", F.lit(99)).limit(1).unionByName(plan)  # a shard that has no rows any more
+    spark.range(1).selectExpr("id", "99 as shard").write.partitionBy("shard").parquet(at)
+    resharding.rewrite_affected(df, plan.withColumn("old_shard", F.lit(99)), at)
+    assert gone.count() == plan.count() + 1
+    back = spark.read.parquet(at)
+    assert Counter((r["doc_id"], r["text"]) for r in back.collect()) == Counter((r[0], r[1]) for r in data)
+    assert Counter(r["shard"] for r in back.collect()) == Counter(r["shard"] for r in plan.collect())
+
+
+def test_groups_stay_whole(spark):
+    """Equal texts of a third of a shard's bytes share a shard; a group larger than any
+    shard is split."""
+    data = [(i, f"text number {i} of many others here", "en", "s", 0) for i in range(400)]
+    data += [(1000 + i, "a group of medium size", "en", "s", 0) for i in range(40)]
+    got = resharding.reshard(frame(spark, data)).collect()
+    assert len({r["shard"] for r in got if r["doc_id"] >= 1000}) == 1
+    data += [(2000 + i, "half of everything is this one text over and over", "en", "s", 0) for i in range(600)]
+    got = resharding.reshard(frame(spark, data)).collect()
+    size = Counter()
+    for r in got:
+        size[r["shard"]] += r["size"]
+    assert len(got) == len(data) and max(size.values()) - min(size.values()) <= 0.02 * sum(size.values()) / 8 + 60
