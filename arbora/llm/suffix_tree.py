@@ -2,97 +2,106 @@
 
 Tokens are the lower-cased words of a text and one end token. The tree's root is the
 add-one distribution over the training tokens and one class of unseen ones. A state is a
-context of any length; it is grown from a state (or the root) when it occurs at least
-LEAST times and its next-token counts diverge from its parent's. All of a state's counts
-are kept and interpolated with the parent's distribution (Witten-Bell), so that every
-distribution sums to one. A token is scored in the state of the longest suffix of the text
-before it.
+context of any length. It is grown from a state (or the root) if it is followed at least
+LEAST times by some token and its next-token distribution diverges from its parent's by
+DIVERGENCE nats or more; contexts are lengthened until no state is found, however long they
+get. A context whose occurrences but for LEAST - 1 go on with one token is not lengthened:
+longer ones say the same. A state keeps the counts k of the tokens that follow it LEAST
+times or more; P(x | s) = (k + t P(x | parent)) / (held + t), held the sum of the kept counts
+and t the occurrences not kept and one for each kept token, so that every distribution sums
+to one. A token is scored in the state of the longest suffix of the text before it.
 
 All counts cover all training texts, and LEAST is an absolute number, so the tree grows
 with the input. It is a distributed table: tokens, contexts and grams go by 64-bit codes,
-a depth's grams are counted and joined to the grams one token shorter, and growing ends
-when a depth has no state. A text's score is a sum of weights by code (of a token its base
-score, of a gram what its state adds to the parent's score, of a state that has not seen
-the token its share for such). Weights of codes of a share of at least P_HEAD are
-broadcast, at most 1/P_HEAD of each kind; all others are joined by code. Bitmaps of bounded
-size keep codes from the joins that cannot match; what they let in wrongly, the exact
-joins drop.
+a depth's grams are counted and joined to the grams one token shorter. A text's score is a
+sum of weights by code (of a token its base score, of a state its share for tokens it has
+not kept, of a kept token what it adds to that). The HEAD most frequent codes are broadcast;
+all others are joined by code. Bitmaps of at most _BITS bits keep codes that cannot match
+from the shuffles: grams too rare at depth one (counted by truncated codes, packed by task),
+grams of rare ones, codes without a weight. What they let in wrongly, exact counts and joins
+drop; in a corpus so large that the bitmaps fill up, more is shuffled, with the same result.
 
 Defined results: null and empty texts are the end token alone; without training rows every
 count is 0; a null doc_id counts as the empty text in the split; repeated rows are scored
-one by one; extra columns are ignored.
+one by one; very long texts are taken whole; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, id_remainder, remainder, settle, words
+from .common import discard, remainder, settle
 
-LEAST, DIVERGENCE, P_HEAD = 2, 0.01, 2e-6
-END = b" "  # no word holds a space
-_BITS = 1 << 27  # of a bitmap, at most
+LEAST, DIVERGENCE, HEAD = 4, 0.01, 1 << 20
+END = np.uint64(xxhash.xxh64_intdigest(b" "))  # no word holds a space
+_BITS = 1 << 28  # of a bitmap, at most
 _STATE = np.uint64(0x9E3779B97F4A7C15)  # tells a state's code from that of the same tokens as a gram
-_FLUSH = 2_000_000
+_FLUSH = 4_000_000  # tokens that a task pre-aggregates at once
+_PART = 1_000_000  # of which about so many meet in a task that counts truncated codes
 
 
-def _tokens(text: bytes | None) -> list[bytes]:
-    w = words(text)
-    w.append(END)
-    return w
+def token_codes(text: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of all tokens of a column of texts, and the number of tokens of each."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(text, "")))
+    flat, off = lists.flatten(), lists.offsets.to_numpy()
+    row = np.repeat(np.arange(len(lists)), np.diff(off))
+    d = flat.dictionary_encode()
+    own = np.fromiter(map(xxhash.xxh64_intdigest, d.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(d.dictionary))
+    word = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    codes, row = own[d.indices.to_numpy()][word] if len(own) else np.empty(0, np.uint64), row[word]
+    out = np.full(len(codes) + len(lists), END)
+    out[np.arange(len(codes)) + row] = codes
+    return out, np.bincount(row, minlength=len(lists)) + 1
 
 
 def _code(batches):
-    """Texts as 64-bit codes of their tokens."""
-    seen: dict[bytes, int] = {}
+    """Texts as packed 64-bit codes of their tokens."""
     for b in batches:
-        held, codes, n = [], [], []
-        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-            w = _tokens(text.as_py())
-            for x in w:
-                h = seen.get(x)
-                if h is None:
-                    seen[x] = h = xxhash.xxh64_intdigest(x)
-                codes.append(h)
-            n.append(len(w))
-            held.append(id_remainder(doc_id, 7) == 2)
-            if len(seen) > 500_000:
-                seen.clear()
-        flat = np.array(codes, np.uint64).view(np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.bool_()), lists], ["doc_id", "held", "codes"])
-
-
-def _flat(lists) -> tuple[np.ndarray, np.ndarray]:
-    """All codes of a column of lists, and the length of each list."""
-    off = lists.offsets.to_numpy()
-    return lists.values.to_numpy()[off[0] : off[-1]].view(np.uint64), np.diff(off)
-
-
-def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys with the sums of each of the values."""
-    own, at = np.unique(keys, return_inverse=True)
-    return own, *[np.bincount(at, v, len(own)).astype(np.int64) for v in values]
+        codes, n = token_codes(b.column(2))
+        end = np.concatenate(([0], np.cumsum(n * 8)))
+        packed = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(end.astype(np.int64).tobytes()), pa.py_buffer(codes.tobytes())])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed.cast(pa.binary())], ["doc_id", "held", "codes"])
 
 
-def _count(batches):
-    """Pre-aggregated (code, training count, count) of a task's tokens."""
+def _flat(packed: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """All codes of a column of packed ones, and the number of each row's."""
+    off = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
+    data = packed.buffers()[2]
+    return np.frombuffer(data, np.uint64, data.size // 8)[off[0] // 8 : off[-1] // 8] if data is not None and data.size else np.empty(0, np.uint64), np.diff(off) // 8
+
+
+def _gathered(batches):
+    """Column 0 of batches, put together to about _FLUSH tokens."""
+    held, size = [], 0
     for b in batches:
-        flat, n = _flat(b.column(1))
-        code, c, total = _sums(flat, np.repeat(~np.array(b.column(0)), n), np.ones(len(flat)))
-        yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(c), pa.array(total)], ["code", "c", "total"])
+        flat, n = _flat(b.column(0))
+        held.append((flat, n))
+        size += len(flat)
+        if size >= _FLUSH:
+            yield np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+            held, size = [], 0
+    if held:
+        yield np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+
+
+def _count(batches):
+    """Pre-aggregated (code, c) of a task's tokens."""
+    for flat, _ in _gathered(batches):
+        code, c = np.unique(flat, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(c)], ["code", "c"])
 
 
 class Bits:
     """A bitmap of bounded size that lets codes through: all that were put in, few others."""
 
     def __init__(self, expected: int):
-        self.size = min(_BITS, 1 << max(12, (4 * expected).bit_length()))
+        self.size = min(_BITS, 1 << max(12, (8 * expected).bit_length()))
         self.words = np.zeros(self.size // 64, np.uint64)
 
     def add(self, codes: DataFrame) -> None:
@@ -105,6 +114,64 @@ class Bits:
         return (self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
 
+class Often:
+    """Which grams of depth one occur LEAST times or more, by their first bits: those that
+    do, and few others. Each task packs the sorted distinct codes of its grams by ranges of
+    codes; a range is counted in one task, whatever grams are frequent."""
+
+    def __init__(self, n: int):
+        self.bits = min(64, max(16, int(n).bit_length() + 8))  # of a truncated code
+        self.size = min(_BITS.bit_length() - 1, self.bits)  # log2 of the bitmap
+        self.parts = min(self.size - 3, max(0, (n // _PART).bit_length()))  # log2 of the ranges
+        self.local = np.uint64(self.bits - self.parts)
+        self.bitmap = np.zeros(0, np.uint8)
+
+    def codes(self, gram: np.ndarray) -> np.ndarray:
+        return gram >> np.uint64(64 - self.bits)
+
+    def fill(self, train: DataFrame, sent) -> None:
+        def packed(batches):
+            for flat, n in _gathered(batches):
+                at, _, _, gram, _ = next(_depths(flat, n, sent.value, None, 1))
+                code, k = np.unique(self.codes(gram[at]), return_counts=True)
+                part = (code >> self.local).astype(np.int64)
+                cut = np.concatenate(([0], np.nonzero(np.diff(part))[0] + 1, [len(part)])) if len(part) else [0]
+                rows = {"part": [], "gaps": [], "k": []}
+                for lo, hi in zip(cut, cut[1:]):
+                    own = code[lo:hi] & np.uint64((1 << int(self.local)) - 1)
+                    gaps = np.diff(own, prepend=np.uint64(0))
+                    rows["part"].append(int(part[lo]))
+                    rows["gaps"].append(gaps.view(np.uint8).reshape(-1, 8)[:, : (int(self.local) + 7) // 8].T.tobytes())  # zeros lie together
+                    rows["k"].append(np.minimum(k[lo:hi], LEAST).astype(np.uint8).tobytes())
+                yield pa.RecordBatch.from_pydict(rows, pa.schema([("part", pa.int64()), ("gaps", pa.binary()), ("k", pa.binary())]))
+
+        def marked(table: pa.Table) -> pa.Table:
+            width, codes, ks = (int(self.local) + 7) // 8, [], []
+            for gaps, k in zip(table["gaps"].to_pylist(), table["k"].to_pylist()):
+                wide = np.zeros((len(k), 8), np.uint8)
+                wide[:, :width] = np.frombuffer(gaps, np.uint8).reshape(width, -1).T
+                codes.append(np.cumsum(wide.view(np.uint64).ravel(), dtype=np.uint64))
+                ks.append(np.frombuffer(k, np.uint8))
+            code, k = np.concatenate(codes), np.concatenate(ks)
+            order = np.argsort(code, kind="stable")
+            code = code[order]
+            first = np.concatenate(([True], code[1:] != code[:-1]))
+            often = code[first][np.add.reduceat(k[order].astype(np.int64), np.nonzero(first)[0]) >= LEAST]
+            bits = np.zeros(1 << (self.size - self.parts), bool)
+            bits[(often >> np.uint64(self.bits - self.size)).astype(np.int64)] = True
+            return pa.table({"part": table["part"][:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+        got = train.mapInArrow(packed, "part long, gaps binary, k binary").groupBy("part").applyInArrow(marked, "part long, bits binary").toArrow()
+        self.bitmap = np.zeros(1 << (self.size - 3), np.uint8)
+        wide = 1 << (self.size - self.parts - 3)
+        for part, bits in zip(got["part"].to_pylist(), got["bits"]):
+            self.bitmap[part * wide : (part + 1) * wide] = np.frombuffer(bits.as_py(), np.uint8)
+
+    def has(self, gram: np.ndarray) -> np.ndarray:
+        at = gram >> np.uint64(64 - self.size)
+        return (self.bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
 def _longer(gram: np.ndarray, flat: np.ndarray) -> np.ndarray:
     """Codes of the grams one token longer that end at each place."""
     out = np.zeros(len(flat), np.uint64)
@@ -120,177 +187,227 @@ def _back(values: np.ndarray) -> np.ndarray:
     return np.concatenate((np.zeros(1, values.dtype), values[:-1])) if len(values) else values
 
 
-def _depths(flat: np.ndarray, n: np.ndarray, twice: Bits, open_: Bits, most: int):
-    """For each depth: the places whose context may be a state, and the codes there of the
-    context, of the gram (context and token) and of the gram without its first token."""
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-    gram, alive = flat, np.ones(len(flat), bool)
+def _places(n: np.ndarray) -> np.ndarray:
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _depths(flat: np.ndarray, n: np.ndarray, frequent: Bits, open_: Bits | None, most: int):
+    """For each depth: the places whose gram may be frequent, those whose context has not
+    been counted as a gram of the depth before, and the codes of all places' context, gram
+    (context and token) and gram without its first token. A gram can be frequent only if the
+    gram without its first token is, and its context; it counts only if its context's parent
+    is open."""
+    place, gram, before = _places(n), flat, None
+    alive, none = np.ones(len(flat), bool), np.empty(0, np.int64)
+    may = frequent.has(gram)  # of each place's gram
     for d in range(1, most + 1):
-        context, shorter = _back(gram), gram
-        # a context that an earlier depth has not counted as a gram may occur twice all the same
-        fits = twice.has(context) | ~_back(alive)
-        alive = fits & (place >= d) & (alive & open_.has(_back(before)) if d > 1 else True)
-        before = gram
+        fits, again = place >= d, none
+        if d > 1:
+            fits &= open_.has(_back(before))
+            may = frequent.has(gram) | ~alive
+            again = np.nonzero(fits & ~_back(alive) & _back(_back(had)))[0]
+        context, shorter, before, had = _back(gram), gram, gram, may
+        alive = alive & fits & frequent.has(gram) & _back(may)
         gram = _longer(gram, flat)
-        yield np.nonzero(alive)[0], context, gram, shorter
+        yield np.nonzero(alive)[0], again, context, gram, shorter
 
 
 def _grams(sent, depth: int):
-    """Pre-aggregated counts of the grams of a depth over training texts."""
+    """Pre-aggregated counts of the grams of a depth over training texts, and (whole) of
+    contexts that were not counted as grams."""
 
     def run(batches):
-        twice, open_ = sent.value
-        kept: list[tuple[np.ndarray, ...]] = []
-        size = 0
-
-        def flush():
-            code, context, shorter = (np.concatenate(x) for x in zip(*kept))
-            kept.clear()
-            own, at, k = np.unique(code, return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (own, context[at], shorter[at], k)], ["code", "context", "shorter", "k"])
-
-        for b in batches:
-            flat, n = _flat(b.column(0))
-            *_, (at, context, gram, shorter) = _depths(flat, n, twice, open_, depth)
-            kept.append((gram[at], context[at], shorter[at]))
-            size += len(at)
-            if size > _FLUSH:
-                yield flush()
-                size = 0
-        if kept:
-            yield flush()
+        frequent, open_, often = sent.value
+        for flat, n in _gathered(batches):
+            *_, (at, again, context, gram, shorter) = _depths(flat, n, frequent, open_, depth)
+            if depth == 1:
+                at = at[often.has(gram[at])]
+            code, first, k = np.unique(gram[at], return_index=True, return_counts=True)
+            at = at[first]
+            whole, m = np.unique(context[again], return_counts=True)
+            none = np.zeros(len(whole), np.uint64)
+            columns = [np.concatenate(x).view(np.int64) for x in ((code, whole), (context[at], none), (shorter[at], none), (k, m))]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.arange(len(code) + len(whole)) >= len(code))], ["code", "context", "shorter", "k", "whole"])
 
     return run
 
 
-def _find(table: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """Places of codes in a sorted table, else -1."""
-    if not len(table):
-        return np.full(len(code), -1, np.int64)
-    at = np.minimum(np.searchsorted(table, code), len(table) - 1)
-    return np.where(table[at] == code, at, -1)
-
-
-class Level:
-    """The states of one depth in memory, as the tests know them: sorted (state, next)
-    codes with counts, state totals."""
-
-    def __init__(self, code: np.ndarray, k: np.ndarray, totals: np.ndarray, v: int):
-        order = np.argsort(code)
-        self.code, self.k = code[order], k[order].astype(float)
-        owner = self.code // v
-        self.held = np.bincount(owner, self.k, len(totals))
-        kinds = np.bincount(owner, minlength=len(totals))
-        self.back = np.maximum(totals - self.held, 0) + np.maximum(kinds, 1)
-        self.alive = kinds > 0
-
-    def prob(self, state: np.ndarray, ids: np.ndarray, parent: np.ndarray, v: int) -> np.ndarray:
-        """P(next | state) with the parent's probability given; the parent's where no state."""
-        s = np.where(state >= 0, state, 0)
-        at = _find(self.code, np.where((state >= 0) & (ids >= 0), s * v + ids, -1))
-        k = np.where(at >= 0, self.k[np.maximum(at, 0)] if len(self.k) else 0.0, 0.0)
-        full = (k + self.back[s] * parent) / (self.held[s] + self.back[s])
-        return np.where((state >= 0) & self.alive[s], full, parent)
-
-
-def _looked_up(b, twice: Bits, open_: Bits, most: int):
-    """(row of the batch, code) of everything whose weight a text's score may hold: its
-    tokens, its grams, and for held-out texts the states passed."""
-    flat, n = _flat(b.column(2))
-    row = np.repeat(np.arange(len(n)), n)
-    out = np.repeat(np.array(b.column(1)), n)
-    yield row, flat
-    for at, context, gram, _ in _depths(flat, n, twice, open_, most):
-        yield row[at], gram[at]
-        at = at[out[at]]
-        yield row[at], context[at] ^ _STATE
+class Table:
+    """Places of 64-bit codes in an array of distinct ones, by open addressing."""
+
+    def __init__(self, code: np.ndarray):
+        self.code = code
+        self.shift = np.uint64(64 - max(4, (4 * max(1, len(code))).bit_length()))
+        self.slot = np.full(1 << (64 - int(self.shift)), -1, np.int32)
+        left, at = np.arange(len(code), dtype=np.int32), self._first(code)
+        while len(left):
+            free = self.slot[at] < 0
+            self.slot[at[free]] = left[free]
+            missed = self.slot[at] != left
+            left, at = left[missed], (at[missed] + 1) % len(self.slot)
+
+    def _first(self, code: np.ndarray) -> np.ndarray:
+        return ((code * _STATE) >> self.shift).astype(np.int64)
+
+    def find(self, code: np.ndarray) -> np.ndarray:
+        """Places of the codes, else -1."""
+        out = np.full(len(code), -1, np.int32)
+        if len(self.code):
+            rows, at = np.arange(len(code)), self._first(code)
+            while len(rows):
+                held = self.slot[at]
+                hit = (held >= 0) & (self.code[held] == code[rows])
+                out[rows[hit]] = held[hit]
+                go = (held >= 0) & ~hit
+                rows, at = rows[go], (at[go] + 1) % len(self.slot)
+        return out
+
+
+def _looked_up(flat: np.ndarray, n: np.ndarray, known: Bits, most: int):
+    """(places, codes) of everything whose weight the score may hold: tokens, the states
+    that a place's context passes, and the grams they may have kept."""
+    yield None, flat
+    place, gram = _places(n), flat
+    ok = np.ones(len(flat), bool)
+    for d in range(1, most + 1):
+        state = _back(gram) ^ _STATE
+        ok = ok & (place >= d)
+        at = np.nonzero(ok)[0]
+        at = at[known.has(state[at])]
+        if not len(at):
+            break
+        ok = np.zeros(len(flat), bool)
+        ok[at] = True
+        gram = _longer(gram, flat)
+        yield at, state[at]
+        at = at[known.has(gram[at])]
+        yield at, gram[at]
 
 
 def _frequent(sent):
     """Per text the sums over what is broadcast."""
 
     def run(batches):
-        twice, open_, _, most, code, weights = sent.value
+        known, most, head, base, gain = sent.value
         for b in batches:
-            n = np.diff(b.column(2).offsets.to_numpy())
-            held = np.array(b.column(1))
-            known, base, gain = np.zeros(len(n)), np.zeros(len(n)), np.zeros(len(n))
-            for row, x in _looked_up(b, twice, open_, most):
-                at = _find(code, x)
-                row, at = row[at >= 0], at[at >= 0]
-                known += np.bincount(row, weights[0][at], len(n))
-                base += np.bincount(row, weights[1][at], len(n))
-                gain += np.bincount(row, np.where(held[row], weights[3][at], weights[2][at]), len(n))
-            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[3:], b.column(1), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(gain)], ["row", "doc_id", "held", "n_tokens", "known", "base", "gain"])
+            flat, n = _flat(b.column(0))
+            row = np.repeat(np.arange(len(n)), n)
+            some, sums = np.zeros(len(n)), [np.zeros(len(n)), np.zeros(len(n))]
+            for at, code in _looked_up(flat, n, known, most):
+                found = head.find(code)
+                hit = found >= 0
+                own, found = (row if at is None else row[at])[hit], found[hit]
+                sums[at is not None] += np.bincount(own, (base if at is None else gain)[found], len(n))
+                if at is None:
+                    some += np.bincount(own, minlength=len(n))
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(n.astype(np.int64)), pa.array(some.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])], ["row", "doc_id", "n_tokens", "known", "base", "gain"])
 
     return run
 
 
 def _seldom(sent):
-    """(2 row + held out, code, occurrences) of what is not broadcast."""
+    """(row, code) of what is not broadcast."""
 
     def run(batches):
-        twice, open_, weighed, most, code, _ = sent.value
+        known, most, head, _, _ = sent.value
         for b in batches:
-            own = np.array(b.column(0)) * 2 + np.array(b.column(1))
-            for row, x in _looked_up(b, twice, open_, most):
-                rest = weighed.has(x) & (_find(code, x) < 0)
-                yield pa.RecordBatch.from_arrays([pa.array(own[row[rest]]), pa.array(x[rest].view(np.int64))], ["own", "code"])
+            flat, n = _flat(b.column(0))
+            row = np.repeat(b.column(1).to_numpy(), n)
+            for at, code in _looked_up(flat, n, known, most):
+                rest = np.nonzero((head.find(code) < 0) & (known.has(code) if at is None else True))[0]
+                own = row[rest] if at is None else row[at[rest]]
+                for lo in range(0, len(rest), 500_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(own[lo : lo + 500_000]), pa.array(code[rest[lo : lo + 500_000]].view(np.int64))], ["row", "code"])
 
     return run
 
 
+def _grown(grams: DataFrame, totals: DataFrame, above: DataFrame) -> DataFrame:
+    """A depth's states: code, context, k, n, p, gain, unseen, open of every kept token.
+
+    grams: code, context, shorter, k; totals: occurrences (n) of each context (code); above:
+    P(token | parent) (p) of each gram without its first token (code)."""
+    own = grams.groupBy("context").agg(F.sum("k").alias("held"), F.count("*").alias("kinds"), F.max("k").alias("top"))
+    own = own.join(totals.select(F.col("code").alias("context"), "n"), "context").withColumn("t", (F.col("n") - F.col("held") + F.col("kinds")).cast("double"))
+    pairs = grams.join(above.select(F.col("code").alias("shorter"), F.col("p").alias("q")), "shorter").join(own, "context")
+    pairs = pairs.withColumn("p", (F.col("k") + F.col("t") * F.col("q")) / (F.col("held") + F.col("t")))
+    # Kullback-Leibler divergence from the parent: over the kept tokens, and over all others,
+    # which have the parent's distribution times one factor
+    rest, before = 1 - F.sum("p"), 1 - F.sum("q")
+    apart = F.sum(F.col("p") * F.log(F.col("p") / F.col("q"))) + F.when((rest > 0) & (before > 0), rest * F.log(rest / before)).otherwise(0.0)
+    states = pairs.groupBy("context").agg(apart.alias("apart")).where(F.col("apart") >= DIVERGENCE).select("context")
+    unseen = F.log10(F.col("t") / (F.col("held") + F.col("t")))
+    return pairs.join(states, "context").select("code", "context", "k", "n", "p", F.log10(F.col("p") / F.col("q")).alias("gain"), unseen.alias("unseen"), (F.col("n") - F.col("top") >= LEAST).alias("open"))
+
+
+def _head(weights: DataFrame) -> int:
+    """The least count of the broadcast codes: those above it are at most HEAD."""
+    size = F.floor(F.log2("often") * 16).cast("int")
+    total, least = 0, 0
+    for r in weights.groupBy(size.alias("b")).agg(F.count("*").alias("n"), F.min("often").alias("low")).orderBy(F.desc("b")).collect():  # at most 16 rows a power of two
+        total += r["n"]
+        if total > HEAD:
+            return least
+        least = r["low"]
+    return 0
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
     id_type = docs.schema["doc_id"].dataType
-    kind = T.StructType([T.StructField("doc_id", id_type), T.StructField("held", T.BooleanType()), T.StructField("codes", T.ArrayType(T.LongType()))])
-    coded = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_code, kind)
+    kind = T.StructType([T.StructField("doc_id", id_type), T.StructField("held", T.BooleanType()), T.StructField("codes", T.BinaryType())])
+    coded = docs.select("doc_id", (remainder(F.col("doc_id"), 7) == 2).alias("held"), "text").mapInArrow(_code, kind)
     coded = settle(coded.withColumn("row", F.monotonically_increasing_id()))
     train = coded.where("not held").select("codes")
-    counts = settle(coded.select("held", "codes").mapInArrow(_count, "code long, c long, total long").groupBy("code").agg(F.sum("c").alias("c"), F.sum("total").alias("total")))
-    n, v_all, n_all = (x or 0 for x in counts.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("long")), F.sum("total")).first())
-    p0 = (F.col("c") + 1) / F.lit(float(n + v_all + 1))
-    zero = F.lit(0.0)
-    weights = counts.select("code", F.col("total").alias("often"), (F.col("c") > 0).cast("double").alias("known"), F.log10(p0).alias("base"), zero.alias("gain"), zero.alias("unseen"))
-    above = counts.where("c > 0").select("code", F.col("c").alias("k"), F.lit(n).cast("long").alias("n"), p0.alias("p"))
-    twice, open_, weighed, depth = Bits(n), Bits(n), Bits(n_all), 0
-    twice.add(counts.where(F.col("c") >= LEAST))
+    counts = settle(train.mapInArrow(_count, "code long, c long").groupBy("code").agg(F.sum("c").alias("c")))
+    n, kinds = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
+    none = F.lit(None).cast("double")
+    weights = counts.select("code", F.col("c").alias("often"), F.log10(F.col("c") + 1).alias("base"), none.alias("gain"))
+    above = counts.select("code", ((F.col("c") + 1) / F.lit(float(n + kinds + 1))).alias("p"))
+    totals = counts.select("code", F.col("c").alias("n"))
+    frequent, open_, depth = Bits(n // LEAST), Bits(n // LEAST), 0
+    frequent.add(counts.where(F.col("c") >= LEAST))
+    sent = sc.broadcast(frequent)
+    often = Often(n)
+    often.fill(train, sent)
+    sent.destroy()
+    used = [coded, counts]
     while True:
-        sent = sc.broadcast((twice, open_))
-        grams = train.mapInArrow(_grams(sent, depth + 1), "code long, context long, shorter long, k long")
-        grams = settle(grams.groupBy("code", "context", "shorter").agg(F.sum("k").alias("k")))
+        sent = sc.broadcast((frequent, open_, often if depth == 0 else None))
+        grams = train.mapInArrow(_grams(sent, depth + 1), "code long, context long, shorter long, k long, whole boolean")
+        counted = settle(grams.groupBy("code", "context", "shorter", "whole").agg(F.sum("k").alias("k")).where(F.col("k") >= LEAST))
         sent.destroy()
-        pairs = grams.join(above.select(F.col("code").alias("shorter"), F.col("k").alias("_k"), F.col("n").alias("_n"), F.col("p").alias("_p")), "shorter")
-        # Kullback-Leibler of a context's next tokens from those of the context one shorter
-        states = pairs.groupBy("context").agg(F.sum("k").alias("n"), F.count("*").alias("kinds"), F.sum(F.col("k") * F.log(F.col("k") * F.col("_n") / F.col("_k"))).alias("s"))
-        states = states.where((F.col("n") >= LEAST) & (F.col("s") / F.col("n") - F.log(F.col("n")) >= DIVERGENCE)).drop("s")
-        p = (F.col("k") + F.col("kinds") * F.col("_p")) / (F.col("n") + F.col("kinds"))
-        level = settle(pairs.join(states, "context").select("code", "context", "k", "n", "kinds", p.alias("p"), F.log10(p / F.col("_p")).alias("gain"), F.log10(F.col("kinds") / (F.col("n") + F.col("kinds"))).alias("unseen")))
+        grams, whole = counted.where("not whole").drop("whole"), counted.where("whole").select("code", F.col("k").alias("n"))
+        level = settle(_grown(grams, totals.union(whole), above))
+        used += [counted, level]
         if level.isEmpty():
-            discard(grams)
             break
         depth += 1
-        twice.add(grams.where(F.col("k") >= LEAST))
-        discard(grams)
-        own = level.groupBy("context").agg(F.first("n").alias("n"), F.first("kinds").alias("kinds"), F.first("unseen").alias("unseen"))
-        open_.add(own.where("kinds > 1").select(F.col("context").alias("code")))
+        frequent.add(grams)
+        states = level.groupBy("context").agg(F.first("n").alias("n"), F.first("unseen").alias("unseen"), F.first("open").alias("open"))
+        open_.add(states.where("open").select(F.col("context").alias("code")))
         code = F.col("context").bitwiseXOR(F.lit(int(_STATE.view(np.int64))))
-        weights = weights.union(level.select("code", "k", zero, zero, "gain", F.col("gain") - F.col("unseen"))).union(own.select(code, "n", zero, zero, zero, "unseen"))
-        above = level.where("kinds > 1").select("code", "k", "n", "p")
+        weights = weights.union(level.select("code", "k", none, F.col("gain") - F.col("unseen"))).union(states.select(code, "n", none, "unseen"))
+        above, totals = level.where("open").select("code", "p"), grams.select("code", F.col("k").alias("n"))
         spark._jvm.System.gc()  # shuffle files of the depth go
-    least = P_HEAD * n_all  # at most 1/P_HEAD tokens, and as many grams and states of a depth
-    head = weights.where(F.col("often") >= least).orderBy("code").toArrow()
+    weights = settle(weights)
+    for t in used[1:]:
+        discard(t)
+    least = _head(weights)
+    head = weights.where(F.col("often") >= least).orderBy("code").drop("often").toArrow()
     rest = weights.where(F.col("often") < least).drop("often")
-    weighed.add(rest)
-    code = head["code"].to_numpy().view(np.uint64)
-    order = np.argsort(code)
-    sent = sc.broadcast((twice, open_, weighed, depth, code[order], [head[c].to_numpy()[order] for c in ("known", "base", "gain", "unseen")]))
-    columns = coded.select("row", "held", "codes", "doc_id")
-    kind = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", id_type), T.StructField("held", T.BooleanType())] + [T.StructField(c, t) for c, t in (("n_tokens", T.LongType()), ("known", T.LongType()), ("base", T.DoubleType()), ("gain", T.DoubleType()))])
+    known = Bits(max(1, weights.count()))
+    known.add(weights)
+    base, gain = (head[c].fill_null(0.0).to_numpy() for c in ("base", "gain"))
+    sent = sc.broadcast((known, depth, Table(head["code"].to_numpy().view(np.uint64)), base, gain.astype(np.float32)))
+    columns = coded.select("codes", "row", "doc_id")
+    kind = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", id_type)] + [T.StructField(c, t) for c, t in (("n_tokens", T.LongType()), ("known", T.LongType()), ("base", T.DoubleType()), ("gain", T.DoubleType()))])
     first = columns.mapInArrow(_frequent(sent), kind)
-    more = columns.mapInArrow(_seldom(sent), "own long, code long").join(rest, "code")
-    more = more.groupBy("own").agg(F.sum("known").cast("long").alias("_known"), F.sum("base").alias("_base"), F.sum(F.when(F.col("own") % 2 == 1, F.col("unseen")).otherwise(F.col("gain"))).alias("_gain"))
-    out = first.join(more.withColumn("row", F.expr("own div 2")), "row", "left")
-    base = F.col("base") + F.coalesce("_base", zero)
+    more = columns.select("codes", "row").mapInArrow(_seldom(sent), "row long, code long").join(rest, "code")
+    more = more.groupBy("row").agg(F.count("base").alias("_known"), F.sum("base").alias("_base"), F.sum("gain").alias("_gain"))
+    out = first.join(more, "row", "left")
+    zero = F.lit(0.0)
+    every = F.lit(float(np.log10(float(n + kinds + 1))))  # of each token; log10(c + 1) is 0 where c is
+    base = F.col("base") + F.coalesce("_base", zero) - F.col("n_tokens") * every
     return out.select("doc_id", (remainder(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain") + F.coalesce("_gain", zero)).alias("score"))

@@ -188,13 +188,14 @@ def plain_suffix_tree(texts):
         for i in range(len(t)):
             for d in range(1, min(i, 12) + 1):
                 counts.setdefault(tuple(t[i - d : i]), Counter())[t[i]] += 1
+    kept = {ctx: {w: k for w, k in own.items() if k >= suffix_tree.LEAST} for ctx, own in counts.items()}
     states = set()
-    for ctx in sorted(counts, key=len):
-        own, up = counts[ctx], counts[ctx[1:]] if len(ctx) > 1 else c
-        k, m = sum(own.values()), sum(up.values())
-        if k >= suffix_tree.LEAST and (len(ctx) == 1 or ctx[1:] in states and len(up) > 1):
-            if sum(x / k * math.log(x / k * m / up[w]) for w, x in own.items()) >= suffix_tree.DIVERGENCE:
-                states.add(ctx)
+
+    def step(x, ctx, up):
+        own = kept[ctx]
+        held = sum(own.values())
+        rest = sum(counts[ctx].values()) - held + len(own)
+        return (own.get(x, 0) + rest * up) / (held + rest)
 
     def prob(x, before):
         p = root(x)
@@ -202,17 +203,26 @@ def plain_suffix_tree(texts):
             ctx = tuple(before[-d:])
             if ctx not in states:
                 break
-            own = counts[ctx]
-            p = (own[x] + len(own) * p) / (sum(own.values()) + len(own))
+            p = step(x, ctx, p)
         return p
 
+    vocabulary = [*c, None]
+    for ctx in sorted((s for s in counts if kept[s]), key=len):
+        parent = ctx[1:]
+        if parent and (parent not in states or sum(counts[parent].values()) - max(kept[parent].values()) < suffix_tree.LEAST):
+            continue
+        up = {w: prob(w, list(parent)) for w in vocabulary}
+        down = {w: step(w, ctx, p) for w, p in up.items()}
+        assert abs(sum(down.values()) - 1) < 1e-9  # the distribution sums to one
+        if sum(p * math.log(p / up[w]) for w, p in down.items()) >= suffix_tree.DIVERGENCE:
+            states.add(ctx)
     return prob, states
 
 
 def test_suffix_tree_against_brute_force(spark, monkeypatch):
     rng = random.Random(12)
-    passage = " ".join(f"p{i}" for i in range(9))  # in three texts of thousands of tokens
-    data = [(i, words(rng, 200) + (f" {passage} end" if i in (3, 50, 77) else "") + " x a b c y z a b c w v b c q", "en", "s", 0) for i in range(90)]
+    passage = " ".join(f"p{i}" for i in range(9))  # in six texts of thousands of tokens
+    data = [(i, words(rng, 200) + (f" {passage} end" if i in (3, 20, 31, 44, 50, 77) else "") + " x a b c y z a b c w v b c q", "en", "s", 0) for i in range(90)]
     data += [(300 + i, " ".join(rng.choice("abc") for _ in range(60)), "en", "s", 0) for i in range(20)] + [(400, None, "en", "s", 0)]
     tok = lambda t: (t or "").encode().lower().split() + [b" "]
     held = lambda i: crc32(str(i).encode()) % 7 == 2
@@ -220,20 +230,24 @@ def test_suffix_tree_against_brute_force(spark, monkeypatch):
     assert max(map(len, states)) > 3 and (b"p4",) in states
     text = {r[0]: tok(r[1]) for r in data}
     want = {i: sum(math.log10(prob(x, t[:k])) for k, x in enumerate(t)) for i, t in text.items()}
-    for share in (suffix_tree.P_HEAD, 0.001, 2.0):  # all broadcast, the frequent, none
-        monkeypatch.setattr(suffix_tree, "P_HEAD", share)
+    for head in (suffix_tree.HEAD, 200, 0):  # all broadcast, the frequent, none
+        monkeypatch.setattr(suffix_tree, "HEAD", head)
         for r in suffix_tree.score(frame(spark, data)).collect():
-            assert abs(r["score"] - want[r["doc_id"]]) < 1e-6, r
+            assert abs(r["score"] - want[r["doc_id"]]) < 1e-5, r
+    monkeypatch.setattr(suffix_tree, "_BITS", 1 << 12)  # bitmaps that fill up
+    for r in suffix_tree.score(frame(spark, data)).collect():
+        assert abs(r["score"] - want[r["doc_id"]]) < 1e-5, r
 
 
-def test_suffix_tree_distributions_sum_to_one():
-    import numpy as np
+def test_token_codes_are_those_of_words(spark):
+    import pyarrow as pa
+    import xxhash
 
-    v = 5
-    level = suffix_tree.Level(np.array([0 * v + 1, 0 * v + 2, 1 * v + 4]), np.array([4, 2, 3]), np.array([9.0, 3.0]), v)
-    parent = np.full(v, 0.2)
-    for s in (0, 1):
-        assert abs(level.prob(np.full(v, s), np.arange(v), parent, v).sum() - 1) < 1e-12
+    texts = [None, "", "  ", " A b\t\x0bc\x85d ", "Ünï\u00a0x y", "one"]
+    got, n = suffix_tree.token_codes(pa.array(texts, pa.string()))
+    want = [[xxhash.xxh64_intdigest(w) for w in (t or "").encode().lower().split()] + [int(suffix_tree.END)] for t in texts]
+    assert got.tolist() == [c for t in want for c in t] and n.tolist() == [len(t) for t in want]
+    assert suffix_tree.token_codes(pa.array([], pa.string()))[0].tolist() == []
 
 
 def test_toxicity_learns_and_generalises(spark):
