@@ -10,18 +10,23 @@ no chance (log-likelihood ratio of at least RATIO, one in a thousand) are spans
 `sanitise`. No number of texts is asked for: in a large corpus one text with an address
 and a name found nowhere else is enough.
 
-Counts are over all documents: entities and all terms of their documents are aggregated by
-key with map-side counts; how many documents hold a candidate term is counted in a second
-pass, and where disclosing terms stand is found in a third. Both let words through a bitmap
-of bounded size and then join them exactly.
+Counts are over all documents. Entities that stand in the same documents are one class (told
+by two sums of document hashes), so a text with many values of its own costs as much as one
+with a single value. A term can only pass if no more than n_e^d * n^(1-d) of the n documents
+hold it (n_e those of the entity, d the threshold), so terms are counted first and only those
+rare enough for a document's entities are paired with them, pre-aggregated by task. Where
+disclosing terms stand is found in a last pass. Passes let words through bitmaps of bounded
+size and then join them exactly.
 
 Defined results: null texts are empty and have no spans; the hash of no spans is that of
-the empty string; repeated rows are found one by one; extra columns are ignored.
+the empty string; repeated rows are found one by one; very long texts are read whole, in
+time in proportion to them; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -32,11 +37,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle
+from .common import discard, settle
 
 DISCLOSURE, RATIO = 0.9, 10.83
 KINDS = ("email", "ip", "card", "phone", "term")
-_BITS, _SHIFTS = 1 << 27, (0, 18, 36)  # of the bitmaps
+_BITS, _SHIFTS = 1 << 26, (0, 18, 36)  # of the bitmaps
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -100,9 +105,15 @@ def joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def _clear(spans, m) -> bool:
-    """Does a match stand outside all spans?"""
-    return all(m.end() <= a or m.start() >= b for a, _, b in spans)
+def _outside(spans, matches):
+    """The matches, in order, that stand outside all spans (which are in order of start)."""
+    k, reach = 0, 0  # the spans up to k reach to `reach`
+    for m in matches:
+        while k < len(spans) and spans[k][0] < m.end():
+            reach = max(reach, spans[k][2])
+            k += 1
+        if m.start() >= reach:
+            yield m
 
 
 _SPAN = pa.list_(pa.struct([("a", pa.int32()), ("k", pa.int32()), ("b", pa.int32())]))
@@ -120,7 +131,7 @@ def _find(batches):
             sha.append(hashlib.sha256(joined(s).encode()).hexdigest())
             spans.append([{"a": a, "k": k, "b": b} for a, k, b in s])
             values.append(list({f"{KINDS[k]}:{t[a:b].lower()}" for a, k, b in s}))
-            terms.append(list({m.group().lower() for m in _TERM.finditer(t) if _clear(s, m)}) if s else [])
+            terms.append(list({m.group().lower() for m in _outside(s, _TERM.finditer(t))}) if s else [])
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(x, pa.int64()) for x in n], pa.array(sha), pa.array(spans, _SPAN), pa.array(values, pa.list_(pa.string())), pa.array(terms, pa.list_(pa.string()))], ["key", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "values", "terms"])
 
 
@@ -182,13 +193,11 @@ def _places(packed: np.ndarray):
             for k, v in zip(batch.column(0).to_pylist(), batch.column(1)):
                 t = v.as_py()
                 hits = [m for m in _TERM.finditer(t) if fit[m.group()]] if t else []
-                spans = base_spans(t) if hits else []
-                for m in hits:
-                    if _clear(spans, m):
-                        key.append(k)
-                        term.append(fit[m.group()])
-                        start.append(m.start())
-                        end.append(m.end())
+                for m in _outside(base_spans(t) if hits else [], hits):
+                    key.append(k)
+                    term.append(fit[m.group()])
+                    start.append(m.start())
+                    end.append(m.end())
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(term, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["key", "t", "a", "b"])
 
     return run
@@ -200,14 +209,51 @@ def _kind(id_type) -> T.StructType:
     return T.StructType([T.StructField("key", T.LongType()), T.StructField("doc_id", id_type)] + [T.StructField(f"n_{k}", T.LongType()) for k in KINDS[:4]] + [T.StructField("base_sha256", T.StringType()), T.StructField("base", span), T.StructField("values", words), T.StructField("terms", words)])
 
 
+def _pairs(sent):
+    """Pre-aggregated (c, t, n_te): classes of entities beside terms of their documents, as
+    far as the bitmap of the document's level lets the terms in."""
+
+    def run(batches):
+        fits = {level: _Candidates(packed) for level, packed in sent.value.items()}
+        counts: Counter = Counter()
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([c for c, _ in counts], pa.int64()), pa.array([t for _, t in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["c", "t", "n_te"])
+
+        for b in batches:
+            for classes, level, terms in zip(b.column(0), b.column(1).to_pylist(), b.column(2)):
+                own = [t for t in terms.as_py() if fits[level][t]]
+                for c in classes.as_py():
+                    counts.update((c, t) for t in own)
+                    if len(counts) > 500_000:
+                        yield out()
+                        counts.clear()
+        yield out()
+
+    return run
+
+
 def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame | None:
     """t of the terms that reveal an entity; None where there is none."""
+    n = found.count()
     some = found.where(F.size("values") > 0)
-    terms = settle(some.select(F.explode("terms").alias("t")).distinct())
-    held = settle(docs.select("text").mapInArrow(_holders(_bits(terms)), "t string, n long").groupBy("t").agg(F.sum("n").alias("n_t")))
-    pairs = some.select(F.explode("values").alias("e"), "terms").select("e", F.explode("terms").alias("t")).groupBy("e", "t").agg(F.count("*").alias("n_te"))
-    entity = some.select(F.explode("values").alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
-    n = F.lit(float(found.count()))
+    held = docs.select("text").mapInArrow(_holders(_bits(some.select(F.explode("terms").alias("t")))), "t string, n long").groupBy("t").agg(F.sum("n").alias("n_t"))
+    mention = some.select("key", F.explode("values").alias("e"))
+    mark = lambda salt: F.sum(F.xxhash64("key", F.lit(salt)).cast("decimal(20,0)"))
+    entity = mention.groupBy("e").agg(F.count("*").alias("n_e"), mark(0).alias("s0"), mark(1).alias("s1"))
+    entity = settle(entity.select("e", "n_e", F.xxhash64("n_e", "s0", "s1").alias("c")))
+    # the most documents that a disclosing term can be in, as a power of two
+    most = F.ceil(DISCLOSURE * F.log2(F.max("n_e")) + (1 - DISCLOSURE) * math.log2(max(n, 1)) + 1e-9).cast("int")
+    per_doc = mention.distinct().join(entity, "e").groupBy("key").agg(F.collect_set("c").alias("classes"), most.alias("level"))
+    tied = settle(some.select("key", "terms").join(per_doc, "key").select("classes", "level", "terms"))
+    levels = [r["level"] for r in tied.select("level").distinct().collect()]  # logarithms: a few dozen at most
+    if not levels:
+        return None
+    held = settle(held.where(F.col("n_t") <= 2 ** max(levels)))
+    sent = docs.sparkSession.sparkContext.broadcast({k: _bits(held.where(F.col("n_t") <= 2**k)) for k in levels})
+    pairs = tied.mapInArrow(_pairs(sent), "c long, t string, n_te long").groupBy("c", "t").agg(F.sum("n_te").alias("n_te"))
+    classes = entity.groupBy("c").agg(F.first("n_e").alias("n_e"))
+    n = F.lit(float(n))
     te, t, e = F.col("n_te"), F.col("n_t"), F.col("n_e")
     whole = F.log2(n / e)
     mutual = F.log2(te * n / (t * e))
@@ -216,7 +262,9 @@ def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame | None:
         return F.when(x > 0, x * F.log(x * n / (row * column))).otherwise(0.0)
 
     ratio = 2 * (part(te, t, e) + part(t - te, t, n - e) + part(e - te, n - t, e) + part(n - t - e + te, n - t, n - e))
-    out = settle(pairs.join(held, "t").join(entity, "e").where((whole > 0) & (mutual >= DISCLOSURE * whole) & (ratio >= RATIO)).select("t").distinct())
+    out = settle(pairs.join(held, "t").join(classes, "c").where((whole > 0) & (mutual >= DISCLOSURE * whole) & (ratio >= RATIO)).select("t").distinct())
+    for x in (entity, tied, held):
+        discard(x)
     return None if out.isEmpty() else out
 
 
@@ -225,9 +273,15 @@ def _key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
+def found_spans(docs: DataFrame) -> DataFrame:
+    """Of every row key, doc_id, the counts, hash and spans of the base patterns (`base`), the
+    values found and, where there are any, the terms beside them; settled."""
+    return settle(docs.select(_key().alias("key"), "doc_id", "text").mapInArrow(_find, _kind(docs.schema["doc_id"].dataType)))
+
+
 def _marked(docs: DataFrame) -> DataFrame:
     """key, the columns of personal_data() but `spans`, and `all` spans of every row."""
-    found = settle(docs.select(_key().alias("key"), "doc_id", "text").mapInArrow(_find, _kind(docs.schema["doc_id"].dataType)))
+    found = found_spans(docs)
     terms = disclosing(found, docs)
     out = found.drop("values", "terms")
     if terms is None:

@@ -138,6 +138,57 @@ def test_disclosing_terms(spark):
     assert "Zebulon" not in clean[0] and "[email]" in clean[0] and clean[10] == data[5][1]
 
 
+def plain_disclosing(data):
+    """Disclosing terms by all counts in memory."""
+    import re
+
+    term = re.compile(r"[^\W\d_]{4,}")
+    docs, n = [], len(data)
+    for _, t, *_ in data:
+        t = t or ""
+        spans = pii.base_spans(t)
+        values = {f"{k}:{t[a:b].lower()}" for a, k, b in spans}
+        docs.append((values, {m.group().lower() for m in term.finditer(t) if all(m.end() <= a or m.start() >= b for a, _, b in spans)}, {w.lower() for w in term.findall(t)}))
+    n_e, n_te = Counter(), Counter()
+    for values, terms, _ in docs:
+        n_e.update(values)
+        n_te.update((e, t) for e in values for t in terms)
+    n_t = Counter(t for _, _, held in docs for t in held)
+    out = set()
+    for (e, t), k in n_te.items():
+        whole = math.log2(n / n_e[e])
+        table = [(k, n_t[t], n_e[e]), (n_t[t] - k, n_t[t], n - n_e[e]), (n_e[e] - k, n - n_t[t], n_e[e]), (n - n_t[t] - n_e[e] + k, n - n_t[t], n - n_e[e])]
+        ratio = 2 * sum(x * math.log(x * n / (r * c)) for x, r, c in table if x > 0)
+        if whole > 0 and math.log2(k * n / (n_t[t] * n_e[e])) >= pii.DISCLOSURE * whole and ratio >= pii.RATIO:
+            out.add(t)
+    return out
+
+
+def test_disclosing_terms_against_brute_force(spark):
+    rng = random.Random(3)
+    data = []
+    for i in range(600):
+        t = words(rng, rng.randint(5, 60))
+        for _ in range(rng.choice([0, 0, 0, 1, 2, 7])):
+            t += f" {rng.choice(['anna', 'berthold', 'cecily', 'rare%d' % i])} of u{rng.randrange(40)}@x.org or 10.0.0.{rng.randrange(60)} " + words(rng, 3)
+        data.append((i, t, "en", "s", 0))
+    data += [(1000 + i, "Quentin has p.q@corp.example and no other words", "en", "s", 0) for i in range(25)] + [(None, None, "en", "s", 0)]
+    docs = frame(spark, data)
+    found = pii.found_spans(docs)
+    assert {r["t"] for r in pii.disclosing(found, docs).collect()} == (want := plain_disclosing(data)) and "quentin" in want
+
+
+def test_many_entities_in_a_long_text(spark):
+    """Time grows with the text: tens of thousands of addresses in one text."""
+    import time
+
+    long = " ".join(f"name{chr(97 + i % 26) * 4} a{i}@x.org" for i in range(30_000))
+    began = time.time()
+    spans = pii.base_spans(long)
+    assert len(spans) == 30_000 and len(list(pii._outside(spans, pii._TERM.finditer(long)))) == 60_000 - 30_000
+    assert time.time() - began < 5
+
+
 def test_terms_of_a_single_text(spark):
     rng = random.Random(6)
     data = [(i, words(rng, 30), "en", "s", 0) for i in range(1200)]
