@@ -37,7 +37,7 @@ def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.fingerprints(table(spark, sf_dir, "documents"))
+    return simhash.with_near_counts(table(spark, sf_dir, "documents"))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,6 +91,23 @@ def test_simhash_many_ranges(spark, monkeypatch):
         assert got[a[0]] == hashlib.sha256((a[1][: len(a[1]) - h] + b[1][:h]).encode()).hexdigest()
 
 
+def test_near_counts_against_brute_force(spark):
+    rng = random.Random(13)
+    base = words(rng, 300).split()
+    data = []
+    for i in range(0, 60):
+        w = list(base)
+        w[rng.randrange(300)] = f"q{i % 20}"
+        data.append((i * 50, " ".join(w), "en", "s", 0))
+    data += [(7, None, "en", "s", 0), (8, "", "en", "s", 0), (None, " ".join(base), "en", "s", 0), (100, " ".join(base), "en", "s", 0)]
+    mark = [simhash.fingerprint(r[1] or "") for r in data]
+    want = Counter()
+    for (i, *_), a in zip(data, mark):
+        want[i, None if i is None or i % 100 else sum((a ^ b).bit_count() <= simhash.RADIUS for b in mark) - 1] += 1
+    got = Counter((r["doc_id"], r["n_within"]) for r in simhash.with_near_counts(frame(spark, data, extra=True)).collect())
+    assert got == want and max(k or 0 for _, k in got) > 5
+
+
 def test_radius_search(spark):
     rng = random.Random(2)
     fps = set()
