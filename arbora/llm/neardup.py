@@ -45,7 +45,7 @@ WIDTH, THRESHOLD = 5, 0.8
 #: Coordinates of the minwise signature; trees; leaders of a node of the first level; largest
 #: small node; levels; classes in a slice of a node; powers of 1/threshold that the sizes of
 #: one root span.
-COORDINATES, TREES, LEADERS, LIMIT, LEVELS, SLICE, SIZES = 64, 12, 2, 16, 5, 256, 4
+COORDINATES, TREES, LEADERS, LIMIT, LEVELS, SLICE, SIZES = 64, 12, 1, 16, 5, 256, 4
 _SLACK = 5  # standard deviations by which an estimate may fall short of the threshold
 _BYTES = 2 << 20  # of shingle sets in a slice or batch
 
