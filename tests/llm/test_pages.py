@@ -52,13 +52,35 @@ def test_zones():
     assert html_text.blocks("") == [] and html_text.blocks("plain < text") == [(0, "plain < text")]
 
 
+def test_long_and_broken_pages_take_linear_time():
+    import time
+
+    n = 40_000
+    cases = ["<div>" * n + "x" + "</p>" * n, "<! " * n, '<a "' * n, "<a '\"" * n, "<a " * n + '"x" ' * n, "<!--" * n, "<script>" * n, "</b>" * n, "<p>" * n + "</div>" * n, "<i>" * n + "</b>" * n, "<" * n]
+    for page in cases:
+        began = time.time()
+        html_text.blocks(page * 2)
+        assert time.time() - began < 4, page[:20]
+    assert html_text.blocks("<p>" + "a b " * 300_000) == [(0, "a b " * 299_999 + "a b")]
+
+
+def test_slices_of_equal_rows(spark, monkeypatch):
+    """Rows of one page_id and text are one page, in one slice or several."""
+    line = "all of these words stand together on a page that was stored two times"
+    rows = [(1, "http://h.com/1", f"<div>{line}</div>")] * 2 + [(i, f"http://h.com/{i}", f"<div>page {i} has words of its own, number {i * 7}</div>") for i in range(2, 14)]
+    for size in (1 << 20, 60):
+        monkeypatch.setattr(html_text, "SLICE", size)
+        got = [r["text"] for r in html_text.main_text(pages(spark, rows)).collect()]
+        assert got.count(line) == 2 and all(got)
+
+
 def test_boilerplate_by_host(spark, monkeypatch):
     rng = random.Random(3)
     w = lambda n: " ".join(rng.choice(["lorem", "ipsum", "dolor", "sit", "amet", "elit", "sed"]) + str(rng.randrange(99)) for _ in range(n))
     shared = "this long line of the site is the same on every single page of it"
     rows = [(i, f"http://h.com/{i}", f"<body><div>{shared}</div><div>own {w(20)}</div></body>") for i in range(12)]
     rows += [(50, "http://h.com/x", PAGE), (51, None, None), (52, "http://k.com/", f"<p>{shared}</p>"), (53, "http://k.com/2", "<article></article>")]
-    for size in (2000, 3):  # one slice, then several a host
+    for size in (1 << 20, 300):  # one slice, then several a host
         monkeypatch.setattr(html_text, "SLICE", size)
         got = {r["page_id"]: r for r in html_text.main_text(pages(spark, rows)).collect()}
         assert len(got) == 16 and all(got[i]["text"].startswith("own ") and "\n" not in got[i]["text"] for i in range(12))
@@ -73,7 +95,7 @@ def test_copies_and_articles_survive(spark, monkeypatch):
     rows = [(i, f"http://h.com/{i}", f"<div>{menu}</div><div>{body}</div>") for i in (1, 2, 3)]
     rows += [(9, "http://h.com/9", f"<div>{menu}</div><div>other words only here and never at any other place</div>")]
     rows += [(20, "http://k.com/", "<article><p>First one</p></article><nav>Menu</nav><article><p>Second, longer one</p></article>")]
-    for size in (2000, 1):  # one slice, then several a host
+    for size in (1 << 20, 100):  # one slice, then several a host
         monkeypatch.setattr(html_text, "SLICE", size)
         got = {r["page_id"]: r["text"] for r in html_text.main_text(pages(spark, rows)).collect()}
         assert got == {1: body, 2: body, 3: body, 9: "other words only here and never at any other place", 20: "First one\n\nSecond, longer one"}
