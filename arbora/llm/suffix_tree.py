@@ -2,24 +2,29 @@
 
 Tokens are the lower-cased words of a text and one end token. The tree's root is the
 add-one distribution over the training tokens and one class of unseen ones. A state is a
-context of any length. It is grown from a state (or the root) if it is followed at least
-LEAST times by some token and its next-token distribution diverges from its parent's by
-DIVERGENCE nats or more; contexts are lengthened until no state is found, however long they
-get. A context whose occurrences but for LEAST - 1 go on with one token is not lengthened:
-longer ones say the same. A state keeps the counts k of the tokens that follow it LEAST
-times or more; P(x | s) = (k + t P(x | parent)) / (held + t), held the sum of the kept counts
-and t the occurrences not kept and one for each kept token, so that every distribution sums
-to one. A token is scored in the state of the longest suffix of the text before it.
-
-All counts cover all training texts, and LEAST is an absolute number, so the tree grows
-with the input. It is a distributed table: tokens, contexts and grams go by 64-bit codes,
-a depth's grams are counted and joined to the grams one token shorter. A text's score is a
-sum of weights by code (of a token its base score, of a state its share for tokens it has
-not kept, of a kept token what it adds to that). The HEAD most frequent codes are broadcast;
-all others are joined by code. Bitmaps of at most _BITS bits keep codes that cannot match
-from the shuffles: grams too rare at depth one (counted by truncated codes, packed by task),
-grams of rare ones, codes without a weight. What they let in wrongly, exact counts and joins
-drop; in a corpus so large that the bitmaps fill up, more is shuffled, with the same result.
+context of any length that occurs CONTEXT times or more and whose next-token distribution
+diverges from that of its parent (the context without its first token) by DIVERGENCE nats or
+more. It keeps the counts k of the tokens that follow it LEAST times or more; P(x | s) =
+(k + t P(x | parent)) / (held + t), held the sum of the kept counts and t the occurrences not
+kept and one for each kept token, so that every distribution sums to one. A token is scored in
+the state of the longest suffix of the text before it.
+
+The tree is grown depth by depth until no state is found, however long contexts get. A
+context is tried if its parent is a state and it is itself a kept gram: the state of all but
+its last token has kept that token, so that the tree can be walked from left to right. A
+parent whose occurrences but for LEAST - 1 go on with one token is not lengthened: longer
+contexts say the same.
+
+All counts cover all training texts, and CONTEXT and LEAST are absolute numbers, so the tree
+grows with the input. It is a distributed table: tokens, contexts and grams go by 64-bit codes
+(polynomials in the tokens' hashes), a depth's grams are counted and joined to the grams one
+token shorter. A text's score is a sum of weights by code (of a token its base score, of a
+state its share for tokens it has not kept, of a kept token what it adds to that). The HEAD
+most frequent codes are broadcast; all others are joined by code. Bitmaps of at most _BITS
+bits keep codes that cannot match from the shuffles: grams too rare at depth one (counted by
+truncated codes, packed by task), grams of rare ones, codes without a weight. What they let in
+wrongly, exact counts and joins drop; in a corpus so large that the bitmaps fill up, more is
+shuffled, with the same result.
 
 Defined results: null and empty texts are the end token alone; without training rows every
 count is 0; a null doc_id counts as the empty text in the split; repeated rows are scored
@@ -38,11 +43,14 @@ from pyspark.sql import types as T
 
 from .common import discard, remainder, settle
 
-LEAST, DIVERGENCE, HEAD = 4, 0.01, 1 << 20
+CONTEXT, LEAST, DIVERGENCE, HEAD = 32, 4, 0.01, 1 << 20
 END = np.uint64(xxhash.xxh64_intdigest(b" "))  # no word holds a space
 _BITS = 1 << 28  # of a bitmap, at most
 _STATE = np.uint64(0x9E3779B97F4A7C15)  # tells a state's code from that of the same tokens as a gram
-_FLUSH = 4_000_000  # tokens that a task pre-aggregates at once
+_K = np.uint64(0x9E3779B97F4A7C13)  # base of the polynomials; odd, so it can be divided by
+_FLUSH = 2_000_000  # tokens that a task pre-aggregates at once
+_HELD = 4_000_000  # grams that a task holds
+_CHUNK = 250_000  # tokens that are scored at once
 _PART = 1_000_000  # of which about so many meet in a task that counts truncated codes
 
 
@@ -132,8 +140,8 @@ class Often:
     def fill(self, train: DataFrame, sent) -> None:
         def packed(batches):
             for flat, n in _gathered(batches):
-                at, _, _, gram, _ = next(_depths(flat, n, sent.value, None, 1))
-                code, k = np.unique(self.codes(gram[at]), return_counts=True)
+                _, _, gram, _ = next(_depths(flat, n, *sent.value, 1))
+                code, k = np.unique(self.codes(gram), return_counts=True)
                 part = (code >> self.local).astype(np.int64)
                 cut = np.concatenate(([0], np.nonzero(np.diff(part))[0] + 1, [len(part)])) if len(part) else [0]
                 rows = {"part": [], "gaps": [], "k": []}
@@ -172,62 +180,51 @@ class Often:
         return (self.bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def _longer(gram: np.ndarray, flat: np.ndarray) -> np.ndarray:
-    """Codes of the grams one token longer that end at each place."""
-    out = np.zeros(len(flat), np.uint64)
-    x = gram[:-1] * np.uint64(0xBF58476D1CE4E5B9) + flat[1:]
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0x94D049BB133111EB)
-    out[1:] = x ^ (x >> np.uint64(29))
-    return out
-
-
-def _back(values: np.ndarray) -> np.ndarray:
-    """The values one place before."""
-    return np.concatenate((np.zeros(1, values.dtype), values[:-1])) if len(values) else values
-
-
 def _places(n: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
-def _depths(flat: np.ndarray, n: np.ndarray, frequent: Bits, open_: Bits | None, most: int):
-    """For each depth: the places whose gram may be frequent, those whose context has not
-    been counted as a gram of the depth before, and the codes of all places' context, gram
-    (context and token) and gram without its first token. A gram can be frequent only if the
-    gram without its first token is, and its context; it counts only if its context's parent
-    is open."""
-    place, gram, before = _places(n), flat, None
-    alive, none = np.ones(len(flat), bool), np.empty(0, np.int64)
-    may = frequent.has(gram)  # of each place's gram
+def _depths(flat: np.ndarray, n: np.ndarray, tried: Bits, open_: Bits, most: int):
+    """For each depth the places whose gram (context and token) may count, with the codes of
+    context, gram and gram without its first token. tried: tokens and kept grams that are
+    frequent enough for contexts; open_: tokens and grams kept in a state that is lengthened."""
+    at = np.nonzero((_places(n) >= 1) & open_.has(flat))[0]
+    place, context, gram, power = _places(n)[at], np.zeros(len(at), np.uint64), flat[at], np.uint64(1)
     for d in range(1, most + 1):
-        fits, again = place >= d, none
-        if d > 1:
-            fits &= open_.has(_back(before))
-            may = frequent.has(gram) | ~alive
-            again = np.nonzero(fits & ~_back(alive) & _back(_back(had)))[0]
-        context, shorter, before, had = _back(gram), gram, gram, may
-        alive = alive & fits & frequent.has(gram) & _back(may)
-        gram = _longer(gram, flat)
-        yield np.nonzero(alive)[0], again, context, gram, shorter
+        shorter = gram
+        context = context + power * flat[at - d]
+        gram = flat[at] + _K * context
+        power *= _K
+        fits = tried.has(context)
+        at, place, context, gram, shorter = (x[fits] for x in (at, place, context, gram, shorter))
+        yield at, context, gram, shorter
+        fits = (place >= d + 1) & open_.has(gram)
+        at, place, context, gram = (x[fits] for x in (at, place, context, gram))
 
 
 def _grams(sent, depth: int):
-    """Pre-aggregated counts of the grams of a depth over training texts, and (whole) of
-    contexts that were not counted as grams."""
+    """Pre-aggregated counts of the grams of a depth over training texts."""
 
     def run(batches):
-        frequent, open_, often = sent.value
+        tried, open_, often = sent.value
+        held = [np.empty(0, np.uint64)] * 3 + [np.empty(0, np.int64)]
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in held], ["code", "context", "shorter", "k"])
+
         for flat, n in _gathered(batches):
-            *_, (at, again, context, gram, shorter) = _depths(flat, n, frequent, open_, depth)
+            *_, (at, context, gram, shorter) = _depths(flat, n, tried, open_, depth)
             if depth == 1:
-                at = at[often.has(gram[at])]
-            code, first, k = np.unique(gram[at], return_index=True, return_counts=True)
-            at = at[first]
-            whole, m = np.unique(context[again], return_counts=True)
-            none = np.zeros(len(whole), np.uint64)
-            columns = [np.concatenate(x).view(np.int64) for x in ((code, whole), (context[at], none), (shorter[at], none), (k, m))]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.arange(len(code) + len(whole)) >= len(code))], ["code", "context", "shorter", "k", "whole"])
+                fits = often.has(gram)
+                context, gram, shorter = context[fits], gram[fits], shorter[fits]
+            code = np.concatenate((held[0], gram))
+            code, first, own = np.unique(code, return_index=True, return_inverse=True)
+            k = np.bincount(own, np.concatenate((held[3], np.ones(len(gram), np.int64))), len(code)).astype(np.int64)
+            held = [code, np.concatenate((held[1], context))[first], np.concatenate((held[2], shorter))[first], k]
+            if len(code) > _HELD:
+                yield out()
+                held = [x[:0] for x in held]
+        yield out()
 
     return run
 
@@ -267,21 +264,34 @@ def _looked_up(flat: np.ndarray, n: np.ndarray, known: Bits, most: int):
     """(places, codes) of everything whose weight the score may hold: tokens, the states
     that a place's context passes, and the grams they may have kept."""
     yield None, flat
-    place, gram = _places(n), flat
-    ok = np.ones(len(flat), bool)
+    place = _places(n)
+    at = np.nonzero(place >= 1)[0]
+    place, context, power = place[at], np.zeros(len(at), np.uint64), np.uint64(1)
     for d in range(1, most + 1):
-        state = _back(gram) ^ _STATE
-        ok = ok & (place >= d)
-        at = np.nonzero(ok)[0]
-        at = at[known.has(state[at])]
+        context = context + power * flat[at - d]
+        power *= _K
+        fits = known.has(context ^ _STATE)
+        at, place, context = at[fits], place[fits], context[fits]
         if not len(at):
             break
-        ok = np.zeros(len(flat), bool)
-        ok[at] = True
-        gram = _longer(gram, flat)
-        yield at, state[at]
-        at = at[known.has(gram[at])]
-        yield at, gram[at]
+        yield at, context ^ _STATE
+        gram = flat[at] + _K * context
+        fits = known.has(gram)
+        yield at[fits], gram[fits]
+        fits = place >= d + 1
+        at, place, context = at[fits], place[fits], context[fits]
+
+
+def _chunks(packed: pa.BinaryArray):
+    """(rows from, to, codes, their numbers) of pieces of a batch of about _CHUNK tokens."""
+    flat, n = _flat(packed)
+    end = np.cumsum(n)
+    lo = 0
+    while lo < len(n):
+        start = end[lo] - n[lo]
+        hi = max(lo + 1, int(np.searchsorted(end, start + _CHUNK, "right")))
+        yield lo, hi, flat[start : end[hi - 1]], n[lo:hi]
+        lo = hi
 
 
 def _frequent(sent):
@@ -290,17 +300,18 @@ def _frequent(sent):
     def run(batches):
         known, most, head, base, gain = sent.value
         for b in batches:
-            flat, n = _flat(b.column(0))
-            row = np.repeat(np.arange(len(n)), n)
-            some, sums = np.zeros(len(n)), [np.zeros(len(n)), np.zeros(len(n))]
-            for at, code in _looked_up(flat, n, known, most):
-                found = head.find(code)
-                hit = found >= 0
-                own, found = (row if at is None else row[at])[hit], found[hit]
-                sums[at is not None] += np.bincount(own, (base if at is None else gain)[found], len(n))
-                if at is None:
-                    some += np.bincount(own, minlength=len(n))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(n.astype(np.int64)), pa.array(some.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])], ["row", "doc_id", "n_tokens", "known", "base", "gain"])
+            n_all, some, sums = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows), [np.zeros(b.num_rows), np.zeros(b.num_rows)]
+            for lo, hi, flat, n in _chunks(b.column(0)):
+                row = np.repeat(np.arange(hi - lo), n)
+                n_all[lo:hi] = n
+                for at, code in _looked_up(flat, n, known, most):
+                    found = head.find(code)
+                    hit = found >= 0
+                    own, found = (row if at is None else row[at])[hit], found[hit]
+                    sums[at is not None][lo:hi] += np.bincount(own, (base if at is None else gain)[found], hi - lo)
+                    if at is None:
+                        some[lo:hi] += np.bincount(own, minlength=hi - lo)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(n_all), pa.array(some.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])], ["row", "doc_id", "n_tokens", "known", "base", "gain"])
 
     return run
 
@@ -311,13 +322,12 @@ def _seldom(sent):
     def run(batches):
         known, most, head, _, _ = sent.value
         for b in batches:
-            flat, n = _flat(b.column(0))
-            row = np.repeat(b.column(1).to_numpy(), n)
-            for at, code in _looked_up(flat, n, known, most):
-                rest = np.nonzero((head.find(code) < 0) & (known.has(code) if at is None else True))[0]
-                own = row[rest] if at is None else row[at[rest]]
-                for lo in range(0, len(rest), 500_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(own[lo : lo + 500_000]), pa.array(code[rest[lo : lo + 500_000]].view(np.int64))], ["row", "code"])
+            ids = b.column(1).to_numpy()
+            for lo, hi, flat, n in _chunks(b.column(0)):
+                row = np.repeat(ids[lo:hi], n)
+                for at, code in _looked_up(flat, n, known, most):
+                    rest = np.nonzero((head.find(code) < 0) & (known.has(code) if at is None else True))[0]
+                    yield pa.RecordBatch.from_arrays([pa.array(row[rest] if at is None else row[at[rest]]), pa.array(code[rest].view(np.int64))], ["row", "code"])
 
     return run
 
@@ -365,32 +375,35 @@ def score(docs: DataFrame) -> DataFrame:
     none = F.lit(None).cast("double")
     weights = counts.select("code", F.col("c").alias("often"), F.log10(F.col("c") + 1).alias("base"), none.alias("gain"))
     above = counts.select("code", ((F.col("c") + 1) / F.lit(float(n + kinds + 1))).alias("p"))
-    totals = counts.select("code", F.col("c").alias("n"))
-    frequent, open_, depth = Bits(n // LEAST), Bits(n // LEAST), 0
-    frequent.add(counts.where(F.col("c") >= LEAST))
-    sent = sc.broadcast(frequent)
+    totals = counts.where(F.col("c") >= CONTEXT).select("code", F.col("c").alias("n"))
+    tried, open_, depth = Bits(n // LEAST), Bits(n // LEAST), 0
+    tried.add(totals)
+    open_.add(counts.where(F.col("c") >= LEAST))
+    # fewer and larger tasks pre-aggregate more
+    train = train.coalesce(max(sc.defaultParallelism, train.rdd.getNumPartitions() // 8))
+    sent = sc.broadcast((tried, open_))
     often = Often(n)
     often.fill(train, sent)
     sent.destroy()
     used = [coded, counts]
     while True:
-        sent = sc.broadcast((frequent, open_, often if depth == 0 else None))
-        grams = train.mapInArrow(_grams(sent, depth + 1), "code long, context long, shorter long, k long, whole boolean")
-        counted = settle(grams.groupBy("code", "context", "shorter", "whole").agg(F.sum("k").alias("k")).where(F.col("k") >= LEAST))
+        sent = sc.broadcast((tried, open_, often if depth == 0 else None))
+        grams = train.mapInArrow(_grams(sent, depth + 1), "code long, context long, shorter long, k long")
+        grams = settle(grams.groupBy("code", "context", "shorter").agg(F.sum("k").alias("k")).where(F.col("k") >= LEAST))
         sent.destroy()
-        grams, whole = counted.where("not whole").drop("whole"), counted.where("whole").select("code", F.col("k").alias("n"))
-        level = settle(_grown(grams, totals.union(whole), above))
-        used += [counted, level]
+        level = settle(_grown(grams, totals, above))
+        discard(grams)
+        used.append(level)
+        spark._jvm.System.gc()  # shuffle files of the depth go
         if level.isEmpty():
             break
         depth += 1
-        frequent.add(grams)
-        states = level.groupBy("context").agg(F.first("n").alias("n"), F.first("unseen").alias("unseen"), F.first("open").alias("open"))
-        open_.add(states.where("open").select(F.col("context").alias("code")))
+        totals, above = level.where(F.col("k") >= CONTEXT).select("code", F.col("k").alias("n")), level.where("open").select("code", "p")
+        tried.add(totals)
+        open_.add(above)
+        states = level.groupBy("context").agg(F.first("n").alias("n"), F.first("unseen").alias("unseen"))
         code = F.col("context").bitwiseXOR(F.lit(int(_STATE.view(np.int64))))
         weights = weights.union(level.select("code", "k", none, F.col("gain") - F.col("unseen"))).union(states.select(code, "n", none, "unseen"))
-        above, totals = level.where("open").select("code", "p"), grams.select("code", F.col("k").alias("n"))
-        spark._jvm.System.gc()  # shuffle files of the depth go
     weights = settle(weights)
     for t in used[1:]:
         discard(t)
