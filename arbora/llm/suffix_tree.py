@@ -194,7 +194,7 @@ def _depths(flat: np.ndarray, n: np.ndarray, tried: Bits, open_: Bits, most: int
         shorter = gram
         context = context + power * flat[at - d]
         gram = flat[at] + _K * context
-        power *= _K
+        power = np.uint64(int(power) * int(_K) % (1 << 64))
         fits = tried.has(context)
         at, place, context, gram, shorter = (x[fits] for x in (at, place, context, gram, shorter))
         yield at, context, gram, shorter
@@ -269,7 +269,7 @@ def _looked_up(flat: np.ndarray, n: np.ndarray, known: Bits, most: int):
     place, context, power = place[at], np.zeros(len(at), np.uint64), np.uint64(1)
     for d in range(1, most + 1):
         context = context + power * flat[at - d]
-        power *= _K
+        power = np.uint64(int(power) * int(_K) % (1 << 64))
         fits = known.has(context ^ _STATE)
         at, place, context = at[fits], place[fits], context[fits]
         if not len(at):
