@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder."""
+    """Cut lineage through the shared checkpoint folder; a folder of this machine is taken
+    only where all runs on it, as in tests."""
     sc = df.sparkSession.sparkContext
     base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if not sc.getCheckpointDir():
-        import tempfile
-
+        if not base and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="arbora-"))
     return df.checkpoint()
 

@@ -9,10 +9,38 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def medians(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
+    """(by, median) from the counts of distinct values and running sums over them: no buffer
+    holds a group's values."""
+    from .ordered import dealt, running
+
+    by = list(by)
+    per = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_k"))
+    ranked = running(dealt(per, by, ["_v"]), by, ["_v"], "_k", "_upto")
+    n = per.groupBy(*by).agg(F.sum("_k").alias("_n"))
+    a, b = ranked.alias("a"), F.broadcast(n).alias("b") if not by else n.alias("b")
+    on = F.lit(True)
+    for k in by:
+        on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    j = (a.join(b, on) if by else a.crossJoin(b)).select("a.*", "b._n")
+    before = F.col("_upto") - F.col("_k")
+    # the middle value, or the two in the middle
+    low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
+    at = lambda i: F.max(F.when((before <= i) & (i < F.col("_upto")), F.col("_v")))
+    return j.groupBy(*by).agg(((at(low) + at(high)) / 2.0).alias("median"))
+
+
 def robust(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     """n, mean, median, population deviation, least and greatest."""
+    by = list(by)
     v = F.col(value)
-    return df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_pop(v).alias("sigma"), F.min(v).alias("low"), F.max(v).alias("high"))
+    plain = df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sigma"), F.min(v).alias("low"), F.max(v).alias("high")).alias("a")
+    mid = medians(df, value, by).alias("b")
+    on = F.lit(True)
+    for k in by:
+        on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    out = plain.join(mid, on, "left")
+    return out.select(*[F.col(f"a.{k}") for k in by], "n", "mean", "median", "sigma", "low", "high")
 
 
 def regression(df: DataFrame, x: str, y: str, by: list[str] = ()) -> DataFrame:

@@ -45,10 +45,31 @@ def shingles(text: Column, k: int) -> Column:
     return F.coalesce(F.array_distinct(F.filter(run, lambda x: x.isNotNull())), F.array().cast("array<string>"))
 
 
+def run_hashes(text: Column, k: int) -> Column:
+    """Distinct 64-bit hashes of the runs of k words."""
+    w = words(text)
+
+    def of(w: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(w) - k)
+        runs = F.transform(at, lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]))
+        return F.when(F.size(w) >= k, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+
+    # a lambda's variable: the words are made once, not for every run
+    return F.element_at(F.transform(F.array(w), of), 1)
+
+
+#: Runs of a reference (of 8 bytes each) that are broadcast at most.
+BROADCAST_RUNS = 2_000_000
+
+
 def containment(docs: DataFrame, ident: str, text: str, reference: DataFrame, ref_text: str, k: int) -> DataFrame:
-    """(id, n, found, percent): how many of a text's shingles are in the reference."""
-    known = reference.select(F.explode(shingles(F.col(ref_text), k)).alias("s")).distinct().withColumn("hit", F.lit(1))
-    mine = docs.select(F.col(ident), F.explode(shingles(F.col(text), k)).alias("s"))
+    """(id, n, found, percent): how many of a text's runs of k words are in the reference.
+    Texts stay where they are: of each only counts are shuffled. A reference of more runs
+    than may be broadcast is joined by their hashes."""
+    known = reference.select(F.explode(run_hashes(F.col(ref_text), k)).alias("s")).distinct().withColumn("hit", F.lit(1))
+    if known.count() <= BROADCAST_RUNS:
+        known = F.broadcast(known)
+    mine = docs.select(F.col(ident), F.explode(run_hashes(F.col(text), k)).alias("s"))
     out = mine.join(known, "s", "left").groupBy(ident).agg(F.count("*").alias("n"), F.count("hit").alias("found"))
     return out.withColumn("percent", 100.0 * F.col("found") / F.col("n"))
 

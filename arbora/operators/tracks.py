@@ -8,23 +8,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ordered import dealt, neighbour, running
+
 
 def depth(hits: DataFrame, target: str, start: str, end: str, weight=None) -> DataFrame:
     """(target, x1, x2, y): stretches of equal depth of [start, end] intervals."""
     w = F.lit(1).cast("double") if weight is None else F.col(weight).cast("double")
     marks = hits.select(F.col(target).alias("target"), F.explode(F.array(F.struct(F.col(start).alias("x"), w.alias("d")), F.struct((F.col(end) + 1).alias("x"), (-w).alias("d")))).alias("m"))
     steps = marks.groupBy("target", F.col("m.x").alias("x")).agg(F.sum("m.d").alias("d"))
-    by = Window.partitionBy("target").orderBy("x")
-    runs = steps.select("target", F.col("x").alias("x1"), (F.lead("x").over(by) - 1).alias("x2"), F.sum("d").over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("y"))
-    return runs.where("x2 >= x1 and y > 0")
+    steps = running(dealt(steps, ["target"], ["x"]), ["target"], ["x"], "d", "y")
+    runs = neighbour(steps, ["target"], ["x"], {"x": "after"}, ahead=True)
+    return runs.select("target", F.col("x").alias("x1"), (F.col("after") - 1).alias("x2"), "y").where("x2 >= x1 and y > 0")
+
+
+def _islands(rows: DataFrame, by: list[str], gap: int) -> DataFrame:
+    """Rows with a number `island`: a new one where x is over `gap` beyond the row before."""
+    rows = neighbour(dealt(rows, by, ["x"]), by, ["x"], {"x": "before"}, ahead=False)
+    rows = rows.withColumn("new", F.coalesce((F.col("x") - F.col("before") > gap).cast("int"), F.lit(1)))
+    return running(rows, by, ["x"], "new", "island")
 
 
 def peaks(track: DataFrame, least: float, gap: int = 50, area: float = 1.5, width: int = 1) -> DataFrame:
     """Islands of y >= least, bridged over gaps of up to `gap`: target, start, end, high,
     mean, total, of a total of at least area * width * least."""
-    by = Window.partitionBy("target").orderBy("x")
-    hit = track.where(F.col("y") >= least).withColumn("new", (F.col("x") - F.lag("x").over(by) > gap).cast("int"))
-    island = hit.withColumn("island", F.sum(F.coalesce("new", F.lit(1))).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    island = _islands(track.where(F.col("y") >= least), ["target"], gap)
     out = island.groupBy("target", "island").agg(F.min("x").alias("start"), F.max("x").alias("end"), F.max("y").alias("high"), F.avg("y").alias("mean"), F.sum("y").alias("total"))
     return out.where(F.col("total") >= area * width * least).drop("island")
 
@@ -32,9 +39,7 @@ def peaks(track: DataFrame, least: float, gap: int = 50, area: float = 1.5, widt
 def plateaus(track: DataFrame, levels: list[float], gap: int = 1) -> DataFrame:
     """Islands at each of several levels: level, target, start, end, high."""
     rows = track.select("*", F.explode(F.array(*[F.lit(float(v)) for v in levels])).alias("level")).where("y >= level")
-    by = Window.partitionBy("level", "target").orderBy("x")
-    rows = rows.withColumn("new", F.coalesce((F.col("x") - F.lag("x").over(by) > gap).cast("int"), F.lit(1)))
-    rows = rows.withColumn("island", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = _islands(rows, ["level", "target"], gap)
     return rows.groupBy("level", "target", "island").agg(F.min("x").alias("start"), F.max("x").alias("end"), F.max("y").alias("high")).drop("island")
 
 
@@ -106,12 +111,13 @@ def remap(hits: DataFrame, segments: DataFrame, bin_width: int) -> DataFrame:
 
 def nearest_next(df: DataFrame, key: str, start: str, end: str, ident: str) -> DataFrame:
     """For each interval the next one of its key by start, and the gap to it."""
-    by = Window.partitionBy(key).orderBy(start, ident)
-    return df.select(ident, key, F.lead(ident).over(by).alias("next_id"), (F.lead(start).over(by) - F.col(end)).alias("gap"))
+    rows = dealt(df.select(key, start, end, ident), [key], [start, ident])
+    near = neighbour(rows, [key], [start, ident], {ident: "next_id", start: "next_start"}, ahead=True)
+    return near.select(ident, key, "next_id", (F.col("next_start") - F.col(end)).alias("gap"))
 
 
 def best_hits(df: DataFrame, read: str, score: str) -> DataFrame:
     """The best hits of each read, ties kept, with their number (`unicity`)."""
-    best = df.groupBy(read).agg(F.max(score).alias("_best"))
-    hit = df.join(best, read).where(F.col(score) == F.col("_best")).drop("_best")
-    return hit.withColumn("unicity", F.count("*").over(Window.partitionBy(read)))
+    own = Window.partitionBy(read)  # one shuffle: the two windows share it
+    hit = df.withColumn("_best", F.max(score).over(own)).where(F.col(score) == F.col("_best")).drop("_best")
+    return hit.withColumn("unicity", F.count("*").over(own))
