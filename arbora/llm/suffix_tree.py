@@ -33,6 +33,8 @@ one by one; very long texts are taken whole; extra columns are ignored.
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -48,8 +50,8 @@ END = np.uint64(xxhash.xxh64_intdigest(b" "))  # no word holds a space
 _BITS = 1 << 28  # of a bitmap, at most
 _STATE = np.uint64(0x9E3779B97F4A7C15)  # tells a state's code from that of the same tokens as a gram
 _K = np.uint64(0x9E3779B97F4A7C13)  # base of the polynomials; odd, so it can be divided by
-_FLUSH = 2_000_000  # tokens that a task pre-aggregates at once
-_HELD = 4_000_000  # grams that a task holds
+_FLUSH = 1_000_000  # tokens that a task pre-aggregates at once
+_HELD = 1_500_000  # grams that a task holds
 _CHUNK = 250_000  # tokens that are scored at once
 _PART = 1_000_000  # of which about so many meet in a task that counts truncated codes
 
@@ -362,6 +364,12 @@ def _head(weights: DataFrame) -> int:
     return 0
 
 
+def _tidy(spark) -> None:
+    """Let go of what no longer has a reader: its shuffle files go."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
@@ -385,16 +393,18 @@ def score(docs: DataFrame) -> DataFrame:
     often = Often(n)
     often.fill(train, sent)
     sent.destroy()
+    _tidy(spark)
     used = [coded, counts]
     while True:
         sent = sc.broadcast((tried, open_, often if depth == 0 else None))
         grams = train.mapInArrow(_grams(sent, depth + 1), "code long, context long, shorter long, k long")
         grams = settle(grams.groupBy("code", "context", "shorter").agg(F.sum("k").alias("k")).where(F.col("k") >= LEAST))
         sent.destroy()
+        _tidy(spark)
         level = settle(_grown(grams, totals, above))
         discard(grams)
         used.append(level)
-        spark._jvm.System.gc()  # shuffle files of the depth go
+        _tidy(spark)
         if level.isEmpty():
             break
         depth += 1
@@ -407,11 +417,13 @@ def score(docs: DataFrame) -> DataFrame:
     weights = settle(weights)
     for t in used[1:]:
         discard(t)
+    _tidy(spark)
     least = _head(weights)
     head = weights.where(F.col("often") >= least).orderBy("code").drop("often").toArrow()
     rest = weights.where(F.col("often") < least).drop("often")
     known = Bits(max(1, weights.count()))
     known.add(weights)
+    _tidy(spark)
     base, gain = (head[c].fill_null(0.0).to_numpy() for c in ("base", "gain"))
     sent = sc.broadcast((known, depth, Table(head["code"].to_numpy().view(np.uint64)), base, gain.astype(np.float32)))
     columns = coded.select("codes", "row", "doc_id")
