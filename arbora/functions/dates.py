@@ -59,6 +59,6 @@ def _stamp(col: Column, unit: str) -> Column:
 
 def datediff(unit: str, a: Column, b: Column) -> Column:
     """b - a in whole units, lower parts cut first; null if either lacks the precision."""
-    name = {"y": "YEAR", "m": "MONTH", "d": "DAY", "w": "WEEK", "h": "HOUR", "n": "MINUTE", "s": "SECOND"}[unit[0].lower() if unit.lower() not in ("minute", "minutes") else "n"]
+    name = {"y": "YEAR", "m": "MONTH", "d": "DAY", "w": "WEEK", "h": "HOUR", "n": "MINUTE", "s": "SECOND"}[unit[0].lower() if unit.lower() not in ("minute", "minutes", "min") else "n"]
     key = "d" if name == "WEEK" else {v: k for k, v in {"y": "YEAR", "m": "MONTH", "d": "DAY", "h": "HOUR", "n": "MINUTE", "s": "SECOND"}.items()}[name]
     return F.timestamp_diff(name, _stamp(a, key), _stamp(b, key))

@@ -37,7 +37,25 @@ def principal(df: DataFrame, column: str, k: int) -> tuple[np.ndarray, np.ndarra
     _, mean, cov = moments(df, column)
     values, vectors = np.linalg.eigh(cov)
     order = np.argsort(-values)[:k]
-    return mean, vectors[:, order].T, values[order]
+    rows = vectors[:, order].T
+    # the sign is fixed: the entry of the largest size is positive
+    rows = rows * np.sign(rows[np.arange(len(rows)), np.abs(rows).argmax(axis=1)])[:, None]
+    return mean, rows, values[order]
+
+
+def contract(a: np.ndarray, b: np.ndarray, axes: tuple[int, int]) -> np.ndarray:
+    """Product of two tensors summed over one axis of each."""
+    return np.tensordot(a, b, axes=([axes[0]], [axes[1]]))
+
+
+def determinant(a: np.ndarray) -> float:
+    return float(np.linalg.det(np.asarray(a, float)))
+
+
+def inverse(a: np.ndarray) -> np.ndarray | None:
+    """The inverse of a square matrix; None if it has none."""
+    a = np.asarray(a, float)
+    return None if np.linalg.matrix_rank(a) < len(a) else np.linalg.inv(a)
 
 
 def project(df: DataFrame, column: str, mean: np.ndarray, directions: np.ndarray, out: str = "projection") -> DataFrame:

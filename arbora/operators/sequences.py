@@ -32,9 +32,9 @@ def motif_counts(df: DataFrame, ident: str, sequence: str, motifs: dict[str, str
     return df.select(ident, *[F.regexp_count(F.lower(F.col(sequence)), F.lit(m)).alias(name) for name, m in motifs.items()])
 
 
-def position_profile(df: DataFrame, sequence: str, most: int = 1000) -> DataFrame:
+def position_profile(df: DataFrame, sequence: str) -> DataFrame:
     """(pos, base, n): bases at each place from the start of the sequences."""
-    rows = df.select(F.posexplode(F.split(F.lower(F.col(sequence)), "")).alias("pos", "base")).where((F.col("base") != "") & (F.col("pos") < most))
+    rows = df.select(F.posexplode(F.split(F.lower(F.col(sequence)), "")).alias("pos", "base")).where(F.col("base") != "")
     return rows.groupBy((F.col("pos") + 1).alias("pos"), "base").agg(F.count("*").alias("n"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -64,3 +64,18 @@ def pivot_records(df: DataFrame, row: str, column: str, value: str, columns: lis
 def percent_of_first(df: DataFrame, columns: list[str]) -> DataFrame:
     """Each column after the first as a per cent of the first, named `_P_column`."""
     return df.select("*", *[F.try_divide(100.0 * F.col(c), F.col(columns[0])).alias(f"_P_{c}") for c in columns[1:]])
+
+
+def usage_share(df: DataFrame, whole: str, part: str) -> DataFrame:
+    """(whole, part, n, usage): rows of each pair and their share of the whole, in per cent."""
+    g = df.groupBy(whole, part).agg(F.count("*").alias("n"))
+    total = g.groupBy(whole).agg(F.sum("n").alias("_t"))
+    return g.join(total, whole).select(whole, part, "n", (100.0 * F.col("n") / F.col("_t")).alias("usage"))
+
+
+def ratio_to_controls(df: DataFrame, key: str, value: str, control: Column) -> DataFrame:
+    """df with `ratio`: each value over the median of the control rows of its key."""
+    from .statistics import medians
+
+    mid = medians(df.where(control), value, [key]).withColumnRenamed("median", "_m")
+    return df.join(mid, key).withColumn("ratio", F.try_divide(F.col(value), F.col("_m"))).drop("_m")

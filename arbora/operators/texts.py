@@ -80,11 +80,12 @@ def exact_duplicates(df: DataFrame, ident: str, text: str) -> DataFrame:
     return g.where("copies > 1").select("least", "copies")
 
 
-def token_overlap(df: DataFrame, ident: str, text: str, most: int) -> DataFrame:
+def token_overlap(df: DataFrame, ident: str, text: str, most: int | None = None) -> DataFrame:
     """(a, b, shared): pairs of texts by the number of words they share, by an inverted
-    index of the words that occur in at most `most` texts."""
+    index of all words, or of those that occur in at most `most` texts."""
     w = df.select(F.col(ident).alias("id"), F.explode(F.array_distinct(words(F.col(text)))).alias("w"))
-    few = w.groupBy("w").agg(F.count("*").alias("df")).where((F.col("df") > 1) & (F.col("df") <= most)).select("w")
+    few = w.groupBy("w").agg(F.count("*").alias("df")).where(F.col("df") > 1)
+    few = few.select("w") if most is None else few.where(F.col("df") <= most).select("w")
     x = w.join(few, "w")
     return x.alias("x").join(x.alias("y"), "w").where("x.id < y.id").groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("shared"))
 

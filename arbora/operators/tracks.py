@@ -121,3 +121,31 @@ def best_hits(df: DataFrame, read: str, score: str) -> DataFrame:
     own = Window.partitionBy(read)  # one shuffle: the two windows share it
     hit = df.withColumn("_best", F.max(score).over(own)).where(F.col(score) == F.col("_best")).drop("_best")
     return hit.withColumn("unicity", F.count("*").over(own))
+
+
+def pair_tracks(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, y of the one track and z of the other, 0 where it has no point."""
+    j = a.join(b.withColumnRenamed("y", "z"), keys, "full")
+    return j.select(*keys, F.coalesce("y", F.lit(0.0)).alias("y"), F.coalesce("z", F.lit(0.0)).alias("z"))
+
+
+def coverage_of_regions(runs: DataFrame, regions: DataFrame, bin_width: int) -> DataFrame:
+    """For regions (id, target, lo, hi, both ends included) over runs of equal depth (target,
+    x1, x2, y): covered positions, sum, mean over the region and greatest depth."""
+    r = regions.select(F.col("id").alias("a"), "target", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / bin_width), F.floor(F.col("hi") / bin_width))).alias("bin"))
+    c = runs.select("target", "x1", "x2", "y", F.explode(F.sequence(F.floor(F.col("x1") / bin_width), F.floor(F.col("x2") / bin_width))).alias("bin"))
+    start, end = F.greatest("lo", "x1"), F.least("hi", "x2")
+    hit = r.join(c, ["target", "bin"]).where((end >= start) & (F.floor(start / bin_width) == F.col("bin")))
+    n = end - start + 1
+    per = hit.groupBy("a").agg(F.sum(n).alias("covered"), F.sum(n * F.col("y")).alias("total"), F.max("y").alias("high"))
+    out = regions.join(per, regions["id"] == per["a"], "left")
+    total = F.coalesce("total", F.lit(0.0))
+    return out.select("id", "target", F.coalesce("covered", F.lit(0)).alias("covered"), total.alias("total"), (total / (F.col("hi") - F.col("lo") + 1)).alias("mean"), F.coalesce("high", F.lit(0.0)).alias("high"))
+
+
+def compact_introns(df: DataFrame, keys: list[str], support: str) -> DataFrame:
+    """Equal introns (keys: chromosome, both ends, run) as one row, their support summed; the
+    strand follows from the order of the ends."""
+    out = df.groupBy(*keys).agg(F.sum(support).alias(support), F.count("*").alias("n"))
+    a1, a2 = (F.col(k) for k in keys[1:3])
+    return out.withColumn("strand", F.when(a1 <= a2, F.lit("+")).otherwise(F.lit("-")))

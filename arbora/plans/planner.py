@@ -27,6 +27,18 @@ from .model import Class, Model, Tag
 _ids = itertools.count(1)
 
 
+def _sure(cond: C) -> C:
+    """A comparison that is false where it is null; it remembers its bare form."""
+    out = F.coalesce(cond, F.lit(False))
+    out._bare = cond
+    return out
+
+
+def _bare(cond: C) -> C:
+    """A condition for a filter, which drops rows for null as for false."""
+    return cond.__dict__.get("_bare", cond)
+
+
 class QueryProblem(ValueError):
     """A query that cannot be planned."""
 
@@ -45,6 +57,7 @@ class Value:
     tag: Tag | None = None
     owner: "Value | None" = None
     present: C | None = None  # tells presence at less cost than the column
+    raw: C | None = None  # a literal in its own type, so that columns are not cast to compare
 
 
 @dataclass
@@ -52,6 +65,7 @@ class Context:
     df: DataFrame
     vars: dict[str, Value] = field(default_factory=dict)
     last: str | None = None
+    groups: dict = field(default_factory=dict)  # aggregates joined in, by what they are of
 
 
 def _col(name: str) -> C:
@@ -82,8 +96,8 @@ class Planner:
             if isinstance(step, Decl):
                 self.declare(ctx, step)
             else:
-                cond = self.condition(ctx, step.cond)
-                ctx.df = ctx.df.where(cond)
+                cond = self.condition(ctx, step.cond)  # may join to the frame
+                ctx.df = ctx.df.where(_bare(cond))
 
     def export(self, ctx: Context, e) -> Value:
         if isinstance(e, (Path, Right)):
@@ -134,7 +148,8 @@ class Planner:
         if on is None:
             ctx.df = ctx.df.crossJoin(df) if ctx.vars else df.withColumn("_one", F.lit(1))
         else:
-            ctx.df = ctx.df.join(df, on == _col(f"{prefix}.{fk or cls.key}"), how)
+            key = _col(f"{prefix}.{fk or cls.key}")
+            ctx.df = ctx.df.join(df, on(key) if callable(on) else on == key, how)
         return prefix
 
     def spread(self, ctx: Context, e) -> Value:
@@ -152,9 +167,13 @@ class Planner:
         if isinstance(e, Obj):
             cls = self.model.get(e.cls)
             key = self.value(ctx, e.name)
-            p = self.attach_class(ctx, cls, "inner", None if isinstance(e.name, (Str, Num)) else key.col)
             if isinstance(e.name, (Str, Num)):
-                ctx.df = ctx.df.where(self._same_name(_col(f"{p}.{cls.key}"), key.col, cls))
+                p = self.attach_class(ctx, cls, "inner")
+            else:  # names that the row gives: compared as names are
+                own = lambda k: self._same_name(k, key, cls)
+                p = self.attach_class(ctx, cls, "inner", own)
+            if isinstance(e.name, (Str, Num)):
+                ctx.df = ctx.df.where(self._same_name(_col(f"{p}.{cls.key}"), key, cls))
             return Value(_col(f"{p}.{cls.key}"), "object", cls.name, f"{p}.{cls.key}", p)
         if isinstance(e, (Path, Right)):
             return self._spread_path(ctx, e)
@@ -166,9 +185,10 @@ class Planner:
         return self.active
 
     @staticmethod
-    def _same_name(a: C, b: C, cls: Class) -> C:
+    def _same_name(a: C, name: Value, cls: Class) -> C:
+        b = name.col
         if cls.key_kind == "number":
-            return a == b.cast("double")
+            return a == (name.raw if name.raw is not None else b if name.kind == "number" else b.try_cast("double"))
         return a == b if cls.case_sensitive else F.lower(a.cast("string")) == F.lower(b.cast("string"))
 
     def _object(self, ctx: Context, v: Value) -> tuple[Class, str]:
@@ -288,7 +308,7 @@ class Planner:
             return e.value
         if isinstance(e, Num):
             whole = float(e.value).is_integer() and abs(e.value) < 2**53
-            return Value(F.lit(int(e.value)).cast("double") if whole else F.lit(e.value), "number")
+            return Value(F.lit(int(e.value)).cast("double") if whole else F.lit(e.value), "number", raw=F.lit(int(e.value)) if whole else None)
         if isinstance(e, Str):
             if e.bare and e.text in ctx.vars:
                 return ctx.vars[e.text]
@@ -368,6 +388,9 @@ class Planner:
             return Value(F.date_format(F.current_date(), "yyyy-MM-dd"), "date")
         if e.fn == "ABS":
             return Value(F.abs(self.number(ctx, e.args[0])), "number")
+        if e.fn.endswith("DIFF") and e.fn != "DATEDIFF":  # YEARDIFF to SECDIFF, of later and earlier date
+            a, b = (self.date(ctx, x) for x in e.args[:2])
+            return Value(dates.datediff(e.fn[:-4], b, a).cast("double"), "number")
         if e.fn == "DATEDIFF":
             unit = e.args[0]
             unit = unit.text if isinstance(unit, Str) else unit.name
@@ -434,9 +457,9 @@ class Planner:
         if not isinstance(sub, Select):
             name = f"_a{next(_ids)}"
             sub = Select(exports=[(name, Var(name))], steps=[Decl(name, e.of, True)])
-        return self._correlated(ctx, e.fn, sub)
+        return self._correlated(ctx, e.fn, sub, e.of)
 
-    def _correlated(self, ctx: Context, fn: str, sub: Select) -> Value:
+    def _correlated(self, ctx: Context, fn: str, sub: Select, of) -> Value:
         """Decorrelated: the subquery runs once over the distinct outer values it uses,
         grouped by them, and is joined in; count is 0 where it has no rows."""
         used = [n for n in ctx.vars if n in _names(sub)]
@@ -444,8 +467,18 @@ class Planner:
             df, vals = self.run(sub)
             out = f"n{next(_ids)}"
             v = _col(df.columns[0])
-            ctx.df = ctx.df.crossJoin(df.agg(_agg(fn, v).alias(out)))
-            return Value(_col(out), "number")
+            ctx.df = ctx.df.crossJoin(df.agg(_agg(fn, v, vals[0].kind).alias(out)))
+            return Value(_col(out), "number" if fn not in ("min", "max", "first", "last") else vals[0].kind)
+        # all aggregates of one path or subquery come from one group; unused ones are pruned
+        same = (repr(of), tuple(used))
+        if same not in ctx.groups:
+            ctx.groups[same] = self._group(ctx, sub, used)
+        out, v = ctx.groups[same]
+        col = _col(f"{out}.{fn}")
+        return Value(F.coalesce(col, F.lit(0)) if fn == "count" else col, "number" if fn not in ("min", "max", "first", "last") or v.kind == "number" else v.kind)
+
+    def _group(self, ctx: Context, sub: Select, used: list[str]) -> tuple[str, Value]:
+        """Join in the aggregates of a subquery, grouped by the outer values it uses."""
         keys = {n: f"k{next(_ids)}" for n in used}
         outer = ctx.df.select(*[ctx.vars[n].col.alias(k) for n, k in keys.items()]).distinct()
         inner = Context(outer, {n: replace(ctx.vars[n], col=_col(k), name=k, attached=None, line=None) for n, k in keys.items()})
@@ -456,22 +489,27 @@ class Planner:
         if v.kind == "object":
             rows = rows.distinct()
         out = f"n{next(_ids)}"
-        val = _col("_v") if v.kind in ("number",) else _col("_v").try_cast("double") if fn not in ("count", "min", "max", "first", "last") else _col("_v")
-        group = rows.groupBy(*keys.values()).agg(_agg(fn, val).alias(out))
+        number = _col("_v") if v.kind in ("number",) else _col("_v").try_cast("double")
+        turned = bool(sub.order) and sub.order[0][1]  # the table's own order, turned round
+        aggs = [_agg(fn, number if fn in ("sum", "avg", "average", "stddev") else _col("_v"), v.kind, turned).alias(f"{out}.{fn}") for fn in _AGGREGATES]
+        group = rows.groupBy(*keys.values()).agg(*aggs)
         cond = None
         for n, k in keys.items():
             one = ctx.vars[n].col.eqNullSafe(_col(k))
             cond = one if cond is None else cond & one
         ctx.df = ctx.df.join(group, cond, "left").drop(*keys.values())
-        col = _col(out)
-        return Value(F.coalesce(col, F.lit(0)) if fn == "count" else col, "number" if fn not in ("min", "max", "first", "last") or v.kind == "number" else v.kind)
+        return out, v
 
     # -- conditions -----------------------------------------------------------
     def condition(self, ctx: Context, e) -> C:
         """True or false, never null: an atom with a null is false."""
         if isinstance(e, Bin) and e.op in ("or", "xor", "and"):
             a, b = self.condition(ctx, e.a), self.condition(ctx, e.b)
-            return {"or": lambda: a | b, "and": lambda: a & b, "xor": lambda: a != b}[e.op]()
+            if e.op == "xor":
+                return a != b
+            out, bare = (a | b, _bare(a) | _bare(b)) if e.op == "or" else (a & b, _bare(a) & _bare(b))
+            out._bare = bare
+            return out
         if isinstance(e, Un) and e.op == "not":
             return ~self.condition(ctx, e.a)
         if isinstance(e, Isa):
@@ -545,31 +583,30 @@ class Planner:
 
     def test(self, op: str, a: Value, b: Value, written=None) -> C:
         """One comparison of two single values."""
-        false = F.lit(False)
         if "timestamp" in (a.kind, b.kind) and isinstance(written, DateLit) and a.kind == "timestamp":
-            return F.coalesce(_timestamp(op, a.col, written.text), false)
+            return _sure(_timestamp(op, a.col, written.text))
         if a.kind in ("date", "timestamp") or b.kind in ("date", "timestamp"):
             x, y = (dates.of_timestamp(v.col) if v.kind == "timestamp" else v.col.cast("string") for v in (a, b))
             if op in ("=~", "~", ">~", "<~"):
                 x, y = dates.loose(x, y)
                 op = {"=~": "==", "~": "==", ">~": ">=", "<~": "<="}[op]
-            return F.coalesce(_plain(op, x, y), false)
+            return _sure(_plain(op, x, y))
         if op == "=~":
-            return F.coalesce(a.col.cast("string").rlike("(?i)" + written.text) if isinstance(written, Str) else F.regexp(a.col.cast("string"), F.concat(F.lit("(?i)"), b.col.cast("string"))), false)
+            return _sure(a.col.cast("string").rlike("(?i)" + written.text) if isinstance(written, Str) else F.regexp(a.col.cast("string"), F.concat(F.lit("(?i)"), b.col.cast("string"))))
         if op in ("~", ">~", "<~"):
             if isinstance(written, Str):
-                return F.coalesce(like(a.col.cast("string"), written), false)
-            return F.coalesce(F.lower(a.col.cast("string")) == F.lower(b.col.cast("string")), false)
+                return _sure(like(a.col.cast("string"), written))
+            return _sure(F.lower(a.col.cast("string")) == F.lower(b.col.cast("string")))
         if a.kind == "number" or b.kind == "number":
-            x, y = (v.col if v.kind == "number" else v.col.try_cast("double") for v in (a, b))
-            return F.coalesce(_plain(op, x, y) & ~F.isnan(x.cast("double")) & ~F.isnan(y.cast("double")) if op == "!=" else _plain(op, x, y), false)
+            x, y = (v.raw if v.raw is not None else v.col if v.kind == "number" else v.col.try_cast("double") for v in (a, b))
+            return _sure(_plain(op, x, y) & ~F.isnan(x.cast("double")) & ~F.isnan(y.cast("double")) if op == "!=" else _plain(op, x, y))
         x, y = a.col.cast("string"), b.col.cast("string")
         cls = self.model.get(a.cls) if a.cls else None
         if op in ("==", "!="):
             if not (cls and cls.case_sensitive):
                 x, y = F.lower(x), F.lower(y)
-            return F.coalesce(_plain(op, x, y), false)
-        return F.coalesce(_plain(op, natural_key(x), natural_key(y)), false)
+            return _sure(_plain(op, x, y))
+        return _sure(_plain(op, natural_key(x), natural_key(y)))
 
 
 @dataclass(frozen=True)
@@ -606,8 +643,18 @@ def like(col: C, p: Str) -> C:
     return col.rlike("(?is)^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in p.text) + "$")
 
 
-def _agg(fn: str, col: C) -> C:
-    return {"count": F.count, "min": F.min, "max": F.max, "sum": F.sum, "avg": F.avg, "stddev": F.stddev_pop, "first": F.min, "last": F.max}[fn](col)
+_AGGREGATES = ("count", "min", "max", "sum", "avg", "stddev", "first", "last")
+
+
+def _agg(fn: str, col: C, kind: str = "number", turned: bool = False) -> C:
+    """An aggregate of a subquery's values. First and last go by the order of its rows:
+    natural for texts, by value for others, turned round by its order_by."""
+    if fn in ("first", "last"):
+        low = (fn == "first") != turned
+        if kind in ("text", "tag"):
+            return (F.min_by if low else F.max_by)(col, natural_key(col))
+        fn = "min" if low else "max"
+    return {"count": F.count, "min": F.min, "max": F.max, "sum": F.sum, "avg": F.avg, "stddev": F.stddev_pop}[fn](col)
 
 
 def _fold(fn: str, arr: C) -> C:

@@ -167,8 +167,9 @@ for _how, _sql in {"and": f"{_SA} intersect {_SB}", "or": f"{_SA} union {_SB}",
 
 @_op(_SB)
 def set_else(spark, sf):
-    a, b = _set(spark, sf, "c->c_acctbal > 99999"), _set(spark, sf, _B)
-    return b if a.isEmpty() else a
+    s = session(spark, sf)
+    legacy.query(s, "{find customer ; c_acctbal > 99999} SETELSE {find customer ; c_mktsegment = BUILDING}")
+    return s.active[1]
 
 
 def _two(spark, sf):
@@ -253,11 +254,9 @@ def grep(spark, sf):
     return s.grep("red widget", [("part", "p_name")])
 
 
-@_op("select doc_id id, 'documents' as kind from documents where regexp_matches(text, '(?is)worthless') union select conv_id, 'conversations' from conversations where regexp_matches(text, '(?is)worthless')")
+@_op("select 'documents' as class, doc_id::varchar as name from documents where regexp_matches(text, '(?is)worthless') union select 'benchmark', item_id::varchar from benchmark where regexp_matches(text, '(?is)worthless')")
 def longgrep(spark, sf):
-    a = _t(spark, sf, "documents").where(F.col("text").rlike("(?is)worthless")).select(F.col("doc_id").alias("id"), F.lit("documents").alias("kind"))
-    b = _t(spark, sf, "conversations").where(F.col("text").rlike("(?is)worthless")).select(F.col("conv_id").alias("id"), F.lit("conversations").alias("kind"))
-    return a.union(b).distinct()
+    return session(spark, sf).long_grep("worthless", [("documents", "text"), ("benchmark", "text")])
 
 
 _HIT = "(contains(lower(text), 'the')::int + contains(lower(text), 'erinan')::int + contains(lower(text), 'thondre')::int)"
@@ -332,7 +331,8 @@ def two_populations(spark, sf):
     return out.withColumn("mean_low", F.round("mean_low", 6)).withColumn("mean_high", F.round("mean_high", 6))
 
 
-@_op(None)
+@_op("""with j as (select o_custkey, count(*) filter (o_orderstatus = 'F') h, count(*) t from orders group by 1), b as (select unnest(range(0, 20))::int bin), w as (select o_custkey, bin, h * ln((bin + 0.5) / 20) + (t - h) * ln(1 - (bin + 0.5) / 20) l from j, b),
+    d as (select o_custkey, bin, exp(l - max(l) over (partition by o_custkey)) d from w), n as (select o_custkey, bin, d / sum(d) over (partition by o_custkey) p from d) select bin, round(sum(p), 6) weight from n group by 1""")
 def smoothed_ratio(spark, sf):
     j = _t(spark, sf, "orders").groupBy("o_custkey").agg(F.count(F.when(F.col("o_orderstatus") == "F", 1)).alias("hits"), F.count("*").alias("total"))
     return statistics.smoothed_ratio(j, "hits", "total").withColumn("weight", F.round("weight", 6))
@@ -402,7 +402,8 @@ def plateaus(spark, sf):
     return tracks.plateaus(_track(spark, sf), [1.0, 2.0])
 
 
-@_op(None)
+@_op(f"""with k as (select i::bigint k, exp(-i * i / 8.0::double) w from (select unnest(range(-11, 12)) i) where exp(-i * i / 8.0::double) > 1e-6 or abs(i) <= 10), s as (select sum(w) s from k)
+    select target, x + k x, round(sum(y * w / s), 9) y from {_TRACK}, k, s group by 1, 2""")
 def gauss_smooth(spark, sf):
     return tracks.smooth(_track(spark, sf), 2.0).withColumn("y", F.round("y", 9))
 
@@ -417,8 +418,8 @@ def lag_correlation(spark, sf):
 @_op(f"select coalesce(a.x, b.x) x, coalesce(a.y, 0) y, coalesce(b.y, 0) z from (select x, y from {_TRACK} where target = 'click') a full join (select x, y from {_TRACK} where target = 'view') b on a.x = b.x")
 def track_pairs(spark, sf):
     t = _track(spark, sf)
-    a, b = (t.where(F.col("target") == k).select("x", F.col("y").alias(n)) for k, n in (("click", "y"), ("view", "z")))
-    return a.join(b, "x", "full").select("x", F.coalesce("y", F.lit(0.0)).alias("y"), F.coalesce("z", F.lit(0.0)).alias("z"))
+    a, b = (t.where(F.col("target") == k).select("x", "y") for k in ("click", "view"))
+    return tracks.pair_tracks(a, b, ["x"])
 
 
 @_op(f"select a.key, a.id a_id, b.id b_id, least(a.hi, b.hi) - greatest(a.lo, b.lo) + 1 shared from {_SPANS} a join {_SPANS} b on a.key = b.key and a.lo <= b.hi and b.lo <= a.hi and least(a.hi, b.hi) - greatest(a.lo, b.lo) + 1 >= 6")
@@ -467,9 +468,9 @@ def exact_dedup(spark, sf):
     return texts.exact_duplicates(_t(spark, sf, "documents"), "doc_id", "text")
 
 
-@_op(f"with w as (select item_id id, unnest(list_distinct({_WORDS})) w from benchmark), f as (select w from w group by 1 having count(*) between 2 and 20) select x.id a, y.id b, count(*) shared from w x join f using (w) join w y on y.w = x.w and x.id < y.id group by 1, 2")
+@_op(f"with w as (select item_id id, unnest(list_distinct({_WORDS})) w from benchmark), f as (select w from w group by 1 having count(*) > 1) select x.id a, y.id b, count(*) shared from w x join f using (w) join w y on y.w = x.w and x.id < y.id group by 1, 2")
 def token_overlap(spark, sf):
-    return texts.token_overlap(_t(spark, sf, "benchmark"), "item_id", "text", 20)
+    return texts.token_overlap(_t(spark, sf, "benchmark"), "item_id", "text")
 
 
 @_op("""with n as (select n_nationkey id, lower(n_name) t from nation), g as (select id, g, count(*) n from (select id, unnest(list_transform(range(1, length(t) - 1), lambda i: substring(t, i, 3))) g from n) group by 1, 2), m as (select id, sqrt(sum(n * n)) m from g group by 1)
@@ -515,14 +516,13 @@ def json_field(spark, sf):
 @_op("""with u as (select user_id, date_trunc('day', ts)::date d, sum(value) v from events group by 1, 2), m as (select d, median(v) m from u where user_id % 10 = 0 group by 1) select user_id, u.d, round(v / m, 6) ratio from u join m on m.d = u.d""")
 def control_ratio(spark, sf):
     u = _t(spark, sf, "events").groupBy("user_id", F.to_date("ts").alias("d")).agg(F.sum("value").alias("v"))
-    m = u.where("user_id % 10 = 0").groupBy("d").agg(F.median("v").alias("m"))
-    return u.join(m, "d").select("user_id", "d", F.round(F.col("v") / F.col("m"), 6).alias("ratio"))
+    out = tables.ratio_to_controls(u, "d", "v", F.col("user_id") % 10 == 0)
+    return out.select("user_id", "d", F.round("ratio", 6).alias("ratio"))
 
 
 @_op("select l_partkey, l_suppkey, count(*) n, round(100.0 * count(*) / sum(count(*)) over (partition by l_partkey), 6) usage from lineitem group by 1, 2")
 def usage_share(spark, sf):
-    g = _t(spark, sf, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n"))
-    return g.withColumn("usage", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("l_partkey")), 6))
+    return tables.usage_share(_t(spark, sf, "lineitem"), "l_partkey", "l_suppkey").withColumn("usage", F.round("usage", 6))
 
 
 @_op("select label, round(avg(norm), 6) norm, count(*) n from (select label, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x))) norm from embeddings) group by 1")
@@ -572,7 +572,7 @@ def motif_counts(spark, sf):
     return count(_reads(spark, sf), "p_partkey", "s", {"ac": "ac", "gw": "g[at]"})
 
 
-@_op(f"select i::int pos, substring(s, i, 1) base, count(*) n from {_READS}, unnest(range(1, 30)) t(i) where i <= length(s) group by 1, 2")
+@_op(f"select i::int pos, substring(s, i, 1) base, count(*) n from {_READS}, unnest(range(1, length(s) + 1)) t(i) group by 1, 2")
 def position_profile(spark, sf):
     from .operators.sequences import position_profile as profile
 
@@ -648,3 +648,221 @@ def principal_directions(spark, sf):
 def reshape_track(spark, sf):
     t = _t(spark, sf, "events").groupBy(F.col("user_id").alias("target")).agg(F.count("*").cast("double").alias("y")).withColumn("x", F.col("target"))
     return tracks.reshape(t, 2.0, 7, 100.0).select("target", F.col("x").alias("x1"), "y")
+
+
+# -- tags of several columns ----------------------------------------------------------
+def _lines_session(spark, sf) -> Session:
+    """Orders with a tag Line of three columns (part, quantity, tax), one line each."""
+    from pyspark.sql.functions import collect_list, struct
+
+    from .plans.model import Class, Column, Tag
+
+    li, o = _t(spark, sf, "lineitem"), _t(spark, sf, "orders")
+    rows = li.groupBy(F.col("l_orderkey").alias("k")).agg(collect_list(struct(F.col("l_partkey").cast("double").alias("c1"), F.col("l_quantity").alias("c2"), F.col("l_tax").alias("c3"))).alias("rows"))
+    df = o.join(rows, F.col("o_orderkey") == F.col("k"), "left").select("o_orderkey", F.struct(F.col("rows").isNotNull().alias("present"), F.coalesce("rows", F.array().cast("array<struct<c1:double,c2:double,c3:double>>")).alias("rows")).alias("Line"))
+    c = Class("ord", lambda: df, "o_orderkey", "number")
+    c.add(Tag("Line", [Column("number")] * 3, "struct", "Line"))
+    return Session(spark, Model([c]))
+
+
+def _on_lines(key: str, text: str, sql: str) -> None:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return _lines_session(spark, sf).query(text).df
+
+    run.__name__ = key
+    QUERIES[key], ORACLE[key] = run, sql
+
+
+_OUTER = "from orders left join lineitem on l_orderkey = o_orderkey"
+_on_lines("tag_offset", "select o, q from o in ?ord, q in o->Line[2]", f"select distinct o_orderkey o, l_quantity q {_OUTER}")
+_on_lines("right_move", "select o, p, q, t from o in ?ord, p in o->Line, q in p[1], t in p[2]", f"select distinct o_orderkey o, l_partkey::double p, l_quantity q, l_tax t {_OUTER}")
+_on_lines("rerooted_product", "select o, q, t from o in ?ord, q in o->Line[2], t in o->Line[3] where t > 0.05", "select distinct a.l_orderkey o, a.l_quantity q, b.l_tax t from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey where b.l_tax > 0.05")
+_on_lines("tag_line_column", "select o, q from o in ?ord, p in o#Line, q in p[2]", f"select distinct o_orderkey o, l_quantity q {_OUTER}")
+_on_lines("struct_parallel_count", "select o, n from o in ?ord, n in count o->Line where n > 4", "select l_orderkey o, count(*) n from lineitem group by 1 having count(*) > 4")
+
+# -- more of the language -------------------------------------------------------------
+_ask("first_last", "select c, a, b from c in ?customer, a in first c->orders->o_orderpriority, b in last c->orders->o_totalprice", "select c_custkey c, min(o_orderpriority) a, max(o_totalprice) b from customer left join orders on o_custkey = c_custkey group by 1")
+_ask("unit_differences", "select o, y, m, w, d, h from o in ?orders, t in o->o_orderdate, y in YEARDIFF(`1999-01-01`, t), m in MONTHDIFF(`1999-01-01`, t), w in WEEKDIFF(`1999-01-01`, t), d in DAYDIFF(`1999-01-01`, t), h in HOURDIFF(`1999-01-01_00`, t)", """
+    select o_orderkey o, (1999 - year(o_orderdate))::double y, (12 * (1999 - year(o_orderdate)) + 1 - month(o_orderdate))::double m, trunc(date_diff('day', o_orderdate::date, date '1999-01-01') / 7.0)::bigint::double w,
+    date_diff('day', o_orderdate::date, date '1999-01-01')::double d, date_diff('hour', date_trunc('hour', o_orderdate), timestamp '1999-01-01')::double h from orders""")
+_ask("date_literal", "select x, y from x = `2016-1-7_3:7`, y = `2016-1`", "select '2016-01-07_03:07' x, '2016-01' y")
+_ask("integer_range", "select p, z from p in ?part, z in p->p_size where z > 45 and z <= 48", "select p_partkey p, p_size z from part where p_size > 45 and p_size <= 48")
+
+
+@_op("select n_nationkey n from nation where n_nationkey::varchar like '1%'")
+def name_shorthand(spark, sf):
+    df = session(spark, sf).query('select ?nation "1*"').df
+    return df.toDF("n")
+
+
+@_op("select p_partkey name from part where abs(p_retailprice - 1000) * 20 < abs(p_retailprice) and abs(p_retailprice - 1000) * 20 < 1000")
+def legacy_like_number(spark, sf):
+    s = session(spark, sf)
+    legacy.query(s, "find part ; p_retailprice LIKE 1000")
+    return s.active[1]
+
+
+@_op("select c_custkey name from customer where c_acctbal > 8000 and c_mktsegment = 'BUILDING'")
+def stack_and(spark, sf):
+    s = session(spark, sf)
+    s.command("select c in ?customer where c->c_acctbal > 8000")
+    s.command("spush")
+    s.command('select c in ?customer where c->c_mktsegment == "BUILDING"')
+    s.command("sand")
+    return s.active[1]
+
+
+@_op("select c_custkey name from customer where c_acctbal > 8000")
+def named_sets_and_undo(spark, sf):
+    s = session(spark, sf)
+    s.command("select c in ?customer where c->c_acctbal > 8000")
+    s.command("kstore rich")
+    s.command("select s in ?supplier")
+    s.command("kget rich")
+    s.command("select n in ?nation")
+    s.command("undo")
+    return s.active[1]
+
+
+@_op("select c_custkey name from customer where c_acctbal > 9000 or c_acctbal < -900")
+def expand_sets(spark, sf):
+    s = session(spark, sf)
+    for name, cond in (("rich", "> 9000"), ("poor", "< 0 - 900"), ("other", "> 0")):
+        s.command(f"select c in ?customer where c->c_acctbal {cond}")
+        s.command(f"kstore {name}")
+    s.set_active(None, spark.createDataFrame([("rich",), ("poor",), ("absent",)], "name string"))
+    s.command("expand")
+    return s.active[1]
+
+
+@_op("select s_suppkey name from supplier order by s_suppkey limit 6 offset 3")
+def subset_of_set(spark, sf):
+    s = session(spark, sf)
+    s.command("select s in ?supplier")
+    s.command("subset 4 6")
+    return s.active[1]
+
+
+@_op("select n_nationkey::varchar as name, 'n_name' tag, 0 line, [n_name] as values from nation where n_regionkey = 1")
+def show_one_tag(spark, sf):
+    s = session(spark, sf)
+    s.command("select n in ?nation where n->n_regionkey == 1")
+    return s.command("show n_name")
+
+
+@_op("select n_nationkey::varchar as name, count(*) lines from (select n_nationkey, unnest(['n_nationkey', 'n_name', 'n_regionkey', 'region']) tag from nation union all select c_nationkey, c_custkey::varchar from customer union all select s_nationkey, s_suppkey::varchar from supplier) group by 1")
+def show_objects(spark, sf):
+    s = session(spark, sf)
+    s.command("select n in ?nation")
+    return s.command("show").groupBy("name").agg(F.count("*").alias("lines"))
+
+
+@_op("select * from (select 'region' as class, count(*) n from region union all select 'nation', count(*) from nation union all select 'customer', count(*) from customer union all select 'lineitem', count(*) from lineitem)")
+def class_counts(spark, sf):
+    return session(spark, sf).class_counts().where(F.col("class").isin("region", "nation", "customer", "lineitem"))
+
+
+@_op("select 'doc_id' tag, count(doc_id) n from documents union all select 'text', count(text) from documents union all select 'lang', count(lang) from documents union all select 'source', count(source) from documents union all select 'n_chars', count(n_chars) from documents union all select 'labels', count(distinct doc_id) from labels")
+def tag_counts(spark, sf):
+    return session(spark, sf).tag_counts("documents")
+
+
+@_op("select n_nationkey n, case when n_regionkey = 2 then 'Edited' else n_name end m, case when n_regionkey = 2 then null else n_regionkey end r from nation")
+def edit_active_set(spark, sf):
+    s = Session(spark, relational(spark, sf, ["region", "nation"]))
+    s.query("select n in ?nation where n->n_regionkey == 2")
+    s.edit("n_name Edited\n-D n_regionkey")
+    return s.query("select n, m, r from n in ?nation, m in n->n_name, r in n->n_regionkey").df
+
+
+@_op("select l_shipmode m, q from (select distinct l_linestatus l_shipmode, l_quantity q from lineitem) order by m desc, q limit 20")
+def sort_spec(spark, sf):
+    return session(spark, sf).query("select m, q from l in ?lineitem, m in l->l_linestatus, q in l->l_quantity").sorted("-1+2").limit(20)
+
+
+@_op("select c_custkey c, o_totalprice p from customer left join orders on o_custkey = c_custkey and o_totalprice > 450000 order by p nulls first, c limit 25")
+def sort_null_smallest(spark, sf):
+    return session(spark, sf).query("select c, p from c in ?customer, p in max {select q from o in c->orders, q in o->o_totalprice where q > 450000}").sorted("+2+1").limit(25)
+
+
+# -- text and number helpers ----------------------------------------------------------
+@_op("select p_partkey, case when regexp_matches(p_name, '(?i)e.*t') then length(regexp_extract(p_name, '(?is)^(.*?)e.*?t', 1)) + 1 else 0 end w, case when regexp_matches(p_name, '(?i)[aeiou]{2}') then length(regexp_extract(p_name, '(?is)^(.*?)[aeiou]{2}', 1)) + 1 else 0 end r from part")
+def find_positions(spark, sf):
+    from .functions import strings
+
+    return _t(spark, sf, "part").select("p_partkey", strings.wildcard_at(F.col("p_name"), "*e*t*").cast("long").alias("w"), strings.regex_at(F.col("p_name"), "[aeiou]{2}").cast("long").alias("r"))
+
+
+@_op("select p_partkey, '\"' || p_name || '\\\"x\"' q, p_name || '\"x' u, upper(p_name) up, md5(p_name) digest from part")
+def quoting(spark, sf):
+    from .functions import strings
+
+    q = strings.quote(F.concat("p_name", F.lit('"x')))
+    return _t(spark, sf, "part").select("p_partkey", q.alias("q"), strings.unquote(q).alias("u"), F.upper("p_name").alias("up"), F.md5("p_name").alias("digest"))
+
+
+@_op("select o_orderkey, case when o_orderkey % 3 = 0 then o_orderkey end i, case when o_orderkey % 3 <> 2 then o_orderkey + case o_orderkey % 3 when 1 then 0.5 else 0 end end::double d from orders")
+def strict_numbers(spark, sf):
+    from .functions import strings
+
+    text = F.concat(F.col("o_orderkey").cast("string"), F.element_at(F.array(F.lit(""), F.lit(".5"), F.lit("x")), (F.col("o_orderkey") % 3 + 1).cast("int")))
+    return _t(spark, sf, "orders").select("o_orderkey", strings.strict_int(text).alias("i"), strings.strict_double(text).alias("d"))
+
+
+@_op("""select p_partkey, case p_size when 0 then 0 else round(p_size / pow(10, floor(log10(p_size)))) * pow(10, floor(log10(p_size))) end l, (select min(v) from (select unnest([1.0, 2, 5, 10, 20, 50, 100]) v) where v >= p_size)::double u,
+    case when p_size <= 16 then p_size else round(16 + 16 * (log2(p_size) - 4)) end::int b, round(case when p_size <= 16 then p_size::double else pow(2, (round(16 + 16 * (log2(p_size) - 4)) - 16) / 16.0 + 4) end, 6) back, round(lgamma(p_size + 1), 6) f from part""")
+def roundings(spark, sf):
+    from .functions import strings
+
+    z = F.col("p_size").cast("double")
+    b = strings.to_byte(z)
+    return _t(spark, sf, "part").select("p_partkey", strings.leading_digit(z).alias("l"), strings.round_up(z).alias("u"), b.alias("b"), F.round(strings.from_byte(b), 6).alias("back"), F.round(statistics.log_factorial(F.col("p_size")), 6).alias("f"))
+
+
+@_op("select p_partkey, p_size::bigint copies, (p_size + 10)::bigint aligned, (p_size + 12)::bigint spanned from part")
+def read_names_and_cigars(spark, sf):
+    from .sources.formats import cigar_sum, multiplicity
+
+    cigar = F.concat(F.col("p_size").cast("string"), F.lit("M3I2D10M4S"))
+    return _t(spark, sf, "part").select("p_partkey", multiplicity(F.concat(F.lit("read#"), F.col("p_size").cast("string"))).alias("copies"), cigar_sum(cigar, "M=X").alias("aligned"), cigar_sum(cigar, "MDN=X").alias("spanned"))
+
+
+# -- regions and introns --------------------------------------------------------------
+@_op(f"""with b as (select key, lo + i x from {_SPANS}, unnest(range(0, hi - lo + 1)) t(i)), d as (select key, x, count(*)::double y from b group by 1, 2), r as (select distinct key target, lo // 100 id, lo // 100 * 100 lo, lo // 100 * 100 + 99 hi from {_SPANS})
+    select r.target, r.id, count(d.x) covered, coalesce(sum(y), 0) total, round(coalesce(sum(y), 0) / 100, 6) mean, coalesce(max(y), 0) high from r left join d on d.key = r.target and d.x between r.lo and r.hi group by 1, 2""")
+def region_coverage(spark, sf):
+    s = _spans(spark, sf)
+    runs = tracks.depth(s, "key", "lo", "hi")
+    regions = s.select(F.col("key").alias("target"), F.expr("lo div 100").alias("k")).distinct().select(F.struct("target", "k").alias("id"), "target", (F.col("k") * 100).alias("lo"), (F.col("k") * 100 + 99).alias("hi"))
+    out = tracks.coverage_of_regions(runs, regions, 200)
+    return out.select("target", F.col("id.k").alias("id"), "covered", "total", F.round("mean", 6).alias("mean"), "high")
+
+
+@_op(f"select target, a1, a2, run, sum(support)::bigint support, count(*) n, case when a1 <= a2 then '+' else '-' end strand from (select key target, lo // 60 a1, (hi * 7) // 400 a2, id % 3 run, id % 5 support from {_SPANS}) group by 1, 2, 3, 4")
+def intron_support(spark, sf):
+    s = _spans(spark, sf).select(F.col("key").alias("target"), F.expr("lo div 60").alias("a1"), F.expr("(hi * 7) div 400").alias("a2"), (F.col("id") % 3).alias("run"), (F.col("id") % 5).alias("support"))
+    return tracks.compact_introns(s, ["target", "a1", "a2", "run"], "support")
+
+
+@_op(f"select target, x, round(log2((coalesce(a.y, 0) + 5) / (coalesce(b.y, 0) + 5)), 9) y from {_TRACK} a full join (select target, x + 1 x, y from {_TRACK}) b using (target, x)")
+def damped_log_ratio(spark, sf):
+    t = _track(spark, sf)
+    return tracks.log_ratio(t, t.withColumn("x", F.col("x") + 1)).withColumn("y", F.round("y", 9))
+
+
+@_op(f"select target, x // 5 * 5 x, avg(y * 2) y from {_TRACK} group by 1, 2")
+def resampled_track(spark, sf):
+    return tracks.reshape(_track(spark, sf), 2.0, step=5)
+
+
+@_op("select l_returnflag, round(regr_intercept(l_extendedprice, l_quantity), 2) intercept, round(atanh(corr(l_quantity, l_extendedprice)) * sqrt(count(*) - 3), 4) z from lineitem group by 1")
+def regression_fisher(spark, sf):
+    out = statistics.regression(_t(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", ["l_returnflag"])
+    return out.select("l_returnflag", F.round("intercept", 2).alias("intercept"), F.round("z", 4).alias("z"))
+
+
+@_op("select l_orderkey k, arg_max(l_returnflag, (n, l_returnflag)) flag, max(n) support, sum(n)::bigint reads, count(*) kinds from (select l_orderkey, l_returnflag, count(*) n from lineitem group by 1, 2) group by 1")
+def key_consensus(spark, sf):
+    from .operators.sequences import consensus
+
+    return consensus(_t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_returnflag").alias("flag")), ["k"], "flag")

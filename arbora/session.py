@@ -6,9 +6,10 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.natural import order_columns
 from .lang.parser import SyntaxProblem, parse
 from .plans.model import Model
 from .plans.planner import Planner, Value, sort_rows
@@ -54,6 +55,15 @@ class Result:
         if held:
             yield held
 
+    def sorted(self, spec: str) -> DataFrame:
+        """The rows in the order of a specification like -2+4+1 (columns from 1), texts
+        naturally, null smallest, then by all other columns."""
+        names = [v.name for v in self.values]
+        picked = [(names[int(k) - 1], sign == "-") for sign, k in re.findall(r"([+-]?)\s*(\d+)", spec)]
+        picked += [(n, False) for n in names if n not in [x for x, _ in picked]]
+        kinds = dict(self.df.dtypes)
+        return self.df.orderBy(*[order_columns(F.col(f"`{n}`"), kinds[n], desc, nulls_first=not desc) if not desc else order_columns(F.col(f"`{n}`"), kinds[n], True, nulls_first=True) for n, desc in picked])
+
     def write(self, path: str, style: str = "tsv") -> None:
         df = self.ordered()
         names = [(self.titles or {}).get(v.name, v.name) for v in self.values]
@@ -108,14 +118,10 @@ class Session:
 
     def names(self) -> list:
         """The active set in natural order."""
-        from .functions.natural import order_columns
-
         df = self.active[1]
         return [r[0] for r in df.orderBy(order_columns(F.col(df.columns[0]), dict(df.dtypes)[df.columns[0]])).toLocalIterator()]
 
     def subset(self, first: int, n: int) -> None:
-        from .functions.natural import order_columns
-
         cls, df = self.active
         self.set_active(cls, df.orderBy(order_columns(F.col("name"), dict(df.dtypes)["name"])).offset(first - 1).limit(n))
 
@@ -176,10 +182,132 @@ class Session:
             out = found if out is None else out.unionByName(found)
         return out
 
+    def long_grep(self, word: str, tables: list[tuple[str, str]]) -> DataFrame:
+        """(class, name) of the objects that own a text with the word: the texts of the given
+        (class, tag) pairs are read whole, and a hit is that of the row they stand in."""
+        like = "(?is)" + ".*".join(re.escape(w) for w in re.split(r"[*\s]+", word) if w)
+        out = None
+        for cls, tag in tables:
+            c = self.model.get(cls)
+            t = c.tag(tag)
+            col = F.col(f"`{t.source}`") if t.stored == "value" else F.array_join(F.transform(F.col(f"`{t.source}`")["rows"], lambda x: x["c1"]), "\n")
+            found = c.rows().where(col.rlike(like)).select(F.lit(c.name).alias("class"), F.col(f"`{c.key}`").cast("string").alias("name")).distinct()
+            out = found if out is None else out.unionByName(found)
+        return out
+
+    def _tag_lines(self, cls, tag, members: DataFrame | None) -> DataFrame:
+        """(name, tag, line, values) of the lines of one tag."""
+        name = F.col(f"`{cls.key}`")
+        if tag.stored == "inverse":
+            e = Planner(self.model, self.spark).edges(cls, tag).select(F.col("src").alias("name"), F.lit(None).cast("int").alias("line"), F.array(F.col("dst").cast("string")).alias("values"))
+        elif tag.stored == "value":
+            e = cls.rows().where(F.col(f"`{tag.source}`").isNotNull()).select(name.alias("name"), F.lit(0).alias("line"), F.array(F.col(f"`{tag.source}`").cast("string")).alias("values"))
+        else:
+            cell = F.col(f"`{tag.source}`")
+            rows = cls.rows().where(F.coalesce(cell["present"], F.lit(False))).select(name.alias("name"), F.posexplode_outer(cell["rows"]).alias("line", "l"))
+            e = rows.select("name", "line", F.array(*[F.col("l")[f"c{i + 1}"].cast("string") for i in range(len(tag.columns))]).alias("values") if tag.columns else F.array().cast("array<string>").alias("values"))
+        if members is not None:
+            e = e.join(members.select(F.col(members.columns[0]).alias("name")), "name", "left_semi")
+        return e.select(F.col("name").cast("string").alias("name"), F.lit(tag.name).alias("tag"), "line", "values")
+
+    def show(self, tag: str | None = None) -> DataFrame:
+        """(name, tag, line, values): the lines of the active objects, or of one tag of them."""
+        name, members = self.active
+        if name is None:
+            raise SyntaxProblem("only objects can be shown")
+        cls = self.model.get(name)
+        tags = [t for t in cls.tags.values() if tag is None or t.name.lower() == tag.lower()]
+        if not tags:
+            raise SyntaxProblem(f"class {cls.name} has no tag {tag}")
+        out = None
+        for t in tags:
+            e = self._tag_lines(cls, t, members)
+            out = e if out is None else out.unionByName(e)
+        return out
+
+    def class_counts(self) -> DataFrame:
+        """(class, n) of all stored classes."""
+        out = None
+        for c in self.model.classes.values():
+            if not c.parent and not c.parts:
+                e = c.rows().agg(F.count("*").alias("n")).select(F.lit(c.name).alias("class"), "n")
+                out = e if out is None else out.unionByName(e)
+        return out
+
+    def tag_counts(self, name: str) -> DataFrame:
+        """(tag, n): how many objects of a class have each tag. Stored tags are counted in one
+        pass over the class."""
+        cls = self.model.get(name)
+        stored = [t for t in cls.tags.values() if t.stored != "inverse"]
+        has = lambda t: F.col(f"`{t.source}`").isNotNull() if t.stored == "value" else F.coalesce(F.col(f"`{t.source}`")["present"], F.lit(False))
+        one = cls.rows().agg(*[F.count(F.when(has(t), 1)).alias(f"n{i}") for i, t in enumerate(stored)])
+        out = one.select(F.explode(F.array(*[F.struct(F.lit(t.name).alias("tag"), F.col(f"n{i}").alias("n")) for i, t in enumerate(stored)])).alias("x")).select("x.*")
+        for t in cls.tags.values():
+            if t.stored == "inverse":
+                e = Planner(self.model, self.spark).edges(cls, t)
+                out = out.unionByName(e.agg(F.count_distinct("src").alias("n")).select(F.lit(t.name).alias("tag"), "n"))
+        return out
+
+    def edit(self, text: str) -> None:
+        """Apply a piece of object text to every object of the active set: `Tag value…` sets
+        or adds a line, `-D Tag` deletes the tag, `-D Tag value…` one line of it."""
+        name, members = self.active
+        cls = self.model.base(self.model.get(name))
+        flag = F.lit(True).alias("_in")
+        base = cls.rows
+        changes: dict[str, Column] = {}
+        for raw in text.splitlines():
+            parts = [a or b for a, b in re.findall(r'"((?:[^"\\]|\\.)*)"|(\S+)', raw)]
+            if not parts:
+                continue
+            drop = parts[0].upper() == "-D"
+            head, *vals = parts[1:] if drop else parts
+            t = cls.tag(head)
+            if t is None or t.stored == "inverse":
+                raise SyntaxProblem(f"class {cls.name} stores no tag {head}")
+            kind = base().schema[t.source].dataType
+            old = changes.get(t.source, F.col(f"`{t.source}`"))
+            if t.stored == "value":
+                lit = F.lit(vals[0]).cast(kind) if vals else F.lit(None).cast(kind)
+                new = (F.when(old == lit, F.lit(None)).otherwise(old) if vals else F.lit(None).cast(kind)) if drop else lit
+            else:
+                shape = kind["rows"].dataType.elementType
+                line = F.struct(*[(F.lit(vals[i]) if i < len(vals) else F.lit(None)).cast(f.dataType).alias(f.name) for i, f in enumerate(shape.fields)])
+                rows = F.coalesce(old["rows"], F.array().cast(kind["rows"].dataType))
+                none = F.struct(F.lit(False).alias("present"), F.array().cast(kind["rows"].dataType).alias("rows"))
+                others = F.filter(rows, lambda x, line=line: ~x.eqNullSafe(line))
+                if drop:
+                    new = F.when(F.size(others) > 0, F.struct(F.lit(True).alias("present"), others.alias("rows"))).otherwise(none) if vals else none
+                else:
+                    kept = others if t.many else F.array().cast(kind["rows"].dataType)
+                    new = F.struct(F.lit(True).alias("present"), (F.when(F.exists(rows, lambda x, line=line: x.eqNullSafe(line)), rows).otherwise(F.concat(kept, F.array(line))) if t.many else F.array(line)).alias("rows") if vals else rows.alias("rows"))
+            changes[t.source] = new
+
+        def rows() -> DataFrame:
+            df = base()
+            mark = members.select(F.col(members.columns[0]).alias("_key"), flag)
+            j = df.join(mark, F.col(f"`{cls.key}`") == F.col("_key"), "left")
+            return j.select(*[F.when(F.col("_in"), changes[c]).otherwise(F.col(f"`{c}`")).cast(df.schema[c].dataType).alias(c) if c in changes else F.col(f"`{c}`") for c in df.columns])
+
+        for c in self.model.classes.values():
+            if self.model.base(c) is cls and not c.parts:
+                c.rows = rows
+
+    def expand(self) -> None:
+        """Stored sets whose names are in the active set, flattened to their members."""
+        names = {r[0] for r in self.active[1].select(F.col("name").cast("string")).where(F.col("name").cast("string").isin(list(self.named))).distinct().collect()}  # among the stored ones
+        picked = [self.named[n] for n in self.named if n in names]
+        if not picked:
+            return self.set_active(None, self.active[1].limit(0))
+        out = picked[0][1]
+        for _, df in picked[1:]:
+            out = out.union(df.toDF(*out.columns))
+        self.set_active(picked[0][0] if len({c for c, _ in picked}) == 1 else None, out.distinct())
+
     # -- command lines --------------------------------------------------------
     def command(self, line: str) -> Result | list | int | None:
-        """One command of the shell: a select, find, follow, list, count, undo, subset, the
-        set stack (spush spop swap sand sor sxor sminus), named sets (kstore kget kclear)."""
+        """One command of the shell: a select, find, follow, list, show, count, classes, tags,
+        edit, expand, undo, subset, the set stack (spush spop swap sand sor sxor sminus), named sets (kstore kget kclear)."""
         words = line.split("//")[0].strip()
         if not words:
             return None
@@ -206,6 +334,16 @@ class Session:
             return self.combine(low[1:])
         if low in ("kstore", "kget", "kclear"):
             return {"kstore": self.store, "kget": self.recall, "kclear": self.clear}[low](rest)
+        if low == "show":
+            return self.show(rest or None)
+        if low == "classes":
+            return self.class_counts()
+        if low == "tags":
+            return self.tag_counts(rest)
+        if low == "edit":
+            return self.edit(rest.replace(";", "\n"))
+        if low == "expand":
+            return self.expand()
         if low == "neighbours":
             return self.neighbours()
         if low == "subset":

@@ -30,10 +30,22 @@ def multiplicity(name: Column) -> Column:
     return F.when(n != "", n.cast("long")).otherwise(F.lit(1))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, block, n (line number in the file, from 0), value. Lines are counted within the
+    blocks that tasks read, and blocks within their file."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"), "value")
+    own = Window.partitionBy("file", "block").orderBy("i")
+    per = rows.groupBy("file", "block").agg(F.count("*").alias("m"))
+    start = per.withColumn("start", F.sum("m").over(Window.partitionBy("file").orderBy("block")) - F.col("m")).drop("m")
+    return rows.withColumn("k", F.row_number().over(own) - 1).join(start, ["file", "block"]).select("file", "block", (F.col("start") + F.col("k")).alias("n"), "value")
+
+
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """name, sequence, quality of records of four lines."""
-    rec = spark.read.option("lineSep", "\n@").text(path).select(F.split(F.regexp_replace("value", r"^@", ""), "\n").alias("l"))
-    return rec.where(F.size("l") >= 4).select(F.split_part(F.col("l")[0], F.lit(" "), F.lit(1)).alias("name"), F.col("l")[1].alias("sequence"), F.col("l")[3].alias("quality"))
+    """name, sequence, quality of records of four lines; a quality line may begin with @."""
+    lines = numbered_lines(spark, path).withColumn("record", F.floor(F.col("n") / 4))
+    part = lambda k: F.max(F.when(F.col("n") % 4 == k, F.col("value")))
+    rec = lines.groupBy("file", "record").agg(part(0).alias("head"), part(1).alias("sequence"), part(3).alias("quality")).where("head like '@%' and quality is not null")
+    return rec.select(F.split_part(F.substring("head", 2, 1 << 30), F.lit(" "), F.lit(1)).alias("name"), "sequence", "quality")
 
 
 def write_fasta(df: DataFrame, name: str = "name", sequence: str = "sequence", width: int = 60) -> DataFrame:
@@ -86,14 +98,21 @@ def write_sam(df: DataFrame) -> DataFrame:
 
 # -- coverage -------------------------------------------------------------------------
 def read_wiggle(spark: SparkSession, path: str) -> DataFrame:
-    """(target, x, y) of fixedStep, variableStep and bedGraph lines. Headers are carried
-    down within a file, which is read in order as one partition a file."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("i", "line")).where("line <> '' and line not like 'track%' and line not like '#%'")
-    head = F.col("line").rlike("^(fixed|variable)Step")
-    at = Window.partitionBy("file").orderBy("i")
-    df = lines.withColumn("head", F.last(F.when(head, F.col("line")), ignorenulls=True).over(at)).withColumn("k", F.sum(head.cast("int")).over(at)).withColumn("is_head", head)
-    n = Window.partitionBy("file", "k").orderBy("i")
-    df = df.withColumn("row", F.row_number().over(n) - 1 - F.when(F.col("head").isNotNull(), 1).otherwise(0)).where("not is_head")
+    """(target, x, y) of fixedStep, variableStep and bedGraph lines. Headers are carried down
+    within the blocks that tasks read, and from block to block of a file."""
+    lines = numbered_lines(spark, path).withColumnRenamed("value", "line").where("line <> '' and line not like 'track%' and line not like '#%'")
+    is_head = F.col("line").rlike("^(fixed|variable)Step")
+    own = Window.partitionBy("file", "block").orderBy("n")
+    # data lines so far, and the last header with the number of those before it
+    rows = lines.withColumn("is_head", is_head).withColumn("c", F.sum((~is_head).cast("long")).over(own))
+    mark = F.struct("line", "c")
+    rows = rows.withColumn("h", F.last(F.when(F.col("is_head"), mark), ignorenulls=True).over(own))
+    per = rows.groupBy("file", "block").agg(F.max("c").alias("m"), F.max_by("h", "n").alias("last"))
+    blocks = Window.partitionBy("file").orderBy("block")
+    per = per.withColumn("start", F.sum("m").over(blocks) - F.col("m")).withColumn("last", F.when(F.col("last").isNotNull(), F.struct(F.col("last.line").alias("line"), (F.col("last.c") + F.col("start")).alias("c"))))
+    per = per.select("file", "block", "start", F.last("last", ignorenulls=True).over(blocks.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    rows = rows.where("not is_head").join(per, ["file", "block"])
+    df = rows.select("line", F.coalesce("h.line", "carried.line").alias("head"), (F.col("c") + F.col("start") - 1 - F.coalesce(F.col("h.c") + F.col("start"), "carried.c", F.lit(0))).alias("row"))
     opt = lambda name, default: F.coalesce(F.regexp_extract("head", rf"{name}=(\S+)", 1).try_cast("long"), F.lit(default))
     f = F.split(F.trim("line"), r"\s+")
     chrom = F.regexp_extract("head", r"chrom=(\S+)", 1)
@@ -136,7 +155,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path).where("value <> '' and value not like '#%'").select(F.split("value", "\t").alias("f")).where(F.size("f") >= 4)
     letters = F.regexp_extract_all(F.col("f")[2], F.lit(r"(\d*[A-Za-z])"), F.lit(1))
     kinds = F.flatten(F.transform(letters, lambda x: F.array_repeat(F.right(x, F.lit(1)), F.greatest(F.lit(1), F.coalesce(F.regexp_extract(x, r"^(\d+)", 1).try_cast("int"), F.lit(1))))))
-    df = rows.select(F.col("f")[0].alias("sample"), F.col("f")[1].alias("tag"), kinds.alias("kinds"), F.posexplode(F.slice("f", 4, 24)).alias("k", "v"))
+    df = rows.select(F.col("f")[0].alias("sample"), F.col("f")[1].alias("tag"), kinds.alias("kinds"), F.posexplode(F.slice("f", F.lit(4), F.size("f"))).alias("k", "v"))
     kind = F.coalesce(F.get("kinds", F.col("k")), F.element_at("kinds", -1))
     number = F.when(F.lower(kind).isin("i", "f"), F.col("v").try_cast("double"))
     return df.select("sample", "tag", "k", number.alias("number"), F.when(~F.lower(kind).isin("i", "f"), F.col("v")).alias("text"))

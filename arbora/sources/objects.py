@@ -205,7 +205,7 @@ def load(spark: SparkSession, model_text: str, path: str, subclasses: dict[str,
     target = names.select(F.col("class").alias("ref"), F.col("id").alias("rid"), F.col("name").alias("rname"))
     rid = F.when(F.col("ref").isin([c.lower() for c in case_sensitive]), F.element_at("vals", 1)).otherwise(F.lower(F.element_at("vals", 1)))
     both = both.withColumn("first", F.when(F.size("vals") > 0, F.element_at("vals", 1))).withColumn("rid", F.when((F.size("vals") > 0) & F.col("ref").isNotNull(), rid)).join(target, ["ref", "rid"], "left")
-    both = both.withColumn("vals", F.when(F.col("rname").isNotNull(), F.concat(F.array("rname"), F.slice("vals", 2, 64))).otherwise(F.col("vals")))
+    both = both.withColumn("vals", F.when(F.col("rname").isNotNull(), F.concat(F.array("rname"), F.slice("vals", F.lit(2), F.size("vals")))).otherwise(F.col("vals")))
     lines = both.groupBy("class", "id", "ltag", "many", F.col("vals")).agg(F.min("at").alias("a0"), F.max("at").alias("a1"))
     per = lines.groupBy("class", "id", "ltag", "many").agg(F.sort_array(F.collect_list(F.when(F.size("vals") > 0, F.struct("a0", "a1", "vals")))).alias("l"))
     per = per.withColumn("l", F.transform(F.when(F.col("many"), F.col("l")).otherwise(F.array_sort("l", lambda x, y: F.when(x["a1"] < y["a1"], -1).when(x["a1"] > y["a1"], 1).otherwise(0))), lambda x: x["vals"]))

@@ -52,3 +52,25 @@ def test_names_and_tables(spark, tmp_path):
     assert sorted(tuple(r) for r in f.read_names(spark, str(tmp_path / "n")).collect()) == [("Person", "a b"), ("Person", "c")]
     (tmp_path / "t.tsv").write_text("1\tNULL\n2\tx\n")
     assert [tuple(r) for r in f.read_table(spark, str(tmp_path / "t.tsv"), "a int, b string").collect()] == [(1, None), (2, "x")]
+
+
+def test_fastq_quality_lines_may_begin_with_at(spark, tmp_path):
+    (tmp_path / "q.fq").write_text("@r1 x\nACGT\n+\n@III\n@r2\nTTG\n+r2\n@@@\n@r3\nA\n+\nI\n")
+    got = sorted(tuple(r) for r in f.read_fastq(spark, str(tmp_path / "q.fq")).collect())
+    assert got == [("r1", "ACGT", "@III"), ("r2", "TTG", "@@@"), ("r3", "A", "I")]
+
+
+def test_files_of_several_blocks(spark, tmp_path):
+    """Lines are counted over the blocks that tasks read."""
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        (tmp_path / "q.fq").write_text("".join(f"@r{i}\n{'ACGT' * 3}\n+\n@{'I' * 11}\n" for i in range(40)))
+        got = sorted(tuple(r) for r in f.read_fastq(spark, str(tmp_path / "q.fq")).collect())
+        assert got == sorted((f"r{i}", "ACGT" * 3, "@" + "I" * 11) for i in range(40))
+        text = "".join(f"fixedStep chrom=c{k} start={k} step=2\n" + "".join(f"{v}\n" for v in range(25)) + "# remark\n\n" for k in range(1, 6))
+        (tmp_path / "a.wig").write_text("track x\n" + text)
+        got = sorted(tuple(r) for r in f.read_wiggle(spark, str(tmp_path / "a.wig")).collect())
+        assert got == sorted((f"c{k}", k + 2 * v, float(v)) for k in range(1, 6) for v in range(25))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
