@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import lean
+
 #: Characters of an item for each edit allowed; characters of items in one block.
 PIECE, BLOCK = 14, 4_000_000
 
@@ -184,7 +186,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
                 cols = list(zip(*rows)) if rows else [(), (), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.column(0).type), pa.array(cols[1], id_type), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], ["doc_id", "item_id", "distance", "item_chars"])
 
-        out = out.union(narrow.mapInArrow(run, kind))
+        out = out.union(narrow.mapInArrow(lean(run), kind))
     return out
 
 
@@ -199,5 +201,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
             for b in batches:
                 yield b.filter(pa.array([not match.search(normal(t.as_py())) for t in b.column(at)], pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(lean(run), docs.schema)
     return out

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import Marks, components, discard, row_key, settle, small_batches, words
+from .common import Marks, components, discard, lean, row_key, settle, small_batches, words
 
 WIDTH, THRESHOLD = 5, 0.8
 #: Coordinates of the minwise signature; trees; leaders of a node of the first level; largest
@@ -183,7 +183,7 @@ def _full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(c, shingles) of the classes in `ids` (c, k1, k2: a row of the class), settled."""
     marks = Marks.of(ids)
     text = docs.select(*row_key(), F.col("text").cast("binary").alias("text"))
-    sets = text.mapInArrow(_sets(width, marks), "k1 long, k2 long, shingles array<long>")
+    sets = text.mapInArrow(lean(_sets(width, marks)), "k1 long, k2 long, shingles array<long>")
     return settle(sets.join(ids, ["k1", "k2"]).select("c", "shingles").dropDuplicates(["c"]))
 
 
@@ -306,7 +306,7 @@ def _likely(reps: DataFrame, rows: DataFrame, threshold: float, pairs: bool = Tr
     """The likely pairs of whole nodes, or (node, c) of all classes in such pairs."""
     full = rows.select("node", "c", "component", "most").join(reps.select("c", "sig", "n_shingles"), "c")
     dealt = _sliced(full, ["c", "component", "n_shingles", "sig"], F.lit(1.0 / SLICE))
-    return dealt.mapInArrow(_compare(threshold, pairs), "a long, b long" if pairs else "node long, c long").distinct()
+    return dealt.mapInArrow(lean(_compare(threshold, pairs)), "a long, b long" if pairs else "node long, c long").distinct()
 
 
 def _exhaust(docs: DataFrame, reps: DataFrame, rows: DataFrame, width: int, threshold: float) -> DataFrame:
@@ -319,7 +319,7 @@ def _exhaust(docs: DataFrame, reps: DataFrame, rows: DataFrame, width: int, thre
     full = rows.select("node", "c", "component", "most").join(held, ["node", "c"]).join(reps.select("c", "sig", "n_shingles"), "c").join(sets, "c")
     dealt = _sliced(full, ["c", "component", "n_shingles", "sig", "shingles"], F.col("n_shingles") * 8.0 / _BYTES + 1.0 / SLICE)
     with small_batches(docs.sparkSession, 8):
-        links = settle(dealt.mapInArrow(_verify(threshold), "a long, b long").distinct())
+        links = settle(dealt.mapInArrow(lean(_verify(threshold)), "a long, b long").distinct())
     for t in (held, ids, sets):
         discard(t)
     return links
@@ -392,7 +392,7 @@ def _labelled(docs: DataFrame, width: int, threshold: float) -> DataFrame:
     component_id of every row of docs."""
     id_type = docs.schema["doc_id"].dataType
     kind = T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("doc_id", id_type), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("sig", T.BinaryType())])
-    prof = settle(docs.select(*row_key(), "doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_profiles(width), kind))
+    prof = settle(docs.select(*row_key(), "doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(lean(_profiles(width)), kind))
     row = F.min(F.struct("k1", "k2"))
     reps = prof.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"), row.alias("row"))
     reps = settle(reps.select(F.monotonically_increasing_id().alias("c"), "digest", "rep", "sig", "n_shingles", "row.k1", "row.k2"))
@@ -438,8 +438,8 @@ def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float =
 
         return run
 
-    stay = keyed.mapInArrow(part(False, len(docs.columns)), docs.schema)
-    doubt = keyed.mapInArrow(part(True, len(keyed.columns)), keyed.schema)
+    stay = keyed.mapInArrow(lean(part(False, len(docs.columns))), docs.schema)
+    doubt = keyed.mapInArrow(lean(part(True, len(keyed.columns))), keyed.schema)
     doubt = doubt.join(odd.withColumnsRenamed({"k1": "__k1", "k2": "__k2"}), ["__k1", "__k2"], "left").where("__kept is null or __kept")
     let_in = doubt.where("__kept is null").select(*docs.columns)
     w = Window.partitionBy("__k1", "__k2").orderBy(F.xxhash64(*docs.columns))

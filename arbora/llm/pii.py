@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, settle
+from .common import discard, lean, settle
 
 DISCLOSURE, RATIO = 0.9, 10.83
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -237,7 +237,7 @@ def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame | None:
     """t of the terms that reveal an entity; None where there is none."""
     n = found.count()
     some = found.where(F.size("values") > 0)
-    held = docs.select("text").mapInArrow(_holders(_bits(some.select(F.explode("terms").alias("t")))), "t string, n long").groupBy("t").agg(F.sum("n").alias("n_t"))
+    held = docs.select("text").mapInArrow(lean(_holders(_bits(some.select(F.explode("terms").alias("t"))))), "t string, n long").groupBy("t").agg(F.sum("n").alias("n_t"))
     mention = some.select("key", F.explode("values").alias("e"))
     mark = lambda salt: F.sum(F.xxhash64("key", F.lit(salt)).cast("decimal(20,0)"))
     entity = mention.groupBy("e").agg(F.count("*").alias("n_e"), mark(0).alias("s0"), mark(1).alias("s1"))
@@ -251,7 +251,7 @@ def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame | None:
         return None
     held = settle(held.where(F.col("n_t") <= 2 ** max(levels)))
     sent = docs.sparkSession.sparkContext.broadcast({k: _bits(held.where(F.col("n_t") <= 2**k)) for k in levels})
-    pairs = tied.mapInArrow(_pairs(sent), "c long, t string, n_te long").groupBy("c", "t").agg(F.sum("n_te").alias("n_te"))
+    pairs = tied.mapInArrow(lean(_pairs(sent)), "c long, t string, n_te long").groupBy("c", "t").agg(F.sum("n_te").alias("n_te"))
     classes = entity.groupBy("c").agg(F.first("n_e").alias("n_e"))
     n = F.lit(float(n))
     te, t, e = F.col("n_te"), F.col("n_t"), F.col("n_e")
@@ -276,7 +276,7 @@ def _key() -> Column:
 def found_spans(docs: DataFrame) -> DataFrame:
     """Of every row key, doc_id, the counts, hash and spans of the base patterns (`base`), the
     values found and, where there are any, the terms beside them; settled."""
-    return settle(docs.select(_key().alias("key"), "doc_id", "text").mapInArrow(_find, _kind(docs.schema["doc_id"].dataType)))
+    return settle(docs.select(_key().alias("key"), "doc_id", "text").mapInArrow(lean(_find), _kind(docs.schema["doc_id"].dataType)))
 
 
 def _marked(docs: DataFrame) -> DataFrame:
@@ -286,7 +286,7 @@ def _marked(docs: DataFrame) -> DataFrame:
     out = found.drop("values", "terms")
     if terms is None:
         return out.withColumn("all", F.col("base"))
-    places = docs.select(_key().alias("key"), "text").mapInArrow(_places(_bits(terms)), "key long, t string, a int, b int")
+    places = docs.select(_key().alias("key"), "text").mapInArrow(lean(_places(_bits(terms))), "key long, t string, a int, b int")
     more = places.join(terms, "t").select("key", F.struct("a", F.lit(4).alias("k"), "b").alias("s")).groupBy("key").agg(F.collect_set("s").alias("more"))
     return out.join(more, "key", "left").withColumn("all", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<a:int,k:int,b:int>>"))))).drop("more")
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import settle
+from .common import lean, settle
 
 BITS, KEY = 64, 3
 RADIUS = 3
@@ -125,14 +125,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     keyed = docs.select(id_.alias("doc_id"), "text", id_.isNull().alias("z"), F.bitwise_not(id_).alias("d"), F.xxhash64("text").alias("h"))
     tasks = max(1, -(-docs.count() // _ROWS))
     sorted_ = keyed.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("doc_id", "text")
-    walked = settle(sorted_.mapInArrow(_walk, T.StructType([*_OUT.fields, T.StructField("edge", _EDGE)])))
+    walked = settle(sorted_.mapInArrow(lean(_walk), T.StructType([*_OUT.fields, T.StructField("edge", _EDGE)])))
     edges = walked.where("edge is not null").select("doc_id", "edge.*")
     first, last = edges.where("not last"), edges.where("last")
     # one narrow row a task: which task comes next, the first after the last
     tasks_ = first.select("task").withColumn("next", F.lead("task").over(Window.orderBy("task")))
     tasks_ = tasks_.crossJoin(F.broadcast(first.agg(F.min("task").alias("start")))).select("task", F.coalesce("next", "start").alias("next"))
     joined = last.join(tasks_, "task").join(first.select(F.col("task").alias("next"), F.col("text").alias("next_text"), F.col("mark").alias("next_mark")), "next")
-    ends = joined.select("doc_id", "text", "mark", "next_text", "next_mark").mapInArrow(_stitch, _OUT)
+    ends = joined.select("doc_id", "text", "mark", "next_text", "next_mark").mapInArrow(lean(_stitch), _OUT)
     return walked.where("edge is null").drop("edge").unionByName(ends)
 
 

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, remainder, settle
+from .common import discard, lean, remainder, settle
 
 CONTEXT, LEAST, DIVERGENCE, HEAD = 32, 4, 0.01, 1 << 20
 END = np.uint64(xxhash.xxh64_intdigest(b" "))  # no word holds a space
@@ -171,7 +171,7 @@ class Often:
             bits[(often >> np.uint64(self.bits - self.size)).astype(np.int64)] = True
             return pa.table({"part": table["part"][:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
-        got = train.mapInArrow(packed, "part long, gaps binary, k binary").groupBy("part").applyInArrow(marked, "part long, bits binary").toArrow()
+        got = train.mapInArrow(lean(packed), "part long, gaps binary, k binary").groupBy("part").applyInArrow(marked, "part long, bits binary").toArrow()
         self.bitmap = np.zeros(1 << (self.size - 3), np.uint8)
         wide = 1 << (self.size - self.parts - 3)
         for part, bits in zip(got["part"].to_pylist(), got["bits"]):
@@ -375,10 +375,10 @@ def score(docs: DataFrame) -> DataFrame:
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
     id_type = docs.schema["doc_id"].dataType
     kind = T.StructType([T.StructField("doc_id", id_type), T.StructField("held", T.BooleanType()), T.StructField("codes", T.BinaryType())])
-    coded = docs.select("doc_id", (remainder(F.col("doc_id"), 7) == 2).alias("held"), "text").mapInArrow(_code, kind)
+    coded = docs.select("doc_id", (remainder(F.col("doc_id"), 7) == 2).alias("held"), "text").mapInArrow(lean(_code), kind)
     coded = settle(coded.withColumn("row", F.monotonically_increasing_id()))
     train = coded.where("not held").select("codes")
-    counts = settle(train.mapInArrow(_count, "code long, c long").groupBy("code").agg(F.sum("c").alias("c")))
+    counts = settle(train.mapInArrow(lean(_count), "code long, c long").groupBy("code").agg(F.sum("c").alias("c")))
     n, kinds = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
     none = F.lit(None).cast("double")
     weights = counts.select("code", F.col("c").alias("often"), F.log10(F.col("c") + 1).alias("base"), none.alias("gain"))
@@ -397,7 +397,7 @@ def score(docs: DataFrame) -> DataFrame:
     used = [coded, counts]
     while True:
         sent = sc.broadcast((tried, open_, often if depth == 0 else None))
-        grams = train.mapInArrow(_grams(sent, depth + 1), "code long, context long, shorter long, k long")
+        grams = train.mapInArrow(lean(_grams(sent, depth + 1)), "code long, context long, shorter long, k long")
         grams = settle(grams.groupBy("code", "context", "shorter").agg(F.sum("k").alias("k")).where(F.col("k") >= LEAST))
         sent.destroy()
         _tidy(spark)
@@ -428,8 +428,8 @@ def score(docs: DataFrame) -> DataFrame:
     sent = sc.broadcast((known, depth, Table(head["code"].to_numpy().view(np.uint64)), base, gain.astype(np.float32)))
     columns = coded.select("codes", "row", "doc_id")
     kind = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", id_type)] + [T.StructField(c, t) for c, t in (("n_tokens", T.LongType()), ("known", T.LongType()), ("base", T.DoubleType()), ("gain", T.DoubleType()))])
-    first = columns.mapInArrow(_frequent(sent), kind)
-    more = columns.select("codes", "row").mapInArrow(_seldom(sent), "row long, code long").join(rest, "code")
+    first = columns.mapInArrow(lean(_frequent(sent)), kind)
+    more = columns.select("codes", "row").mapInArrow(lean(_seldom(sent)), "row long, code long").join(rest, "code")
     more = more.groupBy("row").agg(F.count("base").alias("_known"), F.sum("base").alias("_base"), F.sum("gain").alias("_gain"))
     out = first.join(more, "row", "left")
     zero = F.lit(0.0)

@@ -21,8 +21,6 @@ are scored whole; without training rows of both classes every score is the share
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 from zlib import crc32
 
 import numpy as np
@@ -31,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import remainder
+from .common import give_back, lean, remainder
 
 GRAMS, BUCKETS, WIDTH, TRAIN = (3, 4, 5, 6), 1 << 17, 8, 2000
 EPOCHS, RATE, DECAY, SCALE, LEAST = 80, 0.02, 1e-4, 100.0, 3
@@ -165,22 +163,15 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     pick = [lab.where(f"toxic = {c}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_c) for c, n_c in ((0, TRAIN - TRAIN // 4), (1, TRAIN // 4))]
     pick = F.broadcast(pick[0].union(pick[1]))  # at most TRAIN rows
     text = docs.select("doc_id", "text").join(pick, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))  # of repeated ids one text
-    rows = text.select(F.col("text").cast("binary").alias("text"), "toxic").mapInArrow(_features, "idx binary, val binary, toxic int").toArrow()
+    rows = text.select(F.col("text").cast("binary").alias("text"), "toxic").mapInArrow(lean(_features), "idx binary, val binary, toxic int").toArrow()
     if not rows.num_rows:
         return np.zeros(BUCKETS), float(np.log((prior + 1e-9) / (1 - prior + 1e-9)))
     out = fit(rows, prior)
     del rows
-    _give_back()
+    give_back()
     return out
 
 
-def _give_back() -> None:
-    """Return freed memory to the system, where its allocators can."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def _scores(column: pa.Array, weight: np.ndarray, bias: float) -> np.ndarray:
     out, block, size, done = np.full(len(column), bias), [], 0, 0
 
@@ -216,7 +207,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(b.column(1), packed.value, bias))], ["doc_id", "score"])
 
     kind = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("score", T.DoubleType())])
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, kind)
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(lean(run), kind)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -235,4 +226,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(_scores(b.column(at).cast(pa.binary()), packed.value, bias) < THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
