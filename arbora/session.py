@@ -275,12 +275,12 @@ class Session:
                 line = F.struct(*[(F.lit(vals[i]) if i < len(vals) else F.lit(None)).cast(f.dataType).alias(f.name) for i, f in enumerate(shape.fields)])
                 rows = F.coalesce(old["rows"], F.array().cast(kind["rows"].dataType))
                 none = F.struct(F.lit(False).alias("present"), F.array().cast(kind["rows"].dataType).alias("rows"))
-                others = F.filter(rows, lambda x, line=line: ~x.eqNullSafe(line))
+                others, held = _without(rows, line)
                 if drop:
                     new = F.when(F.size(others) > 0, F.struct(F.lit(True).alias("present"), others.alias("rows"))).otherwise(none) if vals else none
                 else:
                     kept = others if t.many else F.array().cast(kind["rows"].dataType)
-                    new = F.struct(F.lit(True).alias("present"), (F.when(F.exists(rows, lambda x, line=line: x.eqNullSafe(line)), rows).otherwise(F.concat(kept, F.array(line))) if t.many else F.array(line)).alias("rows") if vals else rows.alias("rows"))
+                    new = F.struct(F.lit(True).alias("present"), (F.when(held, rows).otherwise(F.concat(kept, F.array(line))) if t.many else F.array(line)).alias("rows") if vals else rows.alias("rows"))
             changes[t.source] = new
 
         def rows() -> DataFrame:
@@ -355,6 +355,11 @@ class Session:
         return self.query(words)
 
 
+def _without(rows: Column, line: Column) -> tuple[Column, Column]:
+    """The lines of a tag but for one, and whether it is among them."""
+    return F.filter(rows, lambda x: ~x.eqNullSafe(line)), F.exists(rows, lambda x: x.eqNullSafe(line))
+
+
 def set_operation(how: str, a: DataFrame, b: DataFrame) -> DataFrame:
     """and, or, xor, minus of two sets of names."""
     b = b.toDF(*a.columns)
