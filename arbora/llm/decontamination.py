@@ -11,7 +11,8 @@ Items are taken in blocks of bounded size, each of one pass over the documents,
 what is sent to the executors does not grow with the benchmark.
 
 Defined results: null or empty texts and items match nothing; a null doc_id or item_id is
-carried; repeated documents and items are each reported; extra columns are ignored by
+carried; repeated documents and items are each reported; very long texts are searched whole;
+an empty benchmark matches nothing; extra columns are ignored by
 `contaminated` and kept by `drop_contaminated`.
 """
 

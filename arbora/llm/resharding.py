@@ -10,7 +10,7 @@ group borders. Positions on a line and slots in a shard are prefix sums over blo
 rows, so that no task sees a whole shard.
 
 Defined results: the size of a null text is 1; equal rows are told apart by nothing and
-take neighbouring slots; a null doc_id sorts first; an empty table gives an empty result;
+take neighbouring slots; a null doc_id sorts first; very long texts count whole; an empty table gives an empty result;
 extra columns are ignored.
 """
 

@@ -19,8 +19,9 @@ All counts cover all training texts, and CONTEXT and LEAST are absolute numbers,
 grows with the input. It is a distributed table: tokens, contexts and grams go by 64-bit codes
 (polynomials in the tokens' hashes), a depth's grams are counted and joined to the grams one
 token shorter. A text's score is a sum of weights by code (of a token its base score, of a
-state its share for tokens it has not kept, of a kept token what it adds to that). The HEAD
-most frequent codes are broadcast; all others are joined by code. Bitmaps of at most _BITS
+state its share for tokens it has not kept, of a kept token what it adds to that). Codes of
+a share of P_HEAD of all tokens or more are broadcast, at most 1/P_HEAD of each kind and
+depth; all others are joined by code. Bitmaps of at most _BITS
 bits keep codes that cannot match from the shuffles: grams too rare at depth one (counted by
 truncated codes, packed by task), grams of rare ones, codes without a weight. What they let in
 wrongly, exact counts and joins drop; in a corpus so large that the bitmaps fill up, more is
@@ -45,9 +46,9 @@ from pyspark.sql import types as T
 
 from .common import discard, lean, remainder, settle
 
-CONTEXT, LEAST, DIVERGENCE, HEAD = 32, 4, 0.01, 1 << 20
+CONTEXT, LEAST, DIVERGENCE, P_HEAD = 32, 4, 0.01, 1e-6
 END = np.uint64(xxhash.xxh64_intdigest(b" "))  # no word holds a space
-_BITS = 1 << 28  # of a bitmap, at most
+_BITS = 1 << 27  # of a bitmap, at most
 _STATE = np.uint64(0x9E3779B97F4A7C15)  # tells a state's code from that of the same tokens as a gram
 _K = np.uint64(0x9E3779B97F4A7C13)  # base of the polynomials; odd, so it can be divided by
 _FLUSH = 1_000_000  # tokens that a task pre-aggregates at once
@@ -340,8 +341,8 @@ def _grown(grams: DataFrame, totals: DataFrame, above: DataFrame) -> DataFrame:
     grams: code, context, shorter, k; totals: occurrences (n) of each context (code); above:
     P(token | parent) (p) of each gram without its first token (code)."""
     own = grams.groupBy("context").agg(F.sum("k").alias("held"), F.count("*").alias("kinds"), F.max("k").alias("top"))
-    own = own.join(totals.select(F.col("code").alias("context"), "n"), "context").withColumn("t", (F.col("n") - F.col("held") + F.col("kinds")).cast("double"))
-    pairs = grams.join(above.select(F.col("code").alias("shorter"), F.col("p").alias("q")), "shorter").join(own, "context")
+    own = own.hint("shuffle_hash").join(totals.select(F.col("code").alias("context"), "n"), "context").withColumn("t", (F.col("n") - F.col("held") + F.col("kinds")).cast("double"))
+    pairs = grams.hint("shuffle_hash").join(above.select(F.col("code").alias("shorter"), F.col("p").alias("q")), "shorter").join(own.hint("shuffle_hash"), "context")
     pairs = pairs.withColumn("p", (F.col("k") + F.col("t") * F.col("q")) / (F.col("held") + F.col("t")))
     # Kullback-Leibler divergence from the parent: over the kept tokens, and over all others,
     # which have the parent's distribution times one factor
@@ -349,19 +350,7 @@ def _grown(grams: DataFrame, totals: DataFrame, above: DataFrame) -> DataFrame:
     apart = F.sum(F.col("p") * F.log(F.col("p") / F.col("q"))) + F.when((rest > 0) & (before > 0), rest * F.log(rest / before)).otherwise(0.0)
     states = pairs.groupBy("context").agg(apart.alias("apart")).where(F.col("apart") >= DIVERGENCE).select("context")
     unseen = F.log10(F.col("t") / (F.col("held") + F.col("t")))
-    return pairs.join(states, "context").select("code", "context", "k", "n", "p", F.log10(F.col("p") / F.col("q")).alias("gain"), unseen.alias("unseen"), (F.col("n") - F.col("top") >= LEAST).alias("open"))
-
-
-def _head(weights: DataFrame) -> int:
-    """The least count of the broadcast codes: those above it are at most HEAD."""
-    size = F.floor(F.log2("often") * 16).cast("int")
-    total, least = 0, 0
-    for r in weights.groupBy(size.alias("b")).agg(F.count("*").alias("n"), F.min("often").alias("low")).orderBy(F.desc("b")).collect():  # at most 16 rows a power of two
-        total += r["n"]
-        if total > HEAD:
-            return least
-        least = r["low"]
-    return 0
+    return pairs.join(states.hint("shuffle_hash"), "context").select("code", "context", "k", "n", "p", F.log10(F.col("p") / F.col("q")).alias("gain"), unseen.alias("unseen"), (F.col("n") - F.col("top") >= LEAST).alias("open"))
 
 
 def _tidy(spark) -> None:
@@ -418,7 +407,7 @@ def score(docs: DataFrame) -> DataFrame:
     for t in used[1:]:
         discard(t)
     _tidy(spark)
-    least = _head(weights)
+    least = P_HEAD * n
     head = weights.where(F.col("often") >= least).orderBy("code").drop("often").toArrow()
     rest = weights.where(F.col("often") < least).drop("often")
     known = Bits(max(1, weights.count()))
@@ -429,7 +418,7 @@ def score(docs: DataFrame) -> DataFrame:
     columns = coded.select("codes", "row", "doc_id")
     kind = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", id_type)] + [T.StructField(c, t) for c, t in (("n_tokens", T.LongType()), ("known", T.LongType()), ("base", T.DoubleType()), ("gain", T.DoubleType()))])
     first = columns.mapInArrow(lean(_frequent(sent)), kind)
-    more = columns.select("codes", "row").mapInArrow(lean(_seldom(sent)), "row long, code long").join(rest, "code")
+    more = columns.select("codes", "row").mapInArrow(lean(_seldom(sent)), "row long, code long").join(rest.hint("shuffle_hash"), "code")
     more = more.groupBy("row").agg(F.count("base").alias("_known"), F.sum("base").alias("_base"), F.sum("gain").alias("_gain"))
     out = first.join(more, "row", "left")
     zero = F.lit(0.0)

@@ -8,7 +8,7 @@ a url's own rule stands, and a component that holds an allowed url blocks no ali
 Urls that nothing decides are allowed.
 
 Defined results: a null url, or one without `://`, has empty host and path and is allowed;
-null html has no edges; repeated rows are judged one by one; an empty table gives an empty
+null html has no edges; very long urls and pages are read whole; repeated rows are judged one by one; an empty table gives an empty
 result; extra columns are ignored.
 """
 

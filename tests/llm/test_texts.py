@@ -304,8 +304,8 @@ def test_suffix_tree_against_brute_force(spark, monkeypatch):
     want = {i: sum(math.log10(prob(x, t[:k])) for k, x in enumerate(t)) for i, t in text.items()}
     monkeypatch.setattr(suffix_tree, "_FLUSH", 3000)
     monkeypatch.setattr(suffix_tree, "_CHUNK", 500)
-    for head in (suffix_tree.HEAD, 200, 0):  # all broadcast, the frequent, none
-        monkeypatch.setattr(suffix_tree, "HEAD", head)
+    for share in (suffix_tree.P_HEAD, 0.001, 2.0):  # all broadcast, the frequent, none
+        monkeypatch.setattr(suffix_tree, "P_HEAD", share)
         for r in suffix_tree.score(frame(spark, data)).collect():
             assert abs(r["score"] - want[r["doc_id"]]) < 1e-5, r
     monkeypatch.setattr(suffix_tree, "_BITS", 1 << 12)  # bitmaps that fill up
@@ -346,3 +346,26 @@ def test_toxicity_learns_and_generalises(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if not r["predicted"]}
     assert toxicity.toxicity(frame(spark, []), lab).count() == 0
     assert {r["predicted"] for r in toxicity.toxicity(frame(spark, data[:5]), lab.limit(0)).collect()} == {0}
+
+
+def test_very_long_texts(spark):
+    """Texts of a megabyte, whole: nothing is cut at any length."""
+    rng = random.Random(21)
+    base = " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(50)) for _ in range(100_000))
+    item = "a benchmark passage that stands at the very end of a long text and nowhere else"
+    data = [(1, base + " " + item, "en", "s", 0), (2, base + " z@y.org 10.1.2.3", "en", "s", 0), (3, "short", "en", "s", 0)]
+    docs = frame(spark, data)
+    bench = spark.createDataFrame([(9, item)], "item_id long, text string")
+    assert [r["doc_id"] for r in dec.contaminated(docs, bench).collect()] == [1]
+    got = {r["doc_id"]: r for r in pii.personal_data(docs).collect()}
+    assert got[2]["n_email"] == got[2]["n_ip"] == 1 and f"email:{len(base) + 1}:" in got[2]["spans"]
+    marks = {r["doc_id"]: r for r in simhash.fingerprints(docs).collect()}
+    assert marks[1]["n_chars"] == len(data[0][1]) and marks[1]["fingerprint"] == f"{simhash.fingerprint(data[0][1]):016x}"
+    tokens = {r["doc_id"]: r["n_tokens"] for r in suffix_tree.score(docs).collect()}
+    assert tokens == {i: len(t.split()) + 1 for i, t, *_ in data}
+    lab = spark.createDataFrame([(i, 1, i % 2) for i in range(1, 4)], "doc_id long, quality int, toxic int")
+    assert toxicity.toxicity(docs, lab).count() == 3
+    from arbora.llm import mixing, resharding
+
+    assert {r["doc_id"]: r["size"] for r in mixing.mix(docs).collect()} == {i: len(t.split()) for i, t, *_ in data}
+    assert {r["doc_id"]: r["size"] for r in resharding.reshard(docs).collect()} == {i: len(t) + 1 for i, t, *_ in data}
