@@ -212,9 +212,11 @@ def closure_down(spark, sf):
     return graph.closure(_tree(spark, sf), spark.createDataFrame([(3,)], "start long"))
 
 
-@_op("with recursive e as (select c_custkey % 60 src, (c_custkey % 60 * 7) % 60 dst from customer), r(start, node) as (select 5::bigint, dst from e where src = 5 union select r.start, e.dst from r join e on e.src = r.node) select distinct start, node from r where node <> start")
+@_op("with recursive e as (select c_nationkey::bigint src, 1000 + c_custkey dst from customer union all select 1000 + c_custkey, c_nationkey from customer), r(start, node) as (select 5::bigint, dst from e where src = 5 union select r.start, e.dst from r join e on e.src = r.node) select distinct start, node from r where node <> start")
 def closure_cycle(spark, sf):
-    e = _t(spark, sf, "customer").select(F.expr("c_custkey % 60").alias("src"), F.expr("(c_custkey % 60 * 7) % 60").alias("dst"))
+    """From a nation to its customers and back: the cycle ends and the start is left out."""
+    c = _t(spark, sf, "customer").select(F.col("c_nationkey").cast("long").alias("n"), (F.col("c_custkey") + 1000).alias("c"))
+    e = c.selectExpr("n as src", "c as dst").union(c.selectExpr("c as src", "n as dst"))
     return graph.closure(e, spark.createDataFrame([(5,)], "start long"))
 
 
@@ -227,16 +229,10 @@ def rollup_parent(spark, sf):
     return graph.roll_up(edges, amounts, "n_name", "c_acctbal").select("node", F.round("total", 2).alias("total"))
 
 
-@_op("""with recursive e as (select distinct l_orderkey % 500 a, 500 + l_partkey % 700 b from lineitem where l_quantity > 49.5 and l_orderkey % 3 = 0), s as (select a, b from e union select b, a from e),
+@_op("""with recursive e as (select distinct l_orderkey a, -l_partkey b from lineitem where l_quantity > 49.5), s as (select a, b from e union all select b, a from e),
     r(x, y) as (select a, b from s union select r.x, s.b from r join s on s.a = r.y) select x node, least(x, min(y)) component from r group by x""")
 def connected_components(spark, sf):
-    e = _t(spark, sf, "lineitem").where("l_quantity > 49.5 and l_orderkey % 3 = 0").selectExpr("l_orderkey % 500 as src", "500 + l_partkey % 700 as dst").distinct()
-    return graph.connected_components(e)
-
-
-@_op(None)
-def connected_components_whole(spark, sf):
-    """Components of all orders and parts (negative) of the large lines, no key folded."""
+    """Components of all orders and parts (negative) of the large lines."""
     e = _t(spark, sf, "lineitem").where("l_quantity > 49.5").selectExpr("l_orderkey as src", "-l_partkey as dst").distinct()
     return graph.connected_components(e)
 
@@ -579,22 +575,12 @@ def position_profile(spark, sf):
     return profile(_reads(spark, sf), "s")
 
 
-@_op(f"""with w as (select p_partkey id, i::int pos, substring(s, i, 8) seed from {_READS}, unnest(range(1, 30)) t(i) where i + 7 <= length(s) and p_partkey < 60), f as (select seed from w group by 1 having count(*) <= 81)
+@_op(f"""with w as (select p_partkey id, i::int pos, substring(s, i, 8) seed from {_READS}, unnest(range(1, length(s) - 6)) t(i)), f as (select seed from w group by 1 having count(*) <= 81)
     select a.id, b.id target_id, b.pos - a.pos diagonal, count(*) seeds from w a join f using (seed) join w b on b.seed = a.seed group by 1, 2, 3""")
 def seed_join(spark, sf):
     from .operators.sequences import seed_join as join
     from .operators.sequences import seeds
 
-    w = seeds(_reads(spark, sf).where("p_partkey < 60"), "p_partkey", "s", 8)
-    return join(w, w)
-
-
-@_op(None)
-def seed_join_whole(spark, sf):
-    """The same over all reads."""
-    from .operators.sequences import seed_join as join
-    from .operators.sequences import seeds
-
     w = seeds(_reads(spark, sf), "p_partkey", "s", 8)
     return join(w, w)
 
