@@ -21,7 +21,7 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def closure(edges: DataFrame, starts: DataFrame, seeded: bool = False, every: int = 4) -> DataFrame:
+def closure(edges: DataFrame, starts: DataFrame, seeded: bool = False, every: int = 4, hops: int = 3) -> DataFrame:
     """(start, node): all nodes reached from each start by one or more edges, or (seeded)
     also the start. Rounds expand only the frontier and end when nothing is new, so that
     cycles end too; a start that is reached again is not its own result."""
@@ -29,8 +29,11 @@ def closure(edges: DataFrame, starts: DataFrame, seeded: bool = False, every: in
     seen = _cut(starts.select(F.col(starts.columns[0]).alias("start")).distinct().withColumn("node", F.col("start")))
     frontier, k = seen, 0
     while True:
-        fresh = frontier.join(edges, frontier["node"] == edges["src"]).select("start", F.col("dst").alias("node")).distinct()
-        fresh = _cut(fresh.join(seen, ["start", "node"], "left_anti"))
+        step, fresh = frontier, None
+        for _ in range(hops):  # some edges further in one round: fewer rounds, each cut once
+            step = step.join(edges, step["node"] == edges["src"]).select("start", F.col("dst").alias("node")).distinct()
+            fresh = step if fresh is None else fresh.union(step)
+        fresh = _cut(fresh.distinct().join(seen, ["start", "node"], "left_anti"))
         if fresh.isEmpty():
             break
         seen, frontier, k = seen.union(fresh), fresh, k + 1
