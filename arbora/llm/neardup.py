@@ -187,12 +187,16 @@ def _full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return settle(sets.join(ids, ["k1", "k2"]).select("c", "shingles").dropDuplicates(["c"]))
 
 
-def _confirm(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, threshold: float) -> DataFrame | None:
+def _confirm(docs: DataFrame, reps: DataFrame, pairs: DataFrame | None, likely: DataFrame | None, width: int, threshold: float) -> DataFrame | None:
     """The candidate pairs of at least the threshold, decided on full sets; None if there
-    are no candidates."""
-    sig = reps.select("c", "sig", "n_shingles")
-    p = pairs.distinct().join(sig.toDF("a", "sa", "na"), "a").join(sig.toDF("b", "sb", "nb"), "b")
-    p = settle(p.where((F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & (_agreement(F.col("sa"), F.col("sb")) >= _least(threshold))).select("a", "b"))
+    are no candidates. Those of `likely` have passed the comparison of sizes and signatures."""
+    p = likely
+    if pairs is not None:
+        sig = reps.select("c", "sig", "n_shingles")
+        j = pairs.distinct().join(sig.toDF("a", "sa", "na"), "a").join(sig.toDF("b", "sb", "nb"), "b")
+        j = j.where((F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & (_agreement(F.col("sa"), F.col("sb")) >= _least(threshold))).select("a", "b")
+        p = j if likely is None else j.union(likely).distinct()
+    p = settle(p)
     if p.isEmpty():
         discard(p)
         return None
@@ -341,7 +345,7 @@ def _links(docs: DataFrame, reps: DataFrame, width: int, threshold: float) -> Da
     roots = reps.select(tree, "c", "sig", steps.alias("steps")).select(F.xxhash64("tree", F.floor(F.col("steps") + F.col("tree") * 0.6180339887 % 1)).alias("node"), "c", "sig")
     sig = reps.select("c", "sig")
     rest = _open(_children(roots, threshold), None, 0, LEADERS)
-    links = _confirm(docs, reps, _to_leaders(rest, LEADERS), width, threshold)
+    links = _confirm(docs, reps, _to_leaders(rest, LEADERS), None, width, threshold)
     comp = _labels(links) if links is not None else None
 
     def again(rows: DataFrame, salt: int) -> DataFrame:
@@ -360,16 +364,15 @@ def _links(docs: DataFrame, reps: DataFrame, width: int, threshold: float) -> Da
         rest = again(_children(large.select("node", "c").join(sig, "c"), threshold), level)
         held.append(rest)
     small = _union([t.where(F.col("n") <= LIMIT) for t in held])
-    if not small.isEmpty():
-        found.append(_likely(reps, small, threshold))
+    likely = None if small.isEmpty() else _likely(reps, small, threshold)
     large = rest.where(F.col("n") > LIMIT)
 
     def add(new: DataFrame | None) -> None:
         nonlocal links
         links = new if links is None else links if new is None else links.union(new)
 
-    if found:
-        new = _confirm(docs, reps, _union(found), width, threshold)
+    if found or likely is not None:
+        new = _confirm(docs, reps, _union(found) if found else None, likely, width, threshold)
         add(new)
         if not large.isEmpty():
             if new is not None:
