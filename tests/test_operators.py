@@ -125,7 +125,7 @@ def test_components_of_whole_keys(spark, tmp_path):
             seen |= new
             todo += new
         want[x] = min(seen)
-    assert {tuple(r) for r in QUERIES["connected_components_whole"](spark, str(tmp_path)).collect()} == set(want.items())
+    assert {tuple(r) for r in QUERIES["connected_components"](spark, str(tmp_path)).collect()} == set(want.items())
 
 
 def test_seeds_of_all_reads(spark, tmp_path):
@@ -139,5 +139,5 @@ def test_seeds_of_all_reads(spark, tmp_path):
     often = Counter(seed for _, _, seed in w)
     assert max(often.values()) > 81
     want = Counter((i, j, q - p) for i, p, s in w for j, q, t in w if s == t and often[s] <= 81)
-    got = {tuple(r)[:3]: r["seeds"] for r in QUERIES["seed_join_whole"](spark, str(tmp_path)).collect()}
+    got = {tuple(r)[:3]: r["seeds"] for r in QUERIES["seed_join"](spark, str(tmp_path)).collect()}
     assert got == want and max(i for i, _, _ in got) >= 60
