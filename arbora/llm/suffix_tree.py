@@ -19,9 +19,8 @@ All counts cover all training texts, and CONTEXT and LEAST are absolute numbers,
 grows with the input. It is a distributed table: tokens, contexts and grams go by 64-bit codes
 (polynomials in the tokens' hashes), a depth's grams are counted and joined to the grams one
 token shorter. A text's score is a sum of weights by code (of a token its base score, of a
-state its share for tokens it has not kept, of a kept token what it adds to that). Codes of
-a share of P_HEAD of all tokens or more are broadcast, at most 1/P_HEAD of each kind and
-depth; all others are joined by code. Bitmaps of at most _BITS
+state its share for tokens it has not kept, of a kept token what it adds to that). The HEAD
+most frequent codes are broadcast; all others are joined by code. Bitmaps of at most _BITS
 bits keep codes that cannot match from the shuffles: grams too rare at depth one (counted by
 truncated codes, packed by task), grams of rare ones, codes without a weight. What they let in
 wrongly, exact counts and joins drop; in a corpus so large that the bitmaps fill up, more is
@@ -46,7 +45,7 @@ from pyspark.sql import types as T
 
 from .common import discard, lean, remainder, settle
 
-CONTEXT, LEAST, DIVERGENCE, P_HEAD = 32, 4, 0.01, 1e-6
+CONTEXT, LEAST, DIVERGENCE, HEAD = 32, 4, 0.01, 1_500_000
 END = np.uint64(xxhash.xxh64_intdigest(b" "))  # no word holds a space
 _BITS = 1 << 27  # of a bitmap, at most
 _STATE = np.uint64(0x9E3779B97F4A7C15)  # tells a state's code from that of the same tokens as a gram
@@ -353,6 +352,18 @@ def _grown(grams: DataFrame, totals: DataFrame, above: DataFrame) -> DataFrame:
     return pairs.join(states.hint("shuffle_hash"), "context").select("code", "context", "k", "n", "p", F.log10(F.col("p") / F.col("q")).alias("gain"), unseen.alias("unseen"), (F.col("n") - F.col("top") >= LEAST).alias("open"))
 
 
+def _head(weights: DataFrame) -> int:
+    """The least count of the broadcast codes: those above it are at most HEAD."""
+    size = F.floor(F.log2("often") * 16).cast("int")
+    total, least = 0, 0
+    for r in weights.groupBy(size.alias("b")).agg(F.count("*").alias("n"), F.min("often").alias("low"), F.max("often").alias("high")).orderBy(F.desc("b")).collect():  # at most 16 rows a power of two
+        total += r["n"]
+        if total > HEAD:
+            return least or r["high"] + 1
+        least = r["low"]
+    return 0
+
+
 def _tidy(spark) -> None:
     """Let go of what no longer has a reader: its shuffle files go."""
     gc.collect()
@@ -407,7 +418,7 @@ def score(docs: DataFrame) -> DataFrame:
     for t in used[1:]:
         discard(t)
     _tidy(spark)
-    least = P_HEAD * n
+    least = _head(weights)
     head = weights.where(F.col("often") >= least).orderBy("code").drop("often").toArrow()
     rest = weights.where(F.col("often") < least).drop("often")
     known = Bits(max(1, weights.count()))
