@@ -143,7 +143,7 @@ def _children(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def _open(rows: DataFrame, comp: DataFrame | None, salt: int, leaders: int = 1) -> DataFrame:
-    """The rows of nodes that are not done, with the node's `leaders`, classes picked by hash, and given components (comp) with the class's `component`, the node's largest one
+    """The rows of nodes that are not done, with the node's `leaders`, classes picked by hash (of its largest component), and given components (comp) with the class's `component`, the node's largest one
     (`most`), its size `n` and `n_odd`, the classes outside the largest component. A node is
     done with a single class or component. All is pre-aggregated by map tasks."""
     lead = lambda *cols: [F.min(F.struct(F.xxhash64("node", "c", F.lit(LEADERS * salt + i)).alias("h"), *cols)).alias(f"l{i}") for i in range(leaders)]
@@ -153,8 +153,9 @@ def _open(rows: DataFrame, comp: DataFrame | None, salt: int, leaders: int = 1)
         return settle(rows.join(size.select("node", F.array(*all_).alias("leaders")), "node"))
     rows = rows.join(comp, "c", "left").withColumn("component", F.coalesce("component", "c"))
     part = rows.groupBy("node", "component").agg(F.count("*").alias("k"), *lead("c", "component"))
-    whole = part.groupBy("node").agg(F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("n"), *[F.min(x).alias(x) for x in all_])
-    whole = whole.select("node", "n", (F.col("n") - F.col("top.k")).alias("n_odd"), F.col("top.component").alias("most"), F.array(*all_).alias("leaders")).where("n_odd > 0")
+    # leaders are of the largest component: only classes outside it are compared with them
+    whole = part.groupBy("node").agg(F.max(F.struct("k", "component", *all_)).alias("top"), F.sum("k").alias("n"))
+    whole = whole.select("node", "n", (F.col("n") - F.col("top.k")).alias("n_odd"), F.col("top.component").alias("most"), F.array(*[F.col(f"top.{x}") for x in all_]).alias("leaders")).where("n_odd > 0")
     return settle(rows.join(whole, "node"))
 
 
