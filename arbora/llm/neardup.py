@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import Marks, components, discard, lean, row_key, settle, small_batches, words
+from .common import Marks, components, discard, lean, row_key, settle, small_batches, tidy, words
 
 WIDTH, THRESHOLD = 5, 0.8
 #: Coordinates of the minwise signature; trees; leaders of a node of the first level; largest
@@ -354,6 +354,7 @@ def _links(docs: DataFrame, reps: DataFrame, width: int, threshold: float) -> Da
         none = reps.select("c", F.col("c").alias("component")).limit(0)
         return _open(rows.select("node", "c"), none if comp is None else comp, salt)
 
+    tidy(docs.sparkSession)
     old, rest = rest, again(rest, 1)
     discard(old)
     held, found = [rest], []
@@ -364,6 +365,7 @@ def _links(docs: DataFrame, reps: DataFrame, width: int, threshold: float) -> Da
         found.append(_to_leaders(large))
         rest = again(_children(large.select("node", "c").join(sig, "c"), threshold), level)
         held.append(rest)
+        tidy(docs.sparkSession)
     small = _union([t.where(F.col("n") <= LIMIT) for t in held])
     likely = None if small.isEmpty() else _likely(reps, small, threshold)
     large = rest.where(F.col("n") > LIMIT)
@@ -375,6 +377,7 @@ def _links(docs: DataFrame, reps: DataFrame, width: int, threshold: float) -> Da
     if found or likely is not None:
         new = _confirm(docs, reps, _union(found) if found else None, likely, width, threshold)
         add(new)
+        tidy(docs.sparkSession)
         if not large.isEmpty():
             if new is not None:
                 # what a component is linked by need not be walked again
@@ -404,6 +407,7 @@ def _labelled(docs: DataFrame, width: int, threshold: float) -> DataFrame:
     classes = reps.select("digest", "rep", F.col("c").alias("component"), F.col("rep").alias("component_id"))
     if links is not None:
         comp = components(links, "a", "b").withColumnRenamed("node", "c")
+        tidy(docs.sparkSession)
         own = reps.select("c", "digest", "rep").join(comp, "c")
         named = own.groupBy("component").agg(F.min("rep").alias("component_id"))
         linked = own.join(named, "component").select("digest", "component", "component_id")
@@ -432,6 +436,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float =
     groups = rows.groupBy("component").agg(first, F.count("*").alias("n")).where("n > 1")
     odd = rows.join(groups, "component").select("k1", "k2", ((F.col("k1") == F.col("first.k1")) & (F.col("k2") == F.col("first.k2"))).alias("__kept"))
     odd = settle(odd.distinct())  # rows of groups; all others stay without a join
+    tidy(docs.sparkSession)
     marks = Marks.of(odd)
     keyed = docs.select("*", *(k.alias(f"__k{i}") for i, k in enumerate(row_key(), 1)))
 

@@ -42,3 +42,29 @@ def test_pipeline(spark, tmp_path):
     assert all(x.columns == columns for x in (a, b, c, d))
     assert d.count() == e.count() and {r["doc_id"] for r in d.collect()} <= want
     assert decontamination.PIECE > 1 and sorted(r["slot"] for r in e.where("shard = 0").collect()) == list(range(e.where("shard = 0").count()))
+
+
+def test_driver_lets_go_between_stages(spark, monkeypatch, tmp_path):
+    """The shuffles of a stage are not tracked any more when the next one has begun."""
+    import time
+
+    spark.range(100).selectExpr("id as doc_id", "cast(id as string) as text").write.parquet(str(tmp_path / "documents.parquet"))
+    tracked = spark._jsc.sc().env().mapOutputTracker().shuffleStatuses()
+    left = []
+
+    def shuffled(spark, docs, sf_dir):
+        return docs.repartition(5).groupBy("doc_id", "text").count().drop("count")
+
+    def last(spark, docs, sf_dir):
+        end = time.time() + 20
+        while tracked.size() > before and time.time() < end:
+            time.sleep(0.2)
+        left.append(tracked.size())
+        return docs
+
+    corpus_pipeline.tidy(spark)
+    time.sleep(2)
+    before = tracked.size()
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("a", shuffled), ("b", shuffled), ("c", last)])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 100
+    assert left[0] <= before
