@@ -33,8 +33,6 @@ one by one; very long texts are taken whole; extra columns are ignored.
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -43,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, lean, remainder, settle
+from .common import discard, lean, remainder, settle, tidy
 
 CONTEXT, LEAST, DIVERGENCE, HEAD = 32, 4, 0.01, 1_500_000
 END = np.uint64(xxhash.xxh64_intdigest(b" "))  # no word holds a space
@@ -364,12 +362,6 @@ def _head(weights: DataFrame) -> int:
     return 0
 
 
-def _tidy(spark) -> None:
-    """Let go of what no longer has a reader: its shuffle files go."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
@@ -393,18 +385,18 @@ def score(docs: DataFrame) -> DataFrame:
     often = Often(n)
     often.fill(train, sent)
     sent.destroy()
-    _tidy(spark)
+    tidy(spark)
     used = [coded, counts]
     while True:
         sent = sc.broadcast((tried, open_, often if depth == 0 else None))
         grams = train.mapInArrow(lean(_grams(sent, depth + 1)), "code long, context long, shorter long, k long")
         grams = settle(grams.groupBy("code", "context", "shorter").agg(F.sum("k").alias("k")).where(F.col("k") >= LEAST))
         sent.destroy()
-        _tidy(spark)
+        tidy(spark)
         level = settle(_grown(grams, totals, above))
         discard(grams)
         used.append(level)
-        _tidy(spark)
+        tidy(spark)
         if level.isEmpty():
             break
         depth += 1
@@ -417,13 +409,13 @@ def score(docs: DataFrame) -> DataFrame:
     weights = settle(weights)
     for t in used[1:]:
         discard(t)
-    _tidy(spark)
+    tidy(spark)
     least = _head(weights)
     head = weights.where(F.col("often") >= least).orderBy("code").drop("often").toArrow()
     rest = weights.where(F.col("often") < least).drop("often")
     known = Bits(max(1, weights.count()))
     known.add(weights)
-    _tidy(spark)
+    tidy(spark)
     base, gain = (head[c].fill_null(0.0).to_numpy() for c in ("base", "gain"))
     sent = sc.broadcast((known, depth, Table(head["code"].to_numpy().view(np.uint64)), base, gain.astype(np.float32)))
     columns = coded.select("codes", "row", "doc_id")

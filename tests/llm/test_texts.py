@@ -369,3 +369,23 @@ def test_very_long_texts(spark):
 
     assert {r["doc_id"]: r["size"] for r in mixing.mix(docs).collect()} == {i: len(t.split()) for i, t, *_ in data}
     assert {r["doc_id"]: r["size"] for r in resharding.reshard(docs).collect()} == {i: len(t) + 1 for i, t, *_ in data}
+
+
+def test_suffix_tree_lets_go_of_shuffles(spark, monkeypatch):
+    """What a step has shuffled is gone when the next begins."""
+    import time
+
+    tracked, left, tidy = spark._jsc.sc().env().mapOutputTracker().shuffleStatuses(), [], suffix_tree.tidy
+
+    def counted(spark):
+        tidy(spark)
+        time.sleep(0.3)  # files go in a thread of their own
+        left.append(tracked.size())
+
+    docs = frame(spark, [(i, "a b c d " * 9, "en", "s", 0) for i in range(9)])
+    tidy(spark)
+    time.sleep(2)
+    before = tracked.size()
+    monkeypatch.setattr(suffix_tree, "tidy", counted)
+    assert suffix_tree.score(docs).count() == 9
+    assert max(left) <= before + 4  # what is still read; one collection of garbage leaves 8
